@@ -67,7 +67,10 @@ def quintile_index(rank_desc: Column, ties: Column, n: Column) -> Column:
 
 
 def quintile_label(index: Column | str, labels: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in labels]), col(index).cast("int"))
+    label = F.lit(None).cast("string")
+    for place, name in enumerate(labels, start=1):
+        label = F.when(col(index) == place, F.lit(name)).otherwise(label)
+    return label
 
 
 def normalize_gender(c: Column | str) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
+
 from audira.plans.registry import REGISTRY, Query
 
+MODULES = ["kpi_queries", "compare_queries"]
 
-def all_queries() -> dict[str, Query]:
-    from audira.plans import kpi_queries  # noqa: F401
 
+def all_queries() -> dict[str, Query]:
+    for name in MODULES:
+        importlib.import_module(f"audira.plans.{name}")
     return REGISTRY
