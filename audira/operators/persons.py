@@ -390,7 +390,7 @@ def person_record_json(scored: DataFrame, rows: DataFrame, n: int = 3) -> DataFr
         "age_group",
         "grade",
         F.round("score", 2).alias("score"),
-        *[F.col(f"{a}_grade") for a in AXES],
+        *[F.col(f"{a}_grade").alias(a) for a in AXES],
         *[F.round(F.col(f"{a}_pct") * 100, 1).alias(f"{a}_pct") for a in AXES],
         F.round("person_buzz").cast("bigint").alias("person_buzz"),
         F.col("works").cast("bigint").alias("works"),
