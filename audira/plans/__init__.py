@@ -6,7 +6,7 @@ import importlib
 
 from audira.plans.registry import REGISTRY, Query
 
-MODULES = ["kpi_queries", "compare_queries", "person_queries", "video_queries", "prelaunch_queries"]
+MODULES = ["kpi_queries", "compare_queries", "person_queries", "video_queries", "prelaunch_queries", "scalar_queries", "storage_queries"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -411,21 +411,20 @@ def minmax_norm(spark, d):
     + """, wt AS (SELECT person, string_agg(work || '(배우화제성 ' || CAST(round(person_buzz) AS BIGINT) || ', 드라마화제성 '
   || CAST(round(work_buzz) AS BIGINT) || ', 랭크인주차 ' || CAST(weeks_ranked AS BIGINT) || ', 최고 작품내랭킹 '
   || CAST(best_rank AS BIGINT) || ')', '; ' ORDER BY place) AS works_text FROM wsp WHERE place <= 3 GROUP BY 1)
-SELECT person, CAST(person AS VARCHAR) AS r_person, gender AS r_gender, grade AS r_grade, round(score, 2) AS r_score, burst_grade AS r_burst,
+SELECT person, CAST(person AS VARCHAR) AS r_person, gender AS r_gender, grade AS r_grade, burst_grade AS r_burst,
   CAST(round(person_buzz) AS BIGINT) AS r_buzz, work_list AS r_works, works_text AS r_text FROM people JOIN wt USING (person)""",
 )
 def person_record_json(spark, d):
     # Rows of the record are read back, so that both engines compare values and not number formats.
     people = _people(spark, d)
     out = persons.person_record_json(people, b.work_person(spark, d))
-    shape = "struct<person:string,gender:string,grade:string,score:double,burst:string,person_buzz:bigint,work_list:string,works_text:string>"
+    shape = "struct<person:string,gender:string,grade:string,burst:string,person_buzz:bigint,work_list:string,works_text:string>"
     r = out.select("person", F.from_json("record", shape).alias("r"))
     return r.select(
         "person",
         F.col("r.person").alias("r_person"),
         F.col("r.gender").alias("r_gender"),
         F.col("r.grade").alias("r_grade"),
-        F.col("r.score").alias("r_score"),
         F.col("r.burst").alias("r_burst"),
         F.col("r.person_buzz").alias("r_buzz"),
         F.col("r.work_list").alias("r_works"),
