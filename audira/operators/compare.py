@@ -108,7 +108,7 @@ def value_vs_group_at_own_cutoff(df: DataFrame, group: str) -> DataFrame:
         F.col(STEP).alias("cutoff"),
         (F.sum("_s").over(upto) / F.sum(F.coalesce("_n", F.lit(0))).over(upto)).alias("group_value"),
     )
-    out = own.drop("_first").join(curve, [group, "cutoff"])
+    out = ordering.join_small(own.drop("_first"), curve, [group, "cutoff"])
     ratio = F.try_divide(F.col(VALUE) * 100, F.col("group_value"))
     return out.select(ENTITY, group, "cutoff", VALUE, "group_value", ratio.alias("ratio"))
 
@@ -130,7 +130,7 @@ def previous_work(entities: DataFrame) -> DataFrame:
     known = entities.where(F.col("slot").isNotNull() & F.col("start_date").isNotNull())
     days = known.groupBy("slot", "start_date").agg(F.max(ENTITY).alias("_last"))
     back = days.withColumn("previous_id", F.lag("_last").over(Window.partitionBy("slot").orderBy("start_date")))
-    out = entities.join(back.drop("_last"), ["slot", "start_date"], "left")
+    out = ordering.join_small(entities, back.drop("_last"), ["slot", "start_date"], "left")
     return out.select(ENTITY, "slot", "start_date", "previous_id")
 
 
@@ -194,11 +194,10 @@ def kpi_vs_group(
     keys = (group, ENTITY)
     long = kpi_long(kpi_table(df, specs, routing, keys), [s.kpi for s in specs], keys)
     long = long.withColumn(VALUE, F.round(VALUE, digits))
-    ranked = ordering.with_ranks(long, VALUE, [group, "kpi"])
-    means = long.groupBy(group, "kpi").agg(F.avg(VALUE).alias("group_value"))
+    both = ordering.with_group_values(long, [group, "kpi"], {"group_value": F.avg(VALUE)})
+    out = ordering.with_ranks(both, VALUE, [group, "kpi"])
     low = [s.kpi for s in specs if not s.high_is_good]
     rank = F.when(F.col("kpi").isin(low), F.col("rank_asc")).otherwise(F.col("rank_desc"))
-    out = ranked.join(means, [group, "kpi"])
     ratio = F.try_divide(F.col(VALUE) * 100, F.col("group_value"))
     return out.select(
         ENTITY,
@@ -243,8 +242,8 @@ def kpi_percentiles(long: DataFrame, entities: DataFrame, kpis: list[str], digit
 def positioning_radar(percentiles: DataFrame, groups: DataFrame, kpis: list[str]) -> DataFrame:
     """Percentiles of each entity beside its group's mean, one row per KPI."""
     long = percentiles.unpivot([ENTITY], kpis, "kpi", "score").join(groups, ENTITY)
-    means = long.groupBy("slot", "kpi").agg(F.avg("score").alias("group_score"))
-    return long.join(means, ["slot", "kpi"]).select(ENTITY, "slot", "kpi", "score", "group_score")
+    both = ordering.with_group_values(long, ["slot", "kpi"], {"group_score": F.avg("score")})
+    return both.select(ENTITY, "slot", "kpi", "score", "group_score")
 
 
 def quintile_grade(values: DataFrame, groups: list[str] = (), labels: list[str] = grades.LEVEL_GRADES) -> DataFrame:
@@ -283,23 +282,18 @@ def fixed_peer_labels(df: DataFrame, target, previous: DataFrame) -> DataFrame:
     )
 
 
-def survey_mean(df: DataFrame, entities: DataFrame, previous: DataFrame, metrics: list[str]) -> DataFrame:
+def survey_mean(df: DataFrame, previous: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean per survey metric of every entity, of its previous work and of its slot; missing as 0.
 
     The slot's side leaves the entity itself out, by subtracting its own sum from the slot's.
     """
     rows = df.where(F.col("metric").isin(metrics) & F.col(VALUE).isNotNull())
     own = rows.groupBy(ENTITY, "metric").agg(F.sum(VALUE).alias("_s"), F.count(VALUE).alias("_n"))
-    slots = own.join(entities.select(ENTITY, "slot"), ENTITY)
-    slots = slots.groupBy("slot", "metric").agg(F.sum("_s").alias("_gs"), F.sum("_n").alias("_gn"))
     names = F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric")
     frame = previous.select(ENTITY, "slot", "previous_id", names)
     prior = own.select(F.col(ENTITY).alias("previous_id"), "metric", (F.col("_s") / F.col("_n")).alias("_prev"))
-    out = (
-        frame.join(own, [ENTITY, "metric"], "left")
-        .join(prior, ["previous_id", "metric"], "left")
-        .join(slots, ["slot", "metric"], "left")
-    )
+    both = frame.join(own, [ENTITY, "metric"], "left").join(prior, ["previous_id", "metric"], "left")
+    out = ordering.with_group_values(both, ["slot", "metric"], {"_gs": F.sum("_s"), "_gn": F.sum("_n")})
     mean = F.try_divide(F.col("_s"), F.col("_n"))
     rest_sum = F.col("_gs") - F.coalesce("_s", F.lit(0.0))
     rest_n = F.col("_gn") - F.coalesce("_n", F.lit(0))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from audira.functions import segments, text
 from audira.functions.segments import SEGMENTS, SegmentSpec
+from audira.operators import ordering
 from audira.specs import AnchorRule, MetricSpec, ViewRouting
 
 ENTITY = "entity_id"
@@ -257,8 +258,7 @@ def kpi_bundle(
     """KPIs of each entity beside its group's mean, with the relative difference."""
     kpis = [s.kpi for s in specs]
     long = kpi_long(kpi_table(df, specs, routing, (group, ENTITY)), kpis, (group, ENTITY))
-    means = long.groupBy(group, "kpi").agg(F.avg(VALUE).alias("group_value"))
-    out = long.join(means, [group, "kpi"])
+    out = ordering.with_group_values(long, [group, "kpi"], {"group_value": F.avg(VALUE)})
     delta = F.try_divide(F.col(VALUE) - F.col("group_value"), F.col("group_value"))
     return out.select(ENTITY, group, "kpi", VALUE, "group_value", delta.alias("delta"))
 
@@ -436,9 +436,10 @@ def segment_population_mean(
 
     sums = entity_segment_sums(df, metric, media, spec, (group, ENTITY), clamped=False, keep_zero=True)
     per_entity = sums.groupBy(group, ENTITY, "label").agg(F.sum(VALUE).alias("_s"), F.count(VALUE).alias("_n"))
-    per_group = per_entity.groupBy(group, "label").agg((F.sum("_s") / F.sum("_n")).alias("group_value"))
-    own = per_entity.select(group, ENTITY, "label", (F.col("_s") / F.col("_n")).alias(VALUE))
-    wide = own.join(per_group, [group, "label"])
+    both = ordering.with_group_values(per_entity, [group, "label"], {"_gs": F.sum("_s"), "_gn": F.sum("_n")})
+    wide = both.select(
+        group, ENTITY, "label", (F.col("_s") / F.col("_n")).alias(VALUE), (F.col("_gs") / F.col("_gn")).alias("group_value")
+    )
     long = wide.unpivot([ENTITY, group, "label"], [VALUE, "group_value"], "side", "mean_value")
     return long.withColumn("label_order", F.coalesce(order_in("label", spec.labels()), F.lit(999)))
 
@@ -449,17 +450,18 @@ def step_segment_gap(
     """Per entity, step and segment the gap to its group in percent.
 
     A group value of 0 gives 0 when the entity has 0 too, else 999. Every segment is present at a step that has
-    any, as in the 0-filled step tables.
+    any, as in the 0-filled step tables. Segments stay side by side until the end.
     """
-    own = entity_segment_sums(df, metric, media, spec, (group, ENTITY))
-    means = own.groupBy(group, STEP, "label").agg(F.avg(VALUE).alias("group_value"))
-    labels = F.explode(F.array(*[F.lit(x) for x in spec.labels()])).alias("label")
-    frame = own.select(group, ENTITY, STEP).distinct().select(group, ENTITY, STEP, labels)
-    full = frame.join(own, [group, ENTITY, STEP, "label"], "left").join(means, [group, STEP, "label"], "left")
-    b, c = F.coalesce(VALUE, F.lit(0.0)), F.coalesce("group_value", F.lit(0.0))
-    return full.select(
-        ENTITY, group, STEP, "label", b.alias(VALUE), c.alias("group_value"), gap_percent(b, c).alias("gap")
-    )
+    labels = spec.labels()
+    rows = zero_is_missing(segment_rows(df, metric, media, spec))
+    sums = [F.sum(F.when(F.col("label") == x, F.col(VALUE))).alias(f"_b{i}") for i, x in enumerate(labels)]
+    own = rows.groupBy(group, ENTITY, STEP).agg(*sums)
+    both = ordering.with_group_values(own, [group, STEP], {f"_c{i}": F.avg(f"_b{i}") for i in range(len(labels))})
+    cells = []
+    for i, x in enumerate(labels):
+        b, c = F.coalesce(f"_b{i}", F.lit(0.0)), F.coalesce(f"_c{i}", F.lit(0.0))
+        cells.append(F.struct(F.lit(x).alias("label"), b.alias(VALUE), c.alias("group_value"), gap_percent(b, c).alias("gap")))
+    return both.select(ENTITY, group, STEP, F.inline(F.array(*cells)))
 
 
 def gap_percent(b: Column, c: Column) -> Column:

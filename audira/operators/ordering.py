@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from audira.session import cut_lineage
 
+BROADCAST_ROWS = 200_000
 MAX_INPUT_KEY = "audira.window.maxInputBytes"
 MAX_INPUT_DEFAULT = 256 * 1024 * 1024
 
@@ -44,6 +45,25 @@ def _same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table that is expected to be small, such as values per group.
+
+    On a large input the small side is written to the checkpoint folder and counted: up to ``BROADCAST_ROWS`` rows
+    it is broadcast, so that the big side is not shuffled by a few hot keys; beyond, Spark joins as it sees fit.
+    """
+    if fits_one_task(big):
+        return big.join(small, keys, how)
+    fixed = cut_lineage(small)
+    return big.join(F.broadcast(fixed) if fixed.count() <= BROADCAST_ROWS else fixed, keys, how)
+
+
+def with_group_values(df: DataFrame, groups: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """Add aggregates of the row's group: a window on a small input, else an aggregate joined back."""
+    if fits_one_task(df):
+        return df.withColumns({name: agg.over(_window(groups)) for name, agg in aggs.items()})
+    return join_small(df, df.groupBy(*groups).agg(*[a.alias(n) for n, a in aggs.items()]), groups)
+
+
 def running_sums(
     df: DataFrame,
     groups: list[str],
@@ -105,11 +125,15 @@ def with_ranks(
         known = F.col(value).isNotNull()
         up = by_group.orderBy(F.col(value).asc_nulls_last())
         peers = up.rangeBetween(Window.currentRow, Window.currentRow)
-        return (
-            df.withColumn(n, F.count(value).over(by_group))
-            .withColumn(rank_asc, F.when(known, F.rank().over(up)).cast("bigint"))
-            .withColumn(ties, F.when(known, F.count(value).over(peers)))
-            .withColumn(rank_desc, F.when(known, F.col(n) - F.col(rank_asc) - F.col(ties) + 2))
+        place = F.rank().over(up).cast("bigint")
+        count, tied = F.count(value).over(by_group), F.count(value).over(peers)
+        return df.withColumns(
+            {
+                n: count,
+                rank_asc: F.when(known, place),
+                ties: F.when(known, tied),
+                rank_desc: F.when(known, count - place - tied + 2),
+            }
         )
     # The input has to be the same rows in both readings, or a value could miss its rank.
     fixed = cut_lineage(df)
@@ -149,20 +173,30 @@ def with_quintile(df: DataFrame, value: str, groups: list[str] = (), name: str =
     return out.withColumn(name, quintile_index(F.col("_down"), F.col("_ties"), F.col("_n"))).drop(*RANK_PARTS)
 
 
-def with_percentrank_inc(df: DataFrame, value: str, groups: list[str] = (), name: str = "pct") -> DataFrame:
-    """(min rank - 1) / (group rows - 1); 1 for a single row. Rows without a value count, but stay null."""
+def with_percentrank_inc(df: DataFrame, values: dict[str, str], groups: list[str] = ()) -> DataFrame:
+    """Add (min rank - 1) / (group rows - 1) of each value column; 1 for a single row.
+
+    Rows without a value count as rows, but stay null. ``values`` maps a column to the name of its rank.
+    """
     groups = list(groups)
-    out = with_ranks(df, value, groups, *RANK_PARTS)
     if fits_one_task(df):
-        out = out.withColumn("_rows", F.count("*").over(_window(groups)))
+        rows = F.count("*").over(_window(groups))
+        added = {}
+        for value, name in values.items():
+            place = F.rank().over(_window(groups).orderBy(F.col(value).asc_nulls_last()))
+            pct = F.when(F.col(value).isNotNull(), (place - 1) / (rows - 1))
+            added[name] = F.when(rows <= 1, F.lit(1.0)).otherwise(pct)
+        return df.withColumns(added)
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("_rows"))
+    if groups:
+        out = df.alias("l").join(sizes.alias("r"), _same_keys("l", "r", groups)).select("l.*", "r._rows")
     else:
-        rows = df.groupBy(*groups).agg(F.count("*").alias("_rows"))
-        if groups:
-            out = out.alias("l").join(rows.alias("r"), _same_keys("l", "r", groups)).select("l.*", "r._rows")
-        else:
-            out = out.crossJoin(F.broadcast(rows))
-    pct = F.when(F.col("_rows") <= 1, F.lit(1.0)).otherwise((F.col("_up") - 1) / (F.col("_rows") - 1))
-    return out.withColumn(name, pct).drop(*RANK_PARTS, "_rows")
+        out = df.crossJoin(F.broadcast(sizes))
+    for value, name in values.items():
+        out = with_ranks(out, value, groups, *RANK_PARTS)
+        pct = F.when(F.col("_rows") <= 1, F.lit(1.0)).otherwise((F.col("_up") - 1) / (F.col("_rows") - 1))
+        out = out.withColumn(name, pct).drop(*RANK_PARTS)
+    return out.drop("_rows")
 
 
 def keep_top(df: DataFrame, groups: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:

@@ -57,9 +57,9 @@ def person_base_stats(rows: DataFrame) -> DataFrame:
         *[F.sum(f"_r{k}").alias(f"_r{k}") for k in (1, 2, 3)],
     )
     # Weights of the first three places.
-    for k, weight in ((1, 1.0), (2, 0.5), (3, 0.3)):
-        stats = stats.withColumn(f"hit_{k}", F.col(f"_r{k}") * weight / F.col("works")).drop(f"_r{k}")
-    return stats
+    weights = {1: 1.0, 2: 0.5, 3: 0.3}
+    hits = {f"hit_{k}": F.col(f"_r{k}") * w / F.col("works") for k, w in weights.items()}
+    return stats.withColumns(hits).drop(*[f"_r{k}" for k in weights])
 
 
 def trimmed_work_mean(stats: DataFrame) -> DataFrame:
@@ -86,18 +86,16 @@ def minmax_norm(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Scale columns to 0..1 over all rows; 0 when the range is empty. The extremes are one row."""
     ends = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
     out = df.crossJoin(F.broadcast(df.agg(*ends)))
-    for source, name in columns.items():
-        low, high = F.col(f"_lo_{source}"), F.col(f"_hi_{source}")
-        out = out.withColumn(name, grades.scaled(F.col(source), low, high))
-    return out.drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
+    added = {n: grades.scaled(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c, n in columns.items()}
+    return out.withColumns(added).drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
 
 
 def person_indices(rows: DataFrame) -> DataFrame:
     """Burst, stability and contribution index of every person."""
     stats = hit_dispersion(shrunk_work_mean(trimmed_work_mean(person_base_stats(rows))))
     stats = minmax_norm(stats, {"shrunk_mean": "shrunk_norm", "dispersion": "dispersion_norm"})
-    for source, name in (("best_weekly", "p_best"), ("trimmed_mean", "p_trimmed"), ("work_buzz", "p_work_buzz")):
-        stats = ordering.with_percentrank_inc(stats, source, name=name)
+    ranked = {"best_weekly": "p_best", "trimmed_mean": "p_trimmed", "work_buzz": "p_work_buzz"}
+    stats = ordering.with_percentrank_inc(stats, ranked)
     n = F.col("works")
     single = F.when(n == 1, F.lit(0.75)).otherwise(F.lit(1.0))
     burst = 0.5 * F.col("p_best") * single + 0.5 * F.col("p_trimmed")
@@ -117,29 +115,24 @@ def person_composite_score(
     rows: DataFrame, weights: PersonWeights = PersonWeights(), digits: int = 10
 ) -> DataFrame:
     """All scores and grades, one row per person. Indices are rounded so that a last bit cannot split a tie."""
-    out = person_indices(rows)
-    for axis in AXES:
-        out = out.withColumn(axis, F.round(axis, digits))
-        out = ordering.with_percentrank_inc(out, axis, name=f"{axis}_pct")
-        out = out.withColumn(f"{axis}_grade", grades.grade_from_percentile(f"{axis}_pct"))
+    out = person_indices(rows).withColumns({a: F.round(a, digits) for a in AXES})
+    out = ordering.with_percentrank_inc(out, {a: f"{a}_pct" for a in AXES})
     score = 100 * (
         F.col("burst_pct") * weights.burst
         + F.col("stability_pct") * weights.stability
         + F.col("contribution_pct") * weights.contribution
     )
-    out = out.withColumn("score", F.round(score, digits))
+    axis_grades = {f"{a}_grade": grades.grade_from_percentile(f"{a}_pct") for a in AXES}
+    out = out.withColumns({**axis_grades, "score": F.round(score, digits)})
     out = out.withColumn("grade", grades.grade_from_percentile(F.round(F.col("score") / 100, digits)))
     return out.withColumn("tier", grades.tier_of_grade("grade"))
 
 
 def relative_scores(scored: DataFrame, group: str, suffix: str) -> DataFrame:
     """Percent rank x 100 of each axis within a group (tier, grade group or a selected set)."""
-    out = scored
-    for axis in AXES:
-        name = f"{axis}_{suffix}"
-        out = ordering.with_percentrank_inc(out, f"{axis}_pct", [group], name)
-        out = out.withColumn(name, F.col(name) * 100)
-    return out
+    names = {f"{a}_pct": f"{a}_{suffix}" for a in AXES}
+    out = ordering.with_percentrank_inc(scored, names, [group])
+    return out.withColumns({name: F.col(name) * 100 for name in names.values()})
 
 
 def score_order() -> list[Column]:
@@ -374,7 +367,8 @@ def person_record_json(scored: DataFrame, rows: DataFrame, n: int = 3) -> DataFr
     works = person_work_summary(rows, n)
 
     def whole(c: str) -> Column:
-        return F.format_string("%d", F.coalesce(F.round(F.col(c)), F.lit(0.0)).cast("bigint"))
+        # Sums are first rounded finely: their last bits depend on the order of addition.
+        return F.format_string("%d", F.coalesce(F.round(F.round(F.col(c), 6)), F.lit(0.0)).cast("bigint"))
 
     item = F.concat(
         "work", F.lit("(배우화제성 "), whole("person_buzz"), F.lit(", 드라마화제성 "), whole("work_buzz"),
@@ -392,7 +386,7 @@ def person_record_json(scored: DataFrame, rows: DataFrame, n: int = 3) -> DataFr
         F.round("score", 2).alias("score"),
         *[F.col(f"{a}_grade").alias(a) for a in AXES],
         *[F.round(F.col(f"{a}_pct") * 100, 1).alias(f"{a}_pct") for a in AXES],
-        F.round("person_buzz").cast("bigint").alias("person_buzz"),
+        F.round(F.round("person_buzz", 6)).cast("bigint").alias("person_buzz"),
         F.col("works").cast("bigint").alias("works"),
         F.col("work_list"),
         F.coalesce("works_text", F.lit("전작 정보 없음")).alias("works_text"),

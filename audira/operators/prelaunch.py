@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -236,6 +237,15 @@ def ridge_log_regression(
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
         F.log1p(F.greatest(F.col(target), F.lit(0.0))).alias("_y"),
     )
+    # Read twice: once for the moments and once for the fit.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_ridge(rows, features, alpha, min_rows)
+    finally:
+        rows.unpersist()
+
+
+def _fit_ridge(rows: DataFrame, features: list[str], alpha: float, min_rows: int) -> RidgeFit | None:
     aggs = [F.count("*").alias("_n"), F.avg("_y").alias("_my"), F.stddev_pop("_y").alias("_sy")]
     for i, f in enumerate(features):
         aggs += [F.avg(f).alias(f"_m{i}"), F.stddev_pop(f).alias(f"_s{i}")]

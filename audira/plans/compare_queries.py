@@ -227,7 +227,7 @@ def quintile_grade(spark, d):
     {"value": 5, "pct": 8},
 )
 def percentrank_inc(spark, d):
-    out = ordering.with_percentrank_inc(_rating_by_slot(spark, d), "value", ["slot"])
+    out = ordering.with_percentrank_inc(_rating_by_slot(spark, d), {"value": "pct"}, ["slot"])
     return out.select("entity_id", "slot", "value", "pct")
 
 
@@ -265,7 +265,7 @@ LEFT JOIN g ON g.slot = pv.slot AND g.metric = m.metric""",
 def survey_mean(spark, d):
     entities = b.entity_dim(spark, d)
     fact = b.metric_long(spark, d, ["s_story", "s_cast"])
-    return compare.survey_mean(fact, entities, compare.previous_work(entities), ["s_story", "s_cast"])
+    return compare.survey_mean(fact, compare.previous_work(entities), ["s_story", "s_cast"])
 
 
 # ---- growth --------------------------------------------------------------------------------------------------

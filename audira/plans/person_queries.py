@@ -408,11 +408,11 @@ def minmax_norm(spark, d):
     "person_record_json",
     PP
     + WORK_SUMMARY_SQL
-    + """, wt AS (SELECT person, string_agg(work || '(배우화제성 ' || CAST(round(person_buzz) AS BIGINT) || ', 드라마화제성 '
-  || CAST(round(work_buzz) AS BIGINT) || ', 랭크인주차 ' || CAST(weeks_ranked AS BIGINT) || ', 최고 작품내랭킹 '
+    + """, wt AS (SELECT person, string_agg(work || '(배우화제성 ' || CAST(round(round(person_buzz, 6)) AS BIGINT) || ', 드라마화제성 '
+  || CAST(round(round(work_buzz, 6)) AS BIGINT) || ', 랭크인주차 ' || CAST(weeks_ranked AS BIGINT) || ', 최고 작품내랭킹 '
   || CAST(best_rank AS BIGINT) || ')', '; ' ORDER BY place) AS works_text FROM wsp WHERE place <= 3 GROUP BY 1)
 SELECT person, CAST(person AS VARCHAR) AS r_person, gender AS r_gender, grade AS r_grade, burst_grade AS r_burst,
-  CAST(round(person_buzz) AS BIGINT) AS r_buzz, work_list AS r_works, works_text AS r_text FROM people JOIN wt USING (person)""",
+  CAST(round(round(person_buzz, 6)) AS BIGINT) AS r_buzz, work_list AS r_works, works_text AS r_text FROM people JOIN wt USING (person)""",
 )
 def person_record_json(spark, d):
     # Rows of the record are read back, so that both engines compare values and not number formats.

@@ -18,16 +18,16 @@ from audira.specs import AnchorRule, GrowthSpec, MetricSpec, ViewRouting
 
 # Measures of the fact; the expressions mean the same in both engines.
 MEASURES = {
-    "rating": "round(l_discount * 100)",
-    "home": "round(l_tax * 100)",
+    "rating": "CAST(floor(l_discount * 100 + 0.5) AS DOUBLE)",
+    "home": "CAST(floor(l_tax * 100 + 0.5) AS DOUBLE)",
     "audience": "l_quantity",
     "views": "l_extendedprice",
     "mentions": "l_quantity * l_linenumber",
     "buzz": "CAST(floor(l_extendedprice / 100) AS DOUBLE)",
     "rank": "CAST(l_linenumber AS DOUBLE)",
     "ext_rank": "CAST(CAST(l_quantity AS INTEGER) % 11 AS DOUBLE)",
-    "aware": "round(l_tax * 100) + 1",
-    "prefer": "round(l_discount * 100) + 1",
+    "aware": "CAST(floor(l_tax * 100 + 1.5) AS DOUBLE)",
+    "prefer": "CAST(floor(l_discount * 100 + 1.5) AS DOUBLE)",
     "intent": "CAST(l_linenumber AS DOUBLE)",
     "s_story": "CAST(l_linenumber % 3 AS DOUBLE)",
     "s_cast": "CAST(l_suppkey % 5 AS DOUBLE)",
@@ -87,6 +87,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out a table that has fewer file splits than the session has cores; a larger one stays as it is.
+
+    Such a table is small, so one shuffle by key costs little, and the aggregates by that key need no other.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def entity_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entity: slot, start date and year."""
     start = F.expr("date_add(DATE'1996-01-01', CAST(p_partkey * 37 % 1800 AS INT))")
@@ -117,6 +126,7 @@ def metric_long(
         "l_orderkey",
         *[f"{MEASURES[m]} AS _m{i}" for i, m in enumerate(metrics)],
     )
+    base = spread(base, "entity_id")
     label = F.when(F.col("week_no") < 0, F.concat(F.lit("W"), F.col("week_no").cast("string")))
     label = label.when(F.col("week_no") > 0, F.concat(F.lit("W+"), F.col("week_no").cast("string")))
     base = base.withColumn("week_label", label)
