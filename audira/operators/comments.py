@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from audira.functions import text
+from audira.operators.ordering import with_scalars
 
 
 # Words used when a query block names nothing.
@@ -72,7 +73,7 @@ def sample_meta(comments: DataFrame, sample: DataFrame, dedup_key: str = "text")
         F.count("*").alias("lines"),
         F.coalesce(F.sum(F.length("line") + 1), F.lit(0)).alias("chars"),
     )
-    return all_rows.crossJoin(F.broadcast(used))
+    return with_scalars(all_rows, used)
 
 
 def except_selected(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:

@@ -36,21 +36,19 @@ def peer_group(
     """Rows of the comparison set of one target: slot and year filters, aired entities only, target kept.
 
     ``comparison`` is ``same``, ``weekday``, ``all`` or a list of slots. ``years`` defaults to the target's most
-    frequent year; an empty list means all years. The target's attributes are one row, so they are broadcast.
+    frequent year; an empty list means all years. The target's attributes are scalars.
     """
     mine = df.where(F.col(ENTITY) == target)
     aired = aired_entities(df, rating_metric).unionByName(mine.select(ENTITY).distinct()).distinct()
     rows = df
     if comparison == "same":
-        slot = most_frequent(mine, ENTITY, "slot", "_slot").select("_slot")
-        rows = rows.join(F.broadcast(slot), F.col("slot") == F.col("_slot"), "left_semi")
+        rows = rows.where(F.col("slot") == most_frequent(mine, ENTITY, "slot").select("slot").scalar())
     elif comparison == "weekday":
         rows = rows.where(F.col("slot").isin(list(weekdays)))
     elif comparison != "all":
         rows = rows.where(F.col("slot").isin(list(comparison)))
     if years is None:
-        year = most_frequent(mine, ENTITY, "year", "_year").select("_year")
-        rows = rows.join(F.broadcast(year), F.col("year") == F.col("_year"), "left_semi")
+        rows = rows.where(F.col("year") == most_frequent(mine, ENTITY, "year").select("year").scalar())
     elif list(years):
         rows = rows.where(F.col("year").isin(list(years)))
     return rows.join(aired, ENTITY, "left_semi")
@@ -59,8 +57,8 @@ def peer_group(
 def reference_date_cutoff(df: DataFrame, target) -> DataFrame:
     """Drop rows of entities that started after the target; unknown starts stay."""
     starts = df.groupBy(ENTITY).agg(F.min("start_date").alias("_start"))
-    mine = df.where(F.col(ENTITY) == target).agg(F.min("start_date").alias("_mine"))
-    late = starts.crossJoin(F.broadcast(mine)).where(F.col("_start") > F.col("_mine")).select(ENTITY)
+    mine = df.where(F.col(ENTITY) == target).agg(F.min("start_date"))
+    late = starts.where(F.col("_start") > mine.scalar()).select(ENTITY)
     return df.join(late, ENTITY, "left_anti")
 
 
@@ -70,7 +68,7 @@ def metric_cutoff_slice(
     """Keep rows up to the target's last week (week KPIs) or last step of the metric; all rows if it has none."""
     mine = df.where((F.col(ENTITY) == target) & row_filter(spec, routing))
     last = mine.agg(F.max("week_no").alias("_week"), F.max(STEP).alias("_step"))
-    rows = df.crossJoin(F.broadcast(last))
+    rows = ordering.with_scalars(df, last)
     by_step = F.when(F.col("_step").isNotNull(), F.col(STEP) <= F.col("_step")).otherwise(F.lit(True))
     keep = by_step
     if spec.cutoff == "week":
@@ -175,7 +173,7 @@ def rank_neighbors(
         mine = placed.where(F.col(ENTITY) == target).agg(F.max("position").alias("_me"))
         near = F.abs(F.col("position") - F.col("_me")) <= window
         fallback = F.col("_me").isNull() & (F.col("position") <= 2 * window + 1)
-        return placed.crossJoin(F.broadcast(mine)).where(near | fallback).drop("_me")
+        return ordering.with_scalars(placed, mine).where(near | fallback).drop("_me")
     steps = F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("_step")
     asks = placed.select(*groups, F.col(ENTITY).alias("target_id"), "position", steps)
     asks = asks.select(*groups, "target_id", (F.col("position") + F.col("_step")).alias("position"))
@@ -259,7 +257,7 @@ def nearest_by_score(actuals: DataFrame, target, prediction: DataFrame, n: int =
     """
     guess = prediction.where(F.col(ENTITY) == target).agg(F.max("prediction").alias("_p"))
     others = actuals.where((F.col(ENTITY) != target) & F.col("actual").isNotNull())
-    gap = others.crossJoin(F.broadcast(guess)).where(F.col("_p").isNotNull())
+    gap = ordering.with_scalars(others, guess).where(F.col("_p").isNotNull())
     gap = gap.withColumn("gap", F.abs(F.col("actual") - F.col("_p"))).drop("_p")
     return gap.orderBy("gap", F.col("actual").desc(), ENTITY).limit(n)
 
@@ -267,14 +265,14 @@ def nearest_by_score(actuals: DataFrame, target, prediction: DataFrame, n: int =
 def fixed_peer_labels(df: DataFrame, target, previous: DataFrame) -> DataFrame:
     """Rows of target, previous work and the other entities of the slot, tagged and stacked.
 
-    ``previous`` is the output of :func:`previous_work`; the target's row of it is broadcast. The group leaves the
-    target out, and the previous work is in both its own and the group's part.
+    ``previous`` is the output of :func:`previous_work`; the target's row of it gives two scalars. The group leaves
+    the target out, and the previous work is in both its own and the group's part.
     """
     mine = df.where(F.col(ENTITY) == target)
-    row = previous.where(F.col(ENTITY) == target).select("previous_id", F.col("slot").alias("_slot"))
-    before = df.join(F.broadcast(row), F.col(ENTITY) == F.col("previous_id"), "left_semi")
+    row = previous.where(F.col(ENTITY) == target)
+    before = df.where(F.col(ENTITY) == row.select("previous_id").scalar())
     rest = df.where(F.col(ENTITY) != target)
-    group = rest.join(F.broadcast(row), F.col("slot") == F.col("_slot"), "left_semi")
+    group = rest.where(F.col("slot") == row.select("slot").scalar())
     return (
         mine.withColumn("label", F.lit("target"))
         .unionByName(before.withColumn("label", F.lit("previous")))

@@ -87,8 +87,7 @@ def prelaunch_week_filter(df: DataFrame, weeks: Iterable[str], cutoff: str) -> D
 def step_options(df: DataFrame) -> DataFrame:
     """Distinct positive steps; the greatest is marked final. Steps are few, entities do not matter."""
     steps = df.where(F.col(STEP) > 0).groupBy(STEP).agg(F.lit(1).alias("_one")).drop("_one")
-    last = steps.agg(F.max(STEP).alias("_last"))
-    return steps.crossJoin(F.broadcast(last)).select(STEP, (F.col(STEP) == F.col("_last")).alias("is_final"))
+    return steps.select(STEP, (F.col(STEP) == steps.agg(F.max(STEP)).scalar()).alias("is_final"))
 
 
 def aired_entities(df: DataFrame, rating_metric: str) -> DataFrame:
@@ -291,8 +290,7 @@ def top3_appearances(df: DataFrame, metric: str, places: int = 3) -> DataFrame:
     """Rank rows within the first places: per entity, and in total. A rank of 0 means missing and is left out."""
     hits = df.where((F.col("metric") == metric) & (F.col(VALUE) > 0) & (F.col(VALUE) <= places))
     per_entity = hits.groupBy(ENTITY).agg(F.count("*").alias("appearances"))
-    total = per_entity.agg(F.coalesce(F.sum("appearances"), F.lit(0)).alias("total"))
-    return per_entity.crossJoin(F.broadcast(total))
+    return per_entity.withColumn("total", per_entity.agg(F.sum("appearances")).scalar())
 
 
 # ---- trends and pivots ---------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ ties cost nothing.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,10 @@ MAX_INPUT_DEFAULT = 256 * 1024 * 1024
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and tables a DataFrame reads, from plan statistics; starts no job."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    try:
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except ValueError:  # an estimate with thousands of digits, as joins of checkpointed rows have
+        return sys.maxsize
 
 
 def fits_one_task(df: DataFrame) -> bool:
@@ -45,6 +49,12 @@ def _same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as scalar subqueries: no join."""
+    one = row.select(F.struct(*row.columns).alias("_one")).scalar()
+    return df.withColumns({c: one[c] for c in row.columns})
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a table that is expected to be small, such as values per group.
 
@@ -141,13 +151,13 @@ def with_ranks(
     ranked = running_sums(histogram, groups, [F.col(value)], F.col(ties), before="_before", total=n)
     joined = fixed.alias("l").join(ranked.alias("r"), _same_keys("l", "r", [*groups, value]), "left")
     # Rows without a value still need the group's count.
-    counts = histogram.groupBy(*groups).agg(F.sum(ties).alias("_n"))
+    counts = histogram.groupBy(*groups).agg(F.sum(ties).alias("_known"))
     out = joined.select(*[F.col(f"l.{c}") for c in df.columns], F.col(f"r.{ties}"), F.col("r._before"))
     if groups:
         out = out.alias("l").join(counts.alias("c"), _same_keys("l", "c", groups), "left")
-        out = out.select("l.*", F.coalesce("c._n", F.lit(0)).alias(n))
+        out = out.select("l.*", F.coalesce("c._known", F.lit(0)).alias(n))
     else:
-        out = out.crossJoin(F.broadcast(counts)).withColumn(n, F.coalesce("_n", F.lit(0))).drop("_n")
+        out = out.withColumn(n, F.coalesce(counts.scalar(), F.lit(0)))
     return (
         out.withColumn(rank_asc, F.col("_before") + 1)
         .withColumn(rank_desc, F.col(n) - F.col("_before") - F.col(ties) + 1)
@@ -191,7 +201,7 @@ def with_percentrank_inc(df: DataFrame, values: dict[str, str], groups: list[str
     if groups:
         out = df.alias("l").join(sizes.alias("r"), _same_keys("l", "r", groups)).select("l.*", "r._rows")
     else:
-        out = df.crossJoin(F.broadcast(sizes))
+        out = with_scalars(df, sizes)
     for value, name in values.items():
         out = with_ranks(out, value, groups, *RANK_PARTS)
         pct = F.when(F.col("_rows") <= 1, F.lit(1.0)).otherwise((F.col("_up") - 1) / (F.col("_rows") - 1))

@@ -70,11 +70,10 @@ def trimmed_work_mean(stats: DataFrame) -> DataFrame:
 
 
 def shrunk_work_mean(stats: DataFrame, prior_works: int = 3) -> DataFrame:
-    """Mean buzz per work, pulled to the mean over all persons. The global mean is one row."""
-    overall = stats.agg(F.avg(F.col("person_buzz") / F.col("works")).alias("_overall"))
-    out = stats.crossJoin(F.broadcast(overall))
-    shrunk = (F.col("person_buzz") + prior_works * F.col("_overall")) / (F.col("works") + prior_works)
-    return out.withColumn("shrunk_mean", shrunk).drop("_overall")
+    """Mean buzz per work, pulled to the mean over all persons. The global mean is a scalar."""
+    overall = stats.agg(F.avg(F.col("person_buzz") / F.col("works"))).scalar()
+    shrunk = (F.col("person_buzz") + prior_works * overall) / (F.col("works") + prior_works)
+    return stats.withColumn("shrunk_mean", shrunk)
 
 
 def hit_dispersion(stats: DataFrame) -> DataFrame:
@@ -83,9 +82,9 @@ def hit_dispersion(stats: DataFrame) -> DataFrame:
 
 
 def minmax_norm(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Scale columns to 0..1 over all rows; 0 when the range is empty. The extremes are one row."""
+    """Scale columns to 0..1 over all rows; 0 when the range is empty. The extremes are scalars."""
     ends = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
-    out = df.crossJoin(F.broadcast(df.agg(*ends)))
+    out = ordering.with_scalars(df, df.agg(*ends))
     added = {n: grades.scaled(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c, n in columns.items()}
     return out.withColumns(added).drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
 

@@ -53,17 +53,16 @@ def launch_target_week(df: DataFrame, spec: PrelaunchSpec = SPEC) -> DataFrame:
 
 def launch_scores(df: DataFrame, spec: PrelaunchSpec = SPEC) -> DataFrame:
     """Mean score of each entity in the launch week."""
-    week = launch_target_week(df, spec)
     rows = df.where(F.col("metric") == spec.score)
-    kept = rows.join(F.broadcast(week), F.col("week_label") == F.col("target_week"), "left_semi")
+    kept = rows.where(F.col("week_label") == launch_target_week(df, spec).scalar())
     return kept.groupBy(ENTITY).agg(F.avg(VALUE).alias("target"))
 
 
 def launch_week_actual(df: DataFrame, order: str, spec: PrelaunchSpec = SPEC) -> DataFrame:
     """Last known launch-week score of each entity, by an explicit order column."""
-    week = launch_target_week(df, spec).select(text.normalize_week_label("target_week").alias("_w"))
+    week = launch_target_week(df, spec).select(text.normalize_week_label("target_week")).scalar()
     rows = df.where((F.col("metric") == spec.score) & F.col(VALUE).isNotNull())
-    kept = rows.join(F.broadcast(week), text.normalize_week_label("week_label") == F.col("_w"), "left_semi")
+    kept = rows.where(text.normalize_week_label("week_label") == week)
     return kept.groupBy(ENTITY).agg(F.max_by(VALUE, F.struct(order, VALUE)).alias("actual"))
 
 
@@ -286,7 +285,7 @@ def prediction_postprocess(
 ) -> DataFrame:
     """Clip to the labels' 5th and 95th percentile; below 75 percent coverage pull 30 percent to the median."""
     ends = ordering.exact_quantiles(labels, "label", {"_lo": low, "_mid": 0.5, "_hi": high})
-    out = predictions.crossJoin(F.broadcast(ends))
+    out = ordering.with_scalars(predictions, ends)
     clipped = F.least(F.greatest(F.col("prediction"), F.col("_lo")), F.col("_hi"))
     pulled = F.when(F.col(coverage) < 0.75, 0.7 * clipped + 0.3 * F.col("_mid")).otherwise(clipped)
     return out.withColumn("prediction", pulled).drop("_lo", "_mid", "_hi")

@@ -244,7 +244,7 @@ def demographic_share(demo: DataFrame, total: DataFrame) -> DataFrame:
     kept = split.where(F.col("age").isin(AGE_ORDER) & F.col("gender").isin(GENDERS))
     cells = kept.groupBy("age", "gender").agg(F.sum("views").alias("views"))
     base = F.when(F.col("total_views") > 0, F.col("total_views")).otherwise(F.lit(1.0))
-    out = cells.crossJoin(F.broadcast(total.select("total_views")))
+    out = ordering.with_scalars(cells, total.select("total_views"))
     out = out.withColumn("share", F.col("views") * 100 / base)
     # 14 cells at most.
     by_gender = F.sum("share").over(Window.partitionBy("gender"))
@@ -280,6 +280,7 @@ def top_k_with_others(sums: DataFrame, key: str, value: str, k: int = 5, other:
     """
     order = [F.col(value).desc(), F.col(key)]
     best = sums.orderBy(*order).limit(k).withColumn("is_other", F.lit(False))
+    # At most k rows are broadcast.
     rest = sums.join(F.broadcast(best.select(key)), key, "left_anti")
     added = rest.agg(F.lit(other).alias(key), F.sum(value).alias(value), F.count("*").alias("_n"))
     added = added.where(F.col("_n") > 0).select(key, value, F.lit(True).alias("is_other"))

@@ -190,8 +190,8 @@ def flatten_video_statistics(spark, d):
 @query(
     "flatten_comment_threads",
     COMMENTS_SQL.join(["WITH ", "\n"])
-    + """SELECT CAST(video_id AS VARCHAR) AS video_id, comment_id, CASE WHEN isReply = 1 THEN video_id || '-0' ELSE '' END AS parent_id,
-  isReply, author, text, likeCount FROM comments""",
+    + """SELECT CAST(video_id AS VARCHAR) AS video_id, comment_id, CASE WHEN turn % 2 = 1 THEN video_id || '-' || (turn - 1) ELSE '' END AS parent_id,
+  CAST(turn % 2 AS INTEGER) AS isReply, author, text, likeCount FROM comments""",
 )
 def flatten_comment_threads(spark, d):
     rows = b.comments(spark, d)
@@ -200,11 +200,11 @@ def flatten_comment_threads(spark, d):
         F.col("likeCount").cast("string").alias("likeCount"),
     )
     entry = F.struct(F.col("comment_id").alias("id"), body.alias("snippet"))
-    replies = F.collect_list(F.when(F.col("turn") > 0, entry))
-    threads = rows.groupBy("video_id").agg(
-        F.max(F.when(F.col("turn") == 0, entry)).alias("topLevelComment"),
-        replies.alias("comments"),
-    )
+    # Every even turn opens a thread and the next odd turn answers it, so a thread holds at most one reply.
+    tops = rows.where(F.col("turn") % 2 == 0).select("video_id", "turn", entry.alias("topLevelComment"))
+    answers = rows.where(F.col("turn") % 2 == 1).select("video_id", (F.col("turn") - 1).alias("turn"), entry.alias("reply"))
+    threads = tops.join(answers, ["video_id", "turn"], "left")
+    threads = threads.withColumn("comments", F.array_compact(F.array("reply")))
     thread = F.struct(
         F.struct(
             F.col("video_id").cast("string").alias("videoId"), F.size("comments").alias("totalReplyCount"), "topLevelComment"

@@ -138,11 +138,11 @@ def load_person_dim(raw: DataFrame, current_year: int, order: str | None = None)
 def attach_period_labels(df: DataFrame, source: DataFrame, column: str, name: str = "period_raw") -> DataFrame:
     """Put the distinct non-blank labels of a second source on every row as one '||' string.
 
-    The labels are calendar weeks, so the one-row aggregate stays small whatever the size of ``source``.
+    The labels are calendar weeks, so the joined text stays small whatever the size of ``source``.
     """
     labels = source.select(F.trim(column).alias("_l")).where(F.length("_l") > 0).distinct()
-    joined = labels.agg(F.array_join(F.array_sort(F.collect_list("_l")), "||").alias(name))
-    return df.crossJoin(F.broadcast(joined))
+    joined = labels.agg(F.array_join(F.array_sort(F.collect_list("_l")), "||"))
+    return df.withColumn(name, joined.scalar())
 
 
 def explode_labels(df: DataFrame, column: str = "period_raw") -> DataFrame:
