@@ -255,14 +255,13 @@ def _fit_ridge(rows: DataFrame, features: list[str], alpha: float, min_rows: int
     means = [float(stats[f"_m{i}"]) for i in range(len(features))]
     scales = [float(stats[f"_s{i}"]) for i in range(len(features))]
     scales = [s if s > 1e-12 * max(1.0, abs(m)) else 0.0 for s, m in zip(scales, means, strict=True)]
-    if not stats["_sy"]:
+    # A constant feature has no say, and would make the equations singular.
+    used = [i for i, s in enumerate(scales) if s]
+    if not stats["_sy"] or not used:
         return RidgeFit(features, means, scales, [0.0] * len(features), float(stats["_my"]), n)
-    z = [
-        ((F.col(f) - m) / s if s else F.lit(0.0)).alias(f"z{i}")
-        for i, (f, m, s) in enumerate(zip(features, means, scales, strict=True))
-    ]
-    scaled = rows.select("_y", *z)
-    vectors = VectorAssembler(inputCols=[f"z{i}" for i in range(len(features))], outputCol="_z").transform(scaled)
+    z = [((F.col(features[i]) - means[i]) / scales[i]).alias(f"z{i}") for i in used]
+    assembler = VectorAssembler(inputCols=[f"z{i}" for i in used], outputCol="_z")
+    vectors = assembler.transform(rows.select("_y", *z))
     model = LinearRegression(
         featuresCol="_z",
         labelCol="_y",
@@ -271,7 +270,9 @@ def _fit_ridge(rows: DataFrame, features: list[str], alpha: float, min_rows: int
         standardization=False,
         solver="normal",
     ).fit(vectors)
-    return RidgeFit(features, means, scales, [float(c) for c in model.coefficients], float(model.intercept), n)
+    fitted = dict(zip(used, (float(c) for c in model.coefficients), strict=True))
+    coefficients = [fitted.get(i, 0.0) for i in range(len(features))]
+    return RidgeFit(features, means, scales, coefficients, float(model.intercept), n)
 
 
 def ridge_predictions(frame: DataFrame, fit: RidgeFit | None, target: str = "target") -> DataFrame:
