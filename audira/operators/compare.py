@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from audira.functions import grades
 from audira.operators import ordering
-from audira.operators.kpi import ENTITY, STEP, VALUE, aired_entities, kpi_long, kpi_table, row_filter
+from audira.operators.kpi import ENTITY, STEP, VALUE, aired_entities, grouped_kpis, row_filter
 from audira.specs import MetricSpec, ViewRouting
 
 WEEKDAYS = ("월화", "수목")
@@ -86,13 +86,14 @@ def cutoff_label(df: DataFrame, spec: MetricSpec, routing: ViewRouting = ViewRou
     return last.select(ENTITY, label.alias("cutoff"))
 
 
-def value_vs_group_at_own_cutoff(df: DataFrame, group: str) -> DataFrame:
+def value_vs_group_at_own_cutoff(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     """Total of each entity against its group's mean total, peers cut at the entity's own last step.
 
     The group sum at cutoff N is the running sum over N of step sums, and a peer counts from its first step on, so
     entities x steps rows are enough: no pair of entities is built.
     """
-    per_step = df.where(F.col(STEP).isNotNull()).groupBy(group, ENTITY, STEP).agg(F.sum(VALUE).alias("_s"))
+    per_step = df.where(F.col(STEP).isNotNull()).groupBy(ENTITY, STEP).agg(F.sum(VALUE).alias("_s"))
+    per_step = per_step.join(groups.select(ENTITY, group), ENTITY)
     own = per_step.groupBy(group, ENTITY).agg(
         F.sum("_s").alias(VALUE), F.max(STEP).alias("cutoff"), F.min(STEP).alias("_first")
     )
@@ -181,7 +182,12 @@ def rank_neighbors(
 
 
 def kpi_vs_group(
-    df: DataFrame, specs: Iterable[MetricSpec], group: str, routing: ViewRouting = ViewRouting(), digits: int = 6
+    df: DataFrame,
+    specs: Iterable[MetricSpec],
+    groups: DataFrame,
+    group: str,
+    routing: ViewRouting = ViewRouting(),
+    digits: int = 6,
 ) -> DataFrame:
     """Each KPI of each entity as percent of its group's mean, with rank and group size.
 
@@ -189,9 +195,7 @@ def kpi_vs_group(
     bit must not break a tie.
     """
     specs = list(specs)
-    keys = (group, ENTITY)
-    long = kpi_long(kpi_table(df, specs, routing, keys), [s.kpi for s in specs], keys)
-    long = long.withColumn(VALUE, F.round(VALUE, digits))
+    long = ordering.settle(grouped_kpis(df, specs, groups, group, routing).withColumn(VALUE, F.round(VALUE, digits)))
     both = ordering.with_group_values(long, [group, "kpi"], {"group_value": F.avg(VALUE)})
     out = ordering.with_ranks(both, VALUE, [group, "kpi"])
     low = [s.kpi for s in specs if not s.high_is_good]

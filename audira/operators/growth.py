@@ -55,11 +55,22 @@ def level_and_slope(
 
 def _pct_means(stats: DataFrame, digits: int) -> DataFrame:
     """Per (entity, cutoff) the mean percentile of level and slope over the metrics that have one."""
-    for column in ("level", "slope"):
-        stats = ordering.with_pct_rank_avg(stats, column, ["cutoff", "name"], f"{column}_pct")
-    return stats.groupBy(ENTITY, "cutoff").agg(
-        *[F.round(F.avg(F.col(f"{c}_pct") * 100), digits).alias(f"{c}_pct_mean") for c in ("level", "slope")]
-    )
+    long = stats.unpivot([ENTITY, "cutoff", "name"], ["level", "slope"], "kind", "v")
+    ranked = ordering.with_pct_rank_avg(long, "v", ["cutoff", "name", "kind"], "pct")
+    means = {k: F.avg(F.when(F.col("kind") == k, F.col("pct") * 100)) for k in ("level", "slope")}
+    return ranked.groupBy(ENTITY, "cutoff").agg(*[F.round(m, digits).alias(f"{k}_pct_mean") for k, m in means.items()])
+
+
+def _two_quintiles(df: DataFrame, level: str, slope: str, keys: list[str], groups: list[str]) -> DataFrame:
+    """Quintile of two columns (as _a and _s), ranked side by side in one pass."""
+    long = df.unpivot(keys, [level, slope], "kind", "v")
+    graded = ordering.with_quintile(long, "v", [*groups, "kind"], "_q")
+    sides = {}
+    for column, quintile in ((level, "_a"), (slope, "_s")):
+        mine = F.col("kind") == column
+        sides[column] = F.max(F.when(mine, F.col("v"))).alias(column)
+        sides[quintile] = F.max(F.when(mine, F.col("_q"))).alias(quintile)
+    return graded.groupBy(*keys).agg(*sides.values())
 
 
 def growth_grades(
@@ -75,8 +86,7 @@ def growth_grades(
     series = step_series(df, specs, routing, zero_dropped)
     stats = level_and_slope(series, cutoffs, first_step, digits)
     means = _pct_means(stats, digits)
-    graded = ordering.with_quintile(means, "level_pct_mean", ["cutoff"], "_a")
-    graded = ordering.with_quintile(graded, "slope_pct_mean", ["cutoff"], "_s")
+    graded = _two_quintiles(means, "level_pct_mean", "slope_pct_mean", [ENTITY, "cutoff"], ["cutoff"])
     level = grades.quintile_label("_a", grades.LEVEL_GRADES)
     slope = grades.quintile_label("_s", grades.SLOPE_GRADES)
     return graded.select(
@@ -102,8 +112,7 @@ def growth_grades_digital(
 
 def metric_grades(stats: DataFrame) -> DataFrame:
     """Level and slope grade of every (entity, metric, cutoff)."""
-    graded = ordering.with_quintile(stats, "level", ["cutoff", "name"], "_a")
-    graded = ordering.with_quintile(graded, "slope", ["cutoff", "name"], "_s")
+    graded = _two_quintiles(stats, "level", "slope", [ENTITY, "cutoff", "name"], ["cutoff", "name"])
     level = grades.quintile_label("_a", grades.LEVEL_GRADES)
     slope = grades.quintile_label("_s", grades.SLOPE_GRADES)
     return graded.select(

@@ -251,12 +251,23 @@ def overview_performance(
     return table.select(ENTITY, *[F.coalesce(s.kpi, F.lit(0.0)).alias(s.kpi) for s in specs])
 
 
+def grouped_kpis(
+    df: DataFrame, specs: Iterable[MetricSpec], groups: DataFrame, group: str, routing: ViewRouting = ViewRouting()
+) -> DataFrame:
+    """(entity_id, group, kpi, value); the entity's group is joined to the aggregated side."""
+    specs = list(specs)
+    table = kpi_table(df, specs, routing).join(groups.select(ENTITY, group), ENTITY)
+    return kpi_long(table, [s.kpi for s in specs], (group, ENTITY))
+
+
 def kpi_bundle(
-    df: DataFrame, specs: Iterable[MetricSpec], group: str, routing: ViewRouting = ViewRouting()
+    df: DataFrame, specs: Iterable[MetricSpec], groups: DataFrame, group: str, routing: ViewRouting = ViewRouting()
 ) -> DataFrame:
-    """KPIs of each entity beside its group's mean, with the relative difference."""
-    kpis = [s.kpi for s in specs]
-    long = kpi_long(kpi_table(df, specs, routing, (group, ENTITY)), kpis, (group, ENTITY))
+    """KPIs of each entity beside its group's mean, with the relative difference.
+
+    ``groups`` has the group of each entity.
+    """
+    long = ordering.settle(grouped_kpis(df, specs, groups, group, routing))
     out = ordering.with_group_values(long, [group, "kpi"], {"group_value": F.avg(VALUE)})
     delta = F.try_divide(F.col(VALUE) - F.col("group_value"), F.col("group_value"))
     return out.select(ENTITY, group, "kpi", VALUE, "group_value", delta.alias("delta"))
@@ -427,13 +438,14 @@ def segment_table_by_step(df: DataFrame, metric: str, media: list[str], spec: Se
 
 
 def segment_population_mean(
-    df: DataFrame, metric: str, media: list[str], group: str, spec: SegmentSpec = SEGMENTS
+    df: DataFrame, metric: str, media: list[str], groups: DataFrame, group: str, spec: SegmentSpec = SEGMENTS
 ) -> DataFrame:
     """Mean over entity-steps per segment, of each entity and of its group, in long form and fixed order."""
     from audira.functions.grades import order_in
 
-    sums = entity_segment_sums(df, metric, media, spec, (group, ENTITY), clamped=False, keep_zero=True)
-    per_entity = sums.groupBy(group, ENTITY, "label").agg(F.sum(VALUE).alias("_s"), F.count(VALUE).alias("_n"))
+    sums = entity_segment_sums(df, metric, media, spec, clamped=False, keep_zero=True)
+    per_entity = sums.groupBy(ENTITY, "label").agg(F.sum(VALUE).alias("_s"), F.count(VALUE).alias("_n"))
+    per_entity = per_entity.join(groups.select(ENTITY, group), ENTITY)
     both = ordering.with_group_values(per_entity, [group, "label"], {"_gs": F.sum("_s"), "_gn": F.sum("_n")})
     wide = both.select(
         group, ENTITY, "label", (F.col("_s") / F.col("_n")).alias(VALUE), (F.col("_gs") / F.col("_gn")).alias("group_value")
@@ -443,7 +455,7 @@ def segment_population_mean(
 
 
 def step_segment_gap(
-    df: DataFrame, metric: str, media: list[str], group: str, spec: SegmentSpec = SEGMENTS
+    df: DataFrame, metric: str, media: list[str], groups: DataFrame, group: str, spec: SegmentSpec = SEGMENTS
 ) -> DataFrame:
     """Per entity, step and segment the gap to its group in percent.
 
@@ -453,7 +465,7 @@ def step_segment_gap(
     labels = spec.labels()
     rows = zero_is_missing(segment_rows(df, metric, media, spec))
     sums = [F.sum(F.when(F.col("label") == x, F.col(VALUE))).alias(f"_b{i}") for i, x in enumerate(labels)]
-    own = rows.groupBy(group, ENTITY, STEP).agg(*sums)
+    own = ordering.settle(rows.groupBy(ENTITY, STEP).agg(*sums).join(groups.select(ENTITY, group), ENTITY))
     both = ordering.with_group_values(own, [group, STEP], {f"_c{i}": F.avg(f"_b{i}") for i in range(len(labels))})
     cells = []
     for i, x in enumerate(labels):

@@ -68,10 +68,19 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 
 
 def with_group_values(df: DataFrame, groups: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """Add aggregates of the row's group: a window on a small input, else an aggregate joined back."""
+    """Add aggregates of the row's group: a window on a small input, else an aggregate joined back.
+
+    Without groups they are global: scalars on a large input.
+    """
     if fits_one_task(df):
         return df.withColumns({name: agg.over(_window(groups)) for name, agg in aggs.items()})
-    return join_small(df, df.groupBy(*groups).agg(*[a.alias(n) for n, a in aggs.items()]), groups)
+    values = df.groupBy(*groups).agg(*[a.alias(n) for n, a in aggs.items()])
+    return join_small(df, values, groups) if groups else with_scalars(df, values)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Rows that several later steps read: on a large input they are computed and written once."""
+    return df if fits_one_task(df) else cut_lineage(df)
 
 
 def running_sums(
@@ -197,15 +206,19 @@ def with_percentrank_inc(df: DataFrame, values: dict[str, str], groups: list[str
             pct = F.when(F.col(value).isNotNull(), (place - 1) / (rows - 1))
             added[name] = F.when(rows <= 1, F.lit(1.0)).otherwise(pct)
         return df.withColumns(added)
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("_rows"))
-    if groups:
-        out = df.alias("l").join(sizes.alias("r"), _same_keys("l", "r", groups)).select("l.*", "r._rows")
-    else:
-        out = with_scalars(df, sizes)
+    # One range partitioning serves all columns: their values are ranked side by side under a name.
+    fixed = cut_lineage(df)
+    sizes = fixed.groupBy(*groups).agg(F.count("*").alias("_rows"))
+    out = join_small(fixed, sizes, groups) if groups else with_scalars(fixed, sizes)
+    cells = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in values]
+    long = fixed.select(*groups, F.inline(F.array(*cells))).where(F.col("_value").isNotNull())
+    histogram = long.groupBy(*groups, "_column", "_value").agg(F.count("*").alias("_ties"))
+    ranked = running_sums(histogram, [*groups, "_column"], [F.col("_value")], F.col("_ties"), "_before", total=None)
     for value, name in values.items():
-        out = with_ranks(out, value, groups, *RANK_PARTS)
-        pct = F.when(F.col("_rows") <= 1, F.lit(1.0)).otherwise((F.col("_up") - 1) / (F.col("_rows") - 1))
-        out = out.withColumn(name, pct).drop(*RANK_PARTS)
+        mine = ranked.where(F.col("_column") == value).select(*groups, F.col("_value").alias(value), "_before")
+        joined = out.alias("l").join(mine.alias("r"), _same_keys("l", "r", [*groups, value]), "left")
+        pct = F.when(F.col("_rows") <= 1, F.lit(1.0)).otherwise(F.col("r._before") / (F.col("_rows") - 1))
+        out = joined.select("l.*", pct.alias(name))
     return out.drop("_rows")
 
 

@@ -70,10 +70,10 @@ def trimmed_work_mean(stats: DataFrame) -> DataFrame:
 
 
 def shrunk_work_mean(stats: DataFrame, prior_works: int = 3) -> DataFrame:
-    """Mean buzz per work, pulled to the mean over all persons. The global mean is a scalar."""
-    overall = stats.agg(F.avg(F.col("person_buzz") / F.col("works"))).scalar()
-    shrunk = (F.col("person_buzz") + prior_works * overall) / (F.col("works") + prior_works)
-    return stats.withColumn("shrunk_mean", shrunk)
+    """Mean buzz per work, pulled to the mean over all persons. """
+    out = ordering.with_group_values(stats, [], {"_overall": F.avg(F.col("person_buzz") / F.col("works"))})
+    shrunk = (F.col("person_buzz") + prior_works * F.col("_overall")) / (F.col("works") + prior_works)
+    return out.withColumn("shrunk_mean", shrunk).drop("_overall")
 
 
 def hit_dispersion(stats: DataFrame) -> DataFrame:
@@ -82,16 +82,17 @@ def hit_dispersion(stats: DataFrame) -> DataFrame:
 
 
 def minmax_norm(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Scale columns to 0..1 over all rows; 0 when the range is empty. The extremes are scalars."""
-    ends = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
-    out = ordering.with_scalars(df, df.agg(*ends))
+    """Scale columns to 0..1 over all rows; 0 when the range is empty."""
+    ends = {f"_{n}_{c}": f(c) for c in columns for n, f in (("lo", F.min), ("hi", F.max))}
+    out = ordering.with_group_values(df, [], ends)
     added = {n: grades.scaled(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c, n in columns.items()}
     return out.withColumns(added).drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
 
 
 def person_indices(rows: DataFrame) -> DataFrame:
     """Burst, stability and contribution index of every person."""
-    stats = hit_dispersion(shrunk_work_mean(trimmed_work_mean(person_base_stats(rows))))
+    stats = ordering.settle(person_base_stats(rows))
+    stats = hit_dispersion(shrunk_work_mean(trimmed_work_mean(stats)))
     stats = minmax_norm(stats, {"shrunk_mean": "shrunk_norm", "dispersion": "dispersion_norm"})
     ranked = {"best_weekly": "p_best", "trimmed_mean": "p_trimmed", "work_buzz": "p_work_buzz"}
     stats = ordering.with_percentrank_inc(stats, ranked)

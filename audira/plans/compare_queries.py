@@ -113,7 +113,8 @@ SELECT entity_id, slot, cutoff, value, group_value, value / group_value * 100 AS
     {"value": 2, "group_value": 5, "ratio": 5},
 )
 def value_vs_group_at_own_cutoff(spark, d):
-    return compare.value_vs_group_at_own_cutoff(b.metric_long(spark, d, ["mentions"], slot=True), "slot")
+    fact = b.metric_long(spark, d, ["mentions"])
+    return compare.value_vs_group_at_own_cutoff(fact, b.entity_dim(spark, d), "slot")
 
 
 @query(
@@ -148,8 +149,8 @@ SELECT entity_id, slot, kpi, value, avg(value) OVER g AS group_value, value * 10
     {"value": 5, "group_value": 5, "ratio": 5},
 )
 def kpi_vs_group(spark, d):
-    fact = b.metric_long(spark, d, ALL_DETAIL, slot=True)
-    return compare.kpi_vs_group(fact, b.DETAIL, "slot", b.ROUTING)
+    fact = b.metric_long(spark, d, ALL_DETAIL)
+    return compare.kpi_vs_group(fact, b.DETAIL, b.entity_dim(spark, d), "slot", b.ROUTING)
 
 
 def _seven_long(spark, d):

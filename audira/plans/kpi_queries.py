@@ -307,8 +307,8 @@ SELECT entity_id, slot, kpi, value, group_value, (value - group_value) / group_v
     {"value": 4, "group_value": 4, "delta": 6},
 )
 def kpi_bundle(spark, d):
-    fact = b.metric_long(spark, d, ALL_SEVEN, slot=True, title=True)
-    return kpi.kpi_bundle(fact, b.SEVEN, "slot", b.ROUTING)
+    fact = b.metric_long(spark, d, ALL_SEVEN, title=True)
+    return kpi.kpi_bundle(fact, b.SEVEN, b.entity_dim(spark, d), "slot", b.ROUTING)
 
 
 @query(
@@ -513,8 +513,8 @@ UNION ALL SELECT entity_id, slot, label, 'group_value', group_value, label_order
     {"mean_value": 6},
 )
 def segment_population_mean(spark, d):
-    fact = b.metric_long(spark, d, ["audience"], slot=True, title=True)
-    return kpi.segment_population_mean(fact, "audience", b.MEDIA, "slot")
+    fact = b.metric_long(spark, d, ["audience"], title=True)
+    return kpi.segment_population_mean(fact, "audience", b.MEDIA, b.entity_dim(spark, d), "slot")
 
 
 @query(
@@ -532,8 +532,8 @@ FROM j""",
     {"value": 2, "group_value": 6, "gap": 5},
 )
 def step_segment_gap(spark, d):
-    fact = b.metric_long(spark, d, ["audience"], slot=True, title=True)
-    return kpi.step_segment_gap(fact, "audience", b.MEDIA, "slot")
+    fact = b.metric_long(spark, d, ["audience"], title=True)
+    return kpi.step_segment_gap(fact, "audience", b.MEDIA, b.entity_dim(spark, d), "slot")
 
 
 @query(
