@@ -86,28 +86,34 @@ def has_week_data(df: DataFrame, spec: PrelaunchSpec = SPEC, weeks: tuple[str, .
 
 
 def _weekly(df: DataFrame, spec: PrelaunchSpec, weeks: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Wide weekly frame per entity in one scan: survey means, view and mention sums, screening means."""
-    views = F.coalesce(view_rows("total", spec.routing), F.lit(False))
+    """Wide weekly frame per entity in one scan: survey means, view and mention sums, screening means.
+
+    Rows outside the weeks are dropped first, and each row names its series once.
+    """
     series: dict[str, list[str]] = {}
     aggs: list[Column] = []
 
-    def add(name: str, rows: Column, how) -> None:
+    def add(name: str, how) -> None:
         series[name] = []
         for i, week in enumerate(weeks):
             column = f"_{name}_{i}"
-            picked = how(F.when(rows & (F.col("week_label") == week), F.col(VALUE)))
+            picked = how(F.when((F.col("_series") == name) & (F.col("week_label") == week), F.col(VALUE)))
             aggs.append(F.coalesce(picked, F.lit(0.0)).alias(column))
             series[name].append(column)
 
     for m in spec.surveys:
-        add(m, F.col("metric") == m, F.avg)
-    add("views", views, F.sum)
-    add("mentions", F.col("metric") == spec.mentions, F.sum)
+        add(m, F.avg)
+    add("views", F.sum)
+    add("mentions", F.sum)
     for m in spec.screening:
-        aggs.append(F.coalesce(F.avg(F.when(F.col("metric") == m, F.col(VALUE))), F.lit(0.0)).alias(m))
-    wanted = [*spec.surveys, *spec.screening, spec.mentions, spec.routing.metric]
-    rows = df.where(F.col("metric").isin(wanted) & F.col(ENTITY).isNotNull())
-    return rows.groupBy(ENTITY).agg(*aggs), series
+        aggs.append(F.coalesce(F.avg(F.when(F.col("_series") == m, F.col(VALUE))), F.lit(0.0)).alias(m))
+    named = F.when(F.col("metric") == spec.mentions, F.lit("mentions"))
+    named = named.when(view_rows("total", spec.routing), F.lit("views"))
+    named = named.when(F.col("metric").isin([*spec.surveys, *spec.screening]), F.col("metric"))
+    wanted = [*spec.surveys, spec.mentions, spec.routing.metric]
+    timely = F.col("metric").isin(wanted) & F.col("week_label").isin(weeks)
+    rows = df.where(F.col(ENTITY).isNotNull() & (timely | F.col("metric").isin(list(spec.screening))))
+    return rows.withColumn("_series", named).groupBy(ENTITY).agg(*aggs), series
 
 
 def _total(columns: list[str]) -> Column:
@@ -192,8 +198,9 @@ def prelaunch_overview(
     first = spec.surveys[0]
     for w in (*spec.weeks, *after):
         aggs[f"awareness_{w}"] = F.avg(F.when((F.col("metric") == first) & (F.col("week_label") == w), F.col(VALUE)))
-    wanted = [*spec.screening, first, spec.mentions, spec.routing.metric]
-    wide = df.where(F.col("metric").isin(wanted)).groupBy(ENTITY).agg(*[a.alias(n) for n, a in aggs.items()])
+    timely = F.col("metric").isin(first, spec.mentions, spec.routing.metric) & F.col("week_label").isin(*spec.weeks, *after)
+    wanted = timely | F.col("metric").isin(list(spec.screening))
+    wide = df.where(wanted).groupBy(ENTITY).agg(*[a.alias(n) for n, a in aggs.items()])
     return entities.select(ENTITY).join(wide, ENTITY, "left").fillna(0.0, subset=list(aggs))
 
 

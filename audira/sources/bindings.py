@@ -127,7 +127,7 @@ def metric_long(
     spark: SparkSession, sf_dir: str, metrics: list[str], slot: bool = False, title: bool = False
 ) -> DataFrame:
     """The long fact over some measures. ``slot`` joins part; ``title`` joins orders for segment and title type."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
     weeks = "floor(datediff(l_shipdate, DATE'1998-04-01') / 91)"
     base = line.selectExpr(
         "l_partkey AS entity_id",
@@ -143,7 +143,6 @@ def metric_long(
         "l_orderkey",
         *[f"{MEASURES[m]} AS _m{i}" for i, m in enumerate(metrics)],
     )
-    base = spread(base, "entity_id")
     label = F.when(F.col("week_no") < 0, F.concat(F.lit("W"), F.col("week_no").cast("string")))
     label = label.when(F.col("week_no") > 0, F.concat(F.lit("W+"), F.col("week_no").cast("string")))
     base = base.withColumn("week_label", label)
