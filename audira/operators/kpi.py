@@ -98,8 +98,14 @@ def aired_entities(df: DataFrame, rating_metric: str) -> DataFrame:
 # ---- KPI types -----------------------------------------------------------------------------------------------
 
 
+def metric_is(spec: MetricSpec) -> Column:
+    if spec.normalized:
+        return text.normalize_text("metric") == text.normalize_text(F.lit(spec.metric))
+    return F.col("metric") == spec.metric
+
+
 def row_filter(spec: MetricSpec, routing: ViewRouting = ViewRouting()) -> Column:
-    rows = view_rows(spec.views, routing) if spec.views else F.col("metric") == spec.metric
+    rows = view_rows(spec.views, routing) if spec.views else metric_is(spec)
     return rows & F.col("media").isin(list(spec.media)) if spec.media else rows
 
 
@@ -174,6 +180,14 @@ def rating_like_mean(df: DataFrame, name: str) -> DataFrame:
     return out.select(ENTITY, F.coalesce(f"_{STEP}", "_year", "_flat").alias(VALUE))
 
 
+def group_rating_like_mean(df: DataFrame, name: str, groups: DataFrame, group: str) -> DataFrame:
+    """Per group the mean over steps of the mean of all its rows at the step, zeros included."""
+    rows = filter_metric_normalized(df, name).where(F.col(VALUE).isNotNull() & F.col(STEP).isNotNull())
+    sums = rows.groupBy(ENTITY, STEP).agg(F.sum(VALUE).alias("_s"), F.count(VALUE).alias("_n"))
+    steps = sums.join(groups.select(ENTITY, group), ENTITY).groupBy(group, STEP)
+    return steps.agg((F.sum("_s") / F.sum("_n")).alias("_m")).groupBy(group).agg(F.avg("_m").alias(VALUE))
+
+
 def entity_weekly_avg(df: DataFrame, week_column: str = "week_start") -> DataFrame:
     """Sum per entity and week, then the mean per entity. Zero is missing."""
     rows = zero_is_missing(df).where(F.col(week_column).isNotNull() & F.col(ENTITY).isNotNull())
@@ -202,8 +216,11 @@ def kpi_table(
 ) -> DataFrame:
     """All KPIs of all entities in one scan and two aggregates: per (entity, step), then per entity."""
     specs = list(specs)
-    metrics = {routing.metric if s.views else s.metric for s in specs}
-    rows = df.where(F.col("metric").isin(sorted(metrics)) & F.col(ENTITY).isNotNull())
+    metrics = {routing.metric if s.views else s.metric for s in specs if s.views or not s.normalized}
+    wanted = F.col("metric").isin(sorted(metrics))
+    for s in specs:
+        wanted = wanted | metric_is(s) if s.normalized else wanted
+    rows = df.where(wanted & F.col(ENTITY).isNotNull())
     first, second = [], []
     for s in specs:
         chosen = row_filter(s, routing)
@@ -234,6 +251,15 @@ def kpi_table(
     return rows.groupBy(*keys, STEP).agg(*first).groupBy(*keys).agg(*second)
 
 
+def stepped_kpis(
+    df: DataFrame, specs: Iterable[MetricSpec], cap: float | None = None, routing: ViewRouting = ViewRouting()
+) -> DataFrame:
+    """(entity_id, kpi, value) over rows that belong to a step, up to an optional cap: the base of percentiles."""
+    specs = list(specs)
+    rows = step_cap_filter(df.where(F.col(STEP).isNotNull()), cap)
+    return kpi_long(kpi_table(rows, specs, routing), [s.kpi for s in specs])
+
+
 def kpi_long(table: DataFrame, kpis: Iterable[str], keys: tuple[str, ...] = (ENTITY,)) -> DataFrame:
     """Wide KPI table to (keys, kpi, value), known values only."""
     return table.unpivot(list(keys), list(kpis), "kpi", VALUE).where(F.col(VALUE).isNotNull())
@@ -252,12 +278,18 @@ def overview_performance(
 
 
 def grouped_kpis(
-    df: DataFrame, specs: Iterable[MetricSpec], groups: DataFrame, group: str, routing: ViewRouting = ViewRouting()
+    df: DataFrame,
+    specs: Iterable[MetricSpec],
+    groups: DataFrame,
+    group: str,
+    routing: ViewRouting = ViewRouting(),
+    known_only: bool = True,
 ) -> DataFrame:
     """(entity_id, group, kpi, value); the entity's group is joined to the aggregated side."""
     specs = list(specs)
     table = kpi_table(df, specs, routing).join(groups.select(ENTITY, group), ENTITY)
-    return kpi_long(table, [s.kpi for s in specs], (group, ENTITY))
+    long = table.unpivot([group, ENTITY], [s.kpi for s in specs], "kpi", VALUE)
+    return long.where(F.col(VALUE).isNotNull()) if known_only else long
 
 
 def kpi_bundle(
@@ -265,11 +297,11 @@ def kpi_bundle(
 ) -> DataFrame:
     """KPIs of each entity beside its group's mean, with the relative difference.
 
-    ``groups`` has the group of each entity.
+    ``groups`` has the group of each entity. A missing KPI stays null and counts as 0 in the difference.
     """
-    long = ordering.settle(grouped_kpis(df, specs, groups, group, routing))
+    long = ordering.settle(grouped_kpis(df, specs, groups, group, routing, known_only=False))
     out = ordering.with_group_values(long, [group, "kpi"], {"group_value": F.avg(VALUE)})
-    delta = F.try_divide(F.col(VALUE) - F.col("group_value"), F.col("group_value"))
+    delta = F.try_divide(F.coalesce(VALUE, F.lit(0.0)) - F.col("group_value"), F.col("group_value"))
     return out.select(ENTITY, group, "kpi", VALUE, "group_value", delta.alias("delta"))
 
 
@@ -376,7 +408,7 @@ def media_share_mean(df: DataFrame) -> DataFrame:
 
 
 def demographic_pyramid(df: DataFrame, within: str = "total", spec: SegmentSpec = SEGMENTS) -> DataFrame:
-    """Decade x gender sums and shares, of the total or within the gender.
+    """Decade x gender sums and shares, of the total over the fixed decades or within the gender over all decades.
 
     At most a few dozen cells come out of the aggregate, so the share window sees only those.
     """
@@ -387,8 +419,10 @@ def demographic_pyramid(df: DataFrame, within: str = "total", spec: SegmentSpec
         segments.segment_decade("segment", spec).alias("decade"),
         VALUE,
     )
-    cells = typed.where(F.col("gender").isin(spec.male, spec.female)).groupBy("decade", "gender")
-    cells = cells.agg(F.sum(VALUE).alias(VALUE))
+    rows = typed.where(F.col("gender").isin(spec.male, spec.female))
+    if within == "total":
+        rows = rows.where(F.col("decade").isin([f"{d}{spec.decade_suffix}" for d in spec.decades]))
+    cells = rows.groupBy("decade", "gender").agg(F.sum(VALUE).alias(VALUE))
     base = Window.partitionBy("gender") if within == "gender" else Window.partitionBy()
     share = F.try_divide(F.col(VALUE) * 100, F.sum(VALUE).over(base))
     return cells.withColumn("share", F.coalesce(share, F.lit(0.0)))

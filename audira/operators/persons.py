@@ -302,7 +302,7 @@ def dominant_group(scored: DataFrame) -> DataFrame:
 
     The counts have a handful of rows per scope, so the last ranking is small.
     """
-    tier = grades.tier_of_grade("grade")
+    tier = F.substring("grade", 1, 1)
     scopes = F.array(
         F.lit("all"),
         F.when(tier == "S", F.lit("S")),
@@ -338,7 +338,7 @@ def group_grade_profile(scored: DataFrame, group: str) -> DataFrame:
     """Per group: persons by grade and by tier, and mean, max and min of the three percent ranks."""
     stats = [f(F.col(f"{a}_pct") * 100).alias(f"{a}_{n}") for a in AXES for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
     by_grade = [F.count_if(F.col("grade") == g).alias(f"grade_{g}") for g in grades.GRADES]
-    by_tier = [F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in ("S", "A", "B", "C")]
+    by_tier = [F.count_if(F.col("grade").startswith(t)).alias(f"tier_{t}") for t in ("S", "A", "B", "C")]
     return scored.groupBy(group).agg(*by_grade, *by_tier, *stats)
 
 

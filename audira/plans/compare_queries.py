@@ -155,7 +155,7 @@ def kpi_vs_group(spark, d):
 
 def _seven_long(spark, d):
     fact = b.metric_long(spark, d, ALL_SEVEN, title=True)
-    return kpi.kpi_long(kpi.kpi_table(fact, b.SEVEN, b.ROUTING), [s.kpi for s in b.SEVEN])
+    return kpi.stepped_kpis(fact, b.SEVEN, routing=b.ROUTING)
 
 
 @query(

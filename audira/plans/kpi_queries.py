@@ -223,6 +223,16 @@ def rating_like_mean(spark, d):
     return kpi.rating_like_mean(b.metric_long(spark, d, ["buzz"]), "buzz")
 
 
+@query(
+    "group_rating_like_mean",
+    ml("buzz")
+    + "SELECT slot, avg(s) AS value FROM (SELECT slot, step_no, avg(value) AS s FROM ml GROUP BY 1, 2) GROUP BY 1",
+    {"value": 6},
+)
+def group_rating_like_mean(spark, d):
+    return kpi.group_rating_like_mean(b.metric_long(spark, d, ["buzz"]), "buzz", b.entity_dim(spark, d), "slot")
+
+
 @query(
     "entity_weekly_avg",
     ml("mentions")
@@ -303,7 +313,8 @@ def overview_performance(spark, d):
     ml(*ALL_SEVEN)
     + f""", k AS (SELECT k.*, slot FROM ({kpi_parts_sql(b.SEVEN)}) k JOIN ent USING (entity_id)),
 g AS (SELECT slot, kpi, avg(value) AS group_value FROM k GROUP BY 1, 2)
-SELECT entity_id, slot, kpi, value, group_value, (value - group_value) / group_value AS delta FROM k JOIN g USING (slot, kpi)""",
+SELECT e.entity_id, g.slot, g.kpi, value, group_value, (coalesce(value, 0) - group_value) / group_value AS delta
+FROM (SELECT DISTINCT entity_id, slot FROM ml) e JOIN g ON g.slot = e.slot LEFT JOIN k ON k.entity_id = e.entity_id AND k.kpi = g.kpi""",
     {"value": 4, "group_value": 4, "delta": 6},
 )
 def kpi_bundle(spark, d):

@@ -157,7 +157,7 @@ def flatten_playlist_items(pages: DataFrame, column: str = "body") -> DataFrame:
     parsed = pages.select(F.from_json(column, PLAYLIST_ITEMS).alias("p"))
     items = parsed.select(F.explode("p.items").alias("i"))
     return items.where(
-        (F.col("i.status.privacyStatus") == "public") & F.col("i.contentDetails.videoPublishedAt").isNotNull()
+        (F.col("i.status.privacyStatus") == "public") & (F.col("i.contentDetails.videoPublishedAt") != "")
     ).select(
         F.col("i.snippet.resourceId.videoId").alias("id"),
         F.col("i.snippet.title").alias("title"),

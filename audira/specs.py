@@ -21,7 +21,8 @@ class MetricSpec:
     """One KPI: which rows, how they roll up, where peers are cut and which direction is good.
 
     mode: ``mean`` (mean per step, then mean), ``step_sum`` (sum per step, then mean), ``sum``, ``min``,
-    ``vod`` (sum of both media on steps where the first has data, then mean) or ``flat_mean``.
+    ``vod`` (sum of both media on steps where the first has data, then mean) or ``flat_mean``. A ``normalized``
+    metric name ignores case and punctuation.
     """
 
     kpi: str
@@ -32,6 +33,7 @@ class MetricSpec:
     cutoff: str = "step"
     high_is_good: bool = True
     keep_zero: bool = False
+    normalized: bool = False
 
 
 # The KPI catalogue of the detail page.
@@ -42,12 +44,34 @@ DETAIL_KPIS = (
     MetricSpec("quick_uv", "시청인구", "step_sum", ("TVING QUICK",)),
     MetricSpec("vod_uv", "시청인구", "vod", ("TVING VOD", "TVING QUICK")),
     MetricSpec("other_platform", "시청자수", "step_sum", ("웨이브",)),
-    MetricSpec("external_rank", "N_W순위", "min", cutoff="week", high_is_good=False),
+    MetricSpec("external_rank", "N_W순위", "min", cutoff="week", high_is_good=False, normalized=True),
     MetricSpec("mentions", "언급량", "sum", cutoff="week"),
     MetricSpec("views_total", "조회수", "sum", views="total", cutoff="week"),
     MetricSpec("views_foreign", "조회수", "sum", views="foreign", cutoff="week"),
-    MetricSpec("buzz_rank", "F_Total", "min", cutoff="week", high_is_good=False),
-    MetricSpec("buzz_score", "F_score", cutoff="week"),
+    MetricSpec("buzz_rank", "F_Total", "min", cutoff="week", high_is_good=False, normalized=True),
+    MetricSpec("buzz_score", "F_score", cutoff="week", keep_zero=True, normalized=True),
+)
+# The columns of the overview table; its buzz score sums the rows of a step.
+OVERVIEW_KPIS = (
+    MetricSpec("target_rating", "T시청률"),
+    MetricSpec("household_rating", "H시청률"),
+    MetricSpec("live_uv", "시청인구", "step_sum", ("TVING LIVE",)),
+    MetricSpec("quick_uv", "시청인구", "step_sum", ("TVING QUICK",)),
+    MetricSpec("vod_uv", "시청인구", "step_sum", ("TVING VOD",)),
+    MetricSpec("mentions", "언급량", "sum"),
+    MetricSpec("views", "조회수", "sum", views="total"),
+    MetricSpec("buzz_rank", "F_Total", "min", keep_zero=True),
+    MetricSpec("buzz_score", "F_Score", "step_sum"),
+)
+# The seven KPIs of the comparison page.
+COMPARISON_KPIS = (
+    MetricSpec("target_rating", "T시청률"),
+    MetricSpec("household_rating", "H시청률"),
+    MetricSpec("vod_uv", "시청인구", "vod", ("TVING VOD", "TVING QUICK")),
+    MetricSpec("live_uv", "시청인구", "step_sum", ("TVING LIVE",)),
+    MetricSpec("views", "조회수", "sum", views="total"),
+    MetricSpec("mentions", "언급량", "sum"),
+    MetricSpec("buzz_score", "F_Score"),
 )
 
 
@@ -58,7 +82,8 @@ class AnchorRule:
     last_old_year: int = 2025
     old: dict[str, float] = field(default_factory=lambda: {"토일": 3.0, "월화": 2.0})
     new: dict[str, float] = field(default_factory=lambda: {"토일": 2.5, "월화": 1.5})
-    excluded: tuple[str, ...] = ()
+    # Fixed value: one title is never counted.
+    excluded: tuple = ("신사장프로젝트",)
 
 
 @dataclass(frozen=True)

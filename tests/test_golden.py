@@ -349,3 +349,55 @@ def test_label_lookup_keeps_unknown_and_null(spark):
     df = spark.createDataFrame([("YT_SEARCH",), ("NEW",), (None,)], "key string")
     got = videos.code_label_lookup(df, "key", videos.TRAFFIC_NAMES).collect()
     assert [(r.key, r.label) for r in got] == [("YT_SEARCH", "유튜브 검색"), ("NEW", "NEW"), (None, None)]
+
+
+def test_pyramid_keeps_the_fixed_decades(spark):
+    rows = [("F35", 30.0), ("M35", 10.0), ("F90", 5.0), ("x20", 7.0), ("M", 1.0)]
+    df = fact(spark, [dict(segment=s, value=v) for s, v in rows], entity_id="e", metric="audience")
+    total = {(r.decade, r.gender): r.share for r in kpi.demographic_pyramid(df).collect()}
+    assert total == {("30대", "여"): 75.0, ("30대", "남"): 25.0}
+    within = {(r.decade, r.gender): r.value for r in kpi.demographic_pyramid(df, "gender").collect()}
+    assert within == {("30대", "여"): 30.0, ("90대", "여"): 5.0, ("30대", "남"): 10.0, ("기타", "남"): 1.0}
+
+
+def test_missing_kpi_counts_as_zero_in_the_difference(spark):
+    df = fact(spark, [dict(entity_id="a", metric="r", value=4.0), dict(entity_id="b", metric="m", value=1.0)], step_no=1)
+    groups = spark.createDataFrame([("a", "s"), ("b", "s")], "entity_id string, slot string")
+    got = kpi.kpi_bundle(df, [MetricSpec("r", "r"), MetricSpec("m", "m", "sum")], groups, "slot")
+    rows = {(r.entity_id, r.kpi): (r.value, r.delta) for r in got.collect()}
+    assert rows == {("a", "r"): (4.0, 0.0), ("b", "r"): (None, -1.0), ("a", "m"): (None, -1.0), ("b", "m"): (1.0, 0.0)}
+
+
+def test_detail_catalogue_on_named_rows(spark):
+    from audira.specs import COMPARISON_KPIS, DETAIL_KPIS, OVERVIEW_KPIS
+
+    rows = [
+        dict(metric="T시청률", value=3.0), dict(metric="F_Score", value=0.0), dict(metric="F_score", value=0.0),
+        dict(metric="F_score", value=4.0), dict(metric="조회수", media="유튜브", attr1="ETC", attr3="영어제목", value=9.0),
+        dict(metric="시청인구", media="TVING QUICK", value=5.0), dict(metric="N_W순위", value=0.0),
+    ]
+    df = fact(spark, rows, entity_id="e", step_no=1)
+    detail = kpi.kpi_table(df, DETAIL_KPIS).first().asDict()
+    assert (detail["target_rating"], detail["views_total"], detail["views_foreign"]) == (3.0, 9.0, 9.0)
+    assert detail["buzz_score"] == pytest.approx(4 / 3)  # both spellings, zeros included
+    assert detail["external_rank"] is None and detail["vod_uv"] is None and detail["quick_uv"] == 5.0
+    entities = spark.createDataFrame([("e",), ("f",)], "entity_id string")
+    overview = {r.entity_id: r for r in kpi.overview_performance(df, entities, OVERVIEW_KPIS).collect()}
+    assert (overview["e"].quick_uv, overview["e"].buzz_score, overview["f"].target_rating) == (5.0, 0.0, 0.0)
+    assert len(kpi.kpi_table(df, COMPARISON_KPIS).columns) == 8
+
+
+def test_a_hot_group_is_spread_over_ranges(spark, big_input, monkeypatch):
+    taken = []
+    real = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: taken.append(real(df)) or taken[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(8000).select(F.when(F.col("id") < 6000, F.lit("hot")).otherwise(F.lit("b")).alias("g"), "id")
+        got = ordering.with_position(df, ["g"], [F.col("id")], size="n")
+        bad = got.where(F.col("position") != F.when(F.col("g") == "hot", F.col("id") + 1).otherwise(F.col("id") - 5999))
+        assert bad.count() == 0 and got.agg(F.max("n")).first()[0] == 6000
+        sizes = [r["count"] for r in taken[0].groupBy("_range").count().collect()]
+        assert len(sizes) >= 3 and max(sizes) < 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
