@@ -127,6 +127,16 @@ def previous_work(spark, d):
     return compare.previous_work(b.entity_dim(spark, d))
 
 
+@query(
+    "entity_attributes",
+    ml("rating")
+    + """SELECT c.entity_id, ent.start_date, media FROM (SELECT entity_id, media, row_number() OVER (PARTITION BY entity_id
+  ORDER BY count(*) DESC, media) AS k FROM ml GROUP BY 1, 2) c JOIN ent ON ent.entity_id = c.entity_id WHERE k = 1""",
+)
+def entity_attributes(spark, d):
+    return compare.entity_attributes(b.metric_long(spark, d, ["rating"]), ["media"])
+
+
 @query(
     "entities_by_recency",
     ml("rating") + "SELECT entity_id, start_date, row_number() OVER (ORDER BY start_date DESC, entity_id) AS position FROM ent",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from audira.functions import grades
-from audira.operators import ordering, persons
+from audira.operators import persons
 from audira.plans.registry import query
 from audira.sources import bindings as b
 from audira.sources import tables

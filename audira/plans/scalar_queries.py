@@ -84,7 +84,8 @@ def normalize_week_label(spark, d):
 
 
 SEGMENT_SQL = """seg AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'male ' ELSE 'f' END ||
-  CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(o_custkey % 90 AS VARCHAR) END AS segment, o_custkey % 90 AS age, o_orderstatus, o_orderkey % 9 = 0 AS blank FROM orders)"""
+  CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(o_custkey % 90 AS VARCHAR) END AS segment, o_custkey % 90 AS age, o_orderstatus,
+  o_orderkey % 9 = 0 AS blank FROM orders)"""
 
 
 def _segments(spark, d):
@@ -275,7 +276,8 @@ def _period_source(spark, d):
 
 @query(
     "parse_period_label",
-    with_ctes(PERIOD_SQL) + "SELECT label, CAST(year AS INTEGER) AS year, CAST(m AS INTEGER) AS month, CAST(w AS INTEGER) AS week FROM texts",
+    with_ctes(PERIOD_SQL) + "SELECT label, CAST(year AS INTEGER) AS year, CAST(m AS INTEGER) AS month, CAST(w AS INTEGER) AS week"
+    " FROM texts",
 )
 def parse_period_label(spark, d):
     out = _period_source(spark, d).select(F.trim("label").alias("label")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from audira.functions import dates, text
-from audira.operators.ordering import keep_top, latest_per_key, with_position
+from audira.operators.ordering import keep_top, latest_per_key, running_sums
 
 VIDEO = T.StructType(
     [
@@ -138,8 +138,6 @@ def append_capped_csv(
     """
     capped = keep_top(comments, ["video_id"], order, per_video)
     sizes = capped.groupBy("video_id").agg(F.count("*").alias("_n"))
-    from audira.operators.ordering import running_sums
-
     placed = running_sums(sizes, [], [F.col("video_id")], F.col("_n"), before="_before", total=None)
     kept = capped.join(placed.where(F.col("_before") < total).select("video_id"), "video_id", "left_semi")
     if path:
@@ -219,8 +217,3 @@ def flatten_comment_threads(pages: DataFrame, include_replies: bool = True, colu
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VIDEO).parquet(path)
-
-
-def numbered(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
-    """Global row number after a final sort."""
-    return with_position(df, [], order, name)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from audira.functions import dates, grades, text
-from audira.operators.ordering import latest_per_key
 
 METRIC_LONG = T.StructType(
     [
@@ -171,10 +170,3 @@ def distinct_counts(df: DataFrame, columns: dict[str, Column], approximate: bool
     """Row count and distinct counts of expressions; nulls are not counted."""
     count = F.approx_count_distinct if approximate else F.count_distinct
     return df.agg(F.count("*").alias("total_rows"), *[count(c).alias(n) for n, c in columns.items()])
-
-
-def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return latest_per_key(df, keys, [F.col(c) for c in order])
-
-
-

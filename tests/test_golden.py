@@ -345,6 +345,13 @@ def test_launch_week_choice(spark):
     assert prelaunch.launch_target_week(df.where("false")).first()[0] == "W+1"
 
 
+def test_confirmed_days_end_two_days_before(spark):
+    now = F.lit(dt.datetime(2024, 1, 30, 12)).cast("timestamp_ntz")
+    df = spark.createDataFrame([(dt.date(2024, 1, 20),), (dt.date(2024, 1, 31),)], "day date")
+    got = [r[0] for r in df.select(videos.confirmed_end(F.col("day"), now)).collect()]
+    assert got == [dt.date(2024, 1, 20), dt.date(2024, 1, 28)]
+
+
 def test_label_lookup_keeps_unknown_and_null(spark):
     df = spark.createDataFrame([("YT_SEARCH",), ("NEW",), (None,)], "key string")
     got = videos.code_label_lookup(df, "key", videos.TRAFFIC_NAMES).collect()
