@@ -1,6 +1,6 @@
 """Growth grades: level and slope of every entity over cumulative cutoffs.
 
-The fact is reduced to one value per (entity, metric, step) first; cutoffs are exploded on that small side.
+The fact is reduced to one value per (entity, metric, step) first; cutoffs are met on that small side.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from audira.functions import grades
@@ -35,27 +35,44 @@ def step_series(
         aggs.append((F.sum(picked) if s.mode == "sum" else F.avg(picked)).alias(s.name))
     metrics = {routing.metric if s.views else s.metric for s in specs}
     wide = rows.where(F.col("metric").isin(sorted(metrics))).groupBy(ENTITY, STEP).agg(*aggs)
-    long = wide.unpivot([ENTITY, STEP], [s.name for s in specs], "name", VALUE)
+    long = ordering.long_form(wide, [ENTITY, STEP], [s.name for s in specs], "name", VALUE)
     return long.where(F.col(VALUE).isNotNull())
 
 
 def level_and_slope(
     series: DataFrame, cutoffs: Iterable[int] = GROWTH_CUTOFFS, first_step: int | None = None, digits: int = 8
 ) -> DataFrame:
-    """Mean and least-squares slope of each series up to each cutoff; no slope below two points."""
+    """Mean and least-squares slope of each series up to each cutoff; no slope below two points.
+
+    The values grow along the steps of a series, and each cutoff takes those of the last step before it: the series
+    is shuffled once, and no row is repeated per cutoff.
+    """
     if first_step is not None:
         series = series.where(F.col(STEP) >= first_step)
-    points = series.withColumn("cutoff", F.explode(F.array(*[F.lit(int(n)) for n in cutoffs])))
-    points = points.where(F.col(STEP) <= F.col("cutoff"))
-    return points.groupBy(ENTITY, "name", "cutoff").agg(
-        F.round(F.avg(VALUE), digits).alias("level"),
-        F.round(F.when(F.count(VALUE) >= 2, F.regr_slope(VALUE, STEP)), digits).alias("slope"),
+    in_order = Window.partitionBy(ENTITY, "name").orderBy(STEP)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grown = series.select(
+        ENTITY,
+        "name",
+        STEP,
+        F.lead(STEP).over(in_order).alias("_next"),
+        F.avg(VALUE).over(so_far).alias("_level"),
+        F.when(F.count(VALUE).over(so_far) >= 2, F.regr_slope(VALUE, STEP).over(so_far)).alias("_slope"),
+    )
+    every = F.array(*[F.lit(int(n)) for n in cutoffs])
+    mine = F.filter(every, lambda n: (n >= F.col(STEP)) & (F.col("_next").isNull() | (n < F.col("_next"))))
+    return grown.select(
+        ENTITY,
+        "name",
+        F.explode(mine).alias("cutoff"),
+        F.round("_level", digits).alias("level"),
+        F.round("_slope", digits).alias("slope"),
     )
 
 
 def _pct_means(stats: DataFrame, digits: int) -> DataFrame:
     """Per (entity, cutoff) the mean percentile of level and slope over the metrics that have one."""
-    long = stats.unpivot([ENTITY, "cutoff", "name"], ["level", "slope"], "kind", "v")
+    long = ordering.long_form(stats, [ENTITY, "cutoff", "name"], ["level", "slope"], "kind", "v")
     ranked = ordering.with_pct_rank_avg(long, "v", ["cutoff", "name", "kind"], "pct")
     means = {k: F.avg(F.when(F.col("kind") == k, F.col("pct") * 100)) for k in ("level", "slope")}
     return ranked.groupBy(ENTITY, "cutoff").agg(*[F.round(m, digits).alias(f"{k}_pct_mean") for k, m in means.items()])
@@ -63,7 +80,7 @@ def _pct_means(stats: DataFrame, digits: int) -> DataFrame:
 
 def _two_quintiles(df: DataFrame, level: str, slope: str, keys: list[str], groups: list[str]) -> DataFrame:
     """Quintile of two columns (as _a and _s), ranked side by side in one pass."""
-    long = df.unpivot(keys, [level, slope], "kind", "v")
+    long = ordering.long_form(df, keys, [level, slope], "kind", "v")
     graded = ordering.with_quintile(long, "v", [*groups, "kind"], "_q")
     sides = {}
     for column, quintile in ((level, "_a"), (slope, "_s")):

@@ -262,7 +262,7 @@ def stepped_kpis(
 
 def kpi_long(table: DataFrame, kpis: Iterable[str], keys: tuple[str, ...] = (ENTITY,)) -> DataFrame:
     """Wide KPI table to (keys, kpi, value), known values only."""
-    return table.unpivot(list(keys), list(kpis), "kpi", VALUE).where(F.col(VALUE).isNotNull())
+    return ordering.long_form(table, list(keys), list(kpis), "kpi", VALUE).where(F.col(VALUE).isNotNull())
 
 
 def overview_performance(
@@ -288,7 +288,7 @@ def grouped_kpis(
     """(entity_id, group, kpi, value); the entity's group is joined to the aggregated side."""
     specs = list(specs)
     table = kpi_table(df, specs, routing).join(groups.select(ENTITY, group), ENTITY)
-    long = table.unpivot([group, ENTITY], [s.kpi for s in specs], "kpi", VALUE)
+    long = ordering.long_form(table, [group, ENTITY], [s.kpi for s in specs], "kpi", VALUE)
     return long.where(F.col(VALUE).isNotNull()) if known_only else long
 
 

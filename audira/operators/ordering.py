@@ -49,6 +49,12 @@ def _same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
+    """One row per key and column, as ``unpivot``, but it keeps the partitioning by key for the next step."""
+    cells = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns]
+    return df.select(*keys, F.inline(F.array(*cells)))
+
+
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table to every row, as scalar subqueries: no join."""
     one = row.select(F.struct(*row.columns).alias("_one")).scalar()
