@@ -26,14 +26,14 @@ def run_folder(spark, name: str) -> str:
     "overwrite_partition",
     with_ctes(CATALOG_SQL)
     + """SELECT id, CASE WHEN source_file = 'src5' THEN upper(title) ELSE title END AS title, source_file FROM catalog
-WHERE source_file <> 'src5' OR CAST(id AS BIGINT) % 3 = 0""",
+WHERE source_file <> 'src5' OR privacy = 'public'""",
 )
 def overwrite_partition(spark, d):
     folder = run_folder(spark, "catalog")
     path, meta = f"{folder}/videos", f"{folder}/meta"
-    rows = b.catalog(spark, d).select("id", "title", "published_at", "source_file")
+    rows = b.catalog(spark, d).select("id", "title", "published_at", "source_file", "privacy")
     catalog.overwrite_partition(rows, path, meta, AS_OF, "first")
-    newer = rows.where((F.col("source_file") == "src5") & (F.col("id").cast("bigint") % 3 == 0))
+    newer = rows.where((F.col("source_file") == "src5") & (F.col("privacy") == "public"))
     newer = newer.withColumn("title", F.upper("title"))
     catalog.overwrite_partition(newer, path, meta, AS_OF + dt.timedelta(hours=1), "second")
     return spark.read.parquet(path).select("id", "title", F.col("source_file").cast("string").alias("source_file"))
@@ -42,16 +42,16 @@ def overwrite_partition(spark, d):
 @query(
     "partition_metadata",
     with_ctes(CATALOG_SQL)
-    + """SELECT source_file, count(*) FILTER (WHERE source_file <> 'src5' OR CAST(id AS BIGINT) % 3 = 0) AS count,
+    + """SELECT source_file, count(*) FILTER (WHERE source_file <> 'src5' OR privacy = 'public') AS count,
   CASE WHEN source_file = 'src5' THEN TIMESTAMP '2024-01-30 13:00:00' ELSE TIMESTAMP '2024-01-30 12:00:00' END AS updated_at,
   CASE WHEN source_file = 'src5' THEN 'second' ELSE 'first' END AS last_source FROM catalog GROUP BY 1""",
 )
 def partition_metadata(spark, d):
     folder = run_folder(spark, "catalog")
     path, meta = f"{folder}/videos", f"{folder}/meta"
-    rows = b.catalog(spark, d).select("id", "title", "published_at", "source_file")
+    rows = b.catalog(spark, d).select("id", "title", "published_at", "source_file", "privacy")
     catalog.overwrite_partition(rows, path, meta, AS_OF, "first")
-    newer = rows.where((F.col("source_file") == "src5") & (F.col("id").cast("bigint") % 3 == 0))
+    newer = rows.where((F.col("source_file") == "src5") & (F.col("privacy") == "public"))
     catalog.overwrite_partition(newer, path, meta, AS_OF + dt.timedelta(hours=1), "second")
     return catalog.latest_metadata(spark.read.parquet(meta))
 

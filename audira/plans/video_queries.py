@@ -91,12 +91,7 @@ def _sync_inputs(spark, d):
     rows = b.catalog(spark, d)
     day = F.to_date("published_at")
     cached = rows.where((day < F.lit("2024-01-20").cast("date")) & (F.col("source_file") != "src1"))
-    incoming = rows.where(day >= F.lit("2024-01-10").cast("date")).withColumns(
-        {
-            "upload_at": F.col("published_at"),
-            "privacy": F.when(F.col("id").cast("bigint") % 7 == 0, F.lit("private")).otherwise(F.lit("public")),
-        }
-    )
+    incoming = rows.where(day >= F.lit("2024-01-10").cast("date")).withColumn("upload_at", F.col("published_at"))
     last = cached.groupBy("source_file").agg(F.max("published_at").alias("updated_at"))
     return incoming, cached, last
 
@@ -106,7 +101,7 @@ SYNC_SQL = (
     + """, cached AS (SELECT * FROM catalog WHERE CAST(published_at AS DATE) < DATE '2024-01-20' AND source_file <> 'src1'),
 last AS (SELECT source_file, max(published_at) AS updated_at FROM cached GROUP BY 1),
 fresh AS (SELECT c.* FROM catalog c LEFT JOIN last USING (source_file) WHERE CAST(published_at AS DATE) >= DATE '2024-01-10'
-  AND CAST(id AS BIGINT) % 7 <> 0 AND published_at >= coalesce(updated_at - INTERVAL 7 DAY, TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 730 DAY)
+  AND privacy = 'public' AND published_at >= coalesce(updated_at - INTERVAL 7 DAY, TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 730 DAY)
   AND NOT EXISTS (SELECT 1 FROM cached k WHERE k.source_file = c.source_file AND k.id = c.id))
 SELECT id, title, published_at, source_file FROM fresh UNION ALL SELECT id, title, published_at, source_file FROM cached"""
 )
@@ -136,18 +131,18 @@ def dedup_latest(spark, d):
     "flatten_playlist_items",
     CAT
     + """SELECT id, title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS date, length(description) AS chars FROM catalog
-WHERE CAST(id AS BIGINT) % 7 <> 0 AND CAST(id AS BIGINT) % 5 <> 0""",
+WHERE privacy = 'public' AND n_chars >= 300""",
 )
 def flatten_playlist_items(spark, d):
     rows = b.catalog(spark, d)
     number = F.col("id").cast("bigint")
     stamp = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     item = F.struct(
-        F.struct(F.when(number % 7 == 0, F.lit("private")).otherwise(F.lit("public")).alias("privacyStatus")).alias("status"),
+        F.struct(F.col("privacy").alias("privacyStatus")).alias("status"),
         F.struct(
             "title", "description", stamp.alias("publishedAt"), F.struct(F.col("id").alias("videoId")).alias("resourceId")
         ).alias("snippet"),
-        F.struct(F.when(number % 5 != 0, stamp).alias("videoPublishedAt")).alias("contentDetails"),
+        F.struct(F.when(F.col("n_chars") >= 300, stamp).alias("videoPublishedAt")).alias("contentDetails"),
     )
     # Pages of fifty items, as the service returns them.
     pages = rows.groupBy(F.floor(number / 50)).agg(F.collect_list(item).alias("items"))
@@ -574,14 +569,12 @@ def multi_column_search(spark, d):
 @query(
     "stored_plus_seed_users",
     with_ctes(USERS_SQL)
-    + """SELECT id, name, created_at, 0 AS part FROM users WHERE CAST(id AS BIGINT) % 3 <> 0
-UNION ALL SELECT id, name, created_at, 1 FROM users WHERE CAST(id AS BIGINT) % 3 = 0 AND CAST(id AS BIGINT) % 2 = 0""",
+    + """SELECT id, name, created_at, CASE WHEN stored THEN 0 ELSE 1 END AS part FROM users""",
 )
 def stored_plus_seed_users(spark, d):
-    everyone = b.users(spark, d)
-    number = F.col("id").cast("bigint")
-    stored, seed = everyone.where(number % 3 != 0), everyone.where(number % 2 == 0)
-    return accounts.stored_plus_seed_users(stored, seed, ["id", "name", "created_at"])
+    # Every customer is a seed user; those with a balance are stored.
+    seed = b.users(spark, d)
+    return accounts.stored_plus_seed_users(seed.where("stored"), seed, ["id", "name", "created_at"])
 
 
 @query(
@@ -612,15 +605,15 @@ def session_activity(spark, d):
 
 @query(
     "pending_requests",
-    """SELECT event_id AS login_id, ts AS requested_at, 'pending' AS status, CASE WHEN event_id % 2 = 0 THEN 'signup' ELSE 'password_reset' END AS type
-FROM events WHERE event_type = 'signup' AND event_id % 2 = 1""",
+    """SELECT event_id AS login_id, ts AS requested_at, 'pending' AS status, 'password_reset' AS type
+FROM events WHERE event_type = 'signup' AND value >= 20""",
 )
 def pending_requests(spark, d):
     requests = b.table(spark, d, "events").select(
         F.col("event_id").alias("login_id"),
         F.col("ts").alias("requested_at"),
         F.when(F.col("event_type") == "signup", F.lit("pending")).otherwise(F.lit("approved")).alias("status"),
-        F.when(F.col("event_id") % 2 == 0, F.lit("signup")).otherwise(F.lit("password_reset")).alias("type"),
+        F.when(F.col("value") >= 20, F.lit("password_reset")).otherwise(F.lit("signup")).alias("type"),
     )
     return accounts.pending_requests(requests, "pending", "password_reset")
 

@@ -281,13 +281,15 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("description"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id % 720 AS INT))").alias("published_at"),
         F.col("source").alias("source_file"),
+        F.when(F.col("lang") == "de", F.lit("private")).otherwise(F.lit("public")).alias("privacy"),
+        "n_chars",
     )
 
 
 CATALOG_SQL = f"""catalog AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, {TITLE_CHARS}) AS title, text AS description,
-    TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at, source AS source_file
-  FROM documents)"""
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at, source AS source_file,
+    CASE WHEN lang = 'de' THEN 'private' ELSE 'public' END AS privacy, n_chars FROM documents)"""
 
 AGE_BY_TYPE = {"click": "age18-24", "view": "age25-34", "purchase": "age35-44", "signup": "age45-54", "error": "age65-"}
 
@@ -385,12 +387,15 @@ def video_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RECENT = AS_OF
+
+
 def realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real-time statistics of a video; a tenth of the videos has none."""
+    """Real-time statistics of a video; videos without a recent event have none."""
     sums = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video_id")).agg(
-        F.sum("value").alias("_v"), F.count("*").alias("_n")
+        F.sum("value").alias("_v"), F.count("*").alias("_n"), F.max("ts").alias("_last")
     )
-    return sums.where(F.col("video_id") % 10 != 9).select(
+    return sums.where(F.col("_last") >= F.lit(RECENT).cast("timestamp_ntz")).select(
         "video_id",
         F.floor(F.round("_v", 2) * 120).alias("viewCount"),
         F.col("_n").alias("likeCount"),
@@ -402,7 +407,8 @@ LIST_SQL = """videos AS (
   SELECT DISTINCT user_id % 5 AS channel, user_id AS video_id, 'video ' || user_id AS title FROM events),
 realtime AS (
   SELECT user_id AS video_id, CAST(floor(round(sum(value), 2) * 120) AS BIGINT) AS rt_views, count(*) AS rt_likes,
-    user_id % 3 * 60 + count(*) % 60 AS seconds FROM events WHERE user_id % 10 <> 9 GROUP BY user_id)"""
+    user_id % 3 * 60 + count(*) % 60 AS seconds FROM events GROUP BY user_id
+  HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00')"""
 
 
 # ---- comments, accounts --------------------------------------------------------------------------------------
@@ -454,6 +460,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("department"),
         F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")).alias("email"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(c_custkey % 365 AS INT))").alias("created_at"),
+        (F.col("c_acctbal") >= 0).alias("stored"),
         F.array(
             F.concat(F.lit("app"), (F.col("c_nationkey") % 4).cast("string")),
             F.concat(F.lit("app"), (F.col("c_custkey") % 6).cast("string")),
@@ -465,7 +472,7 @@ USERS_SQL = """users AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS department,
     lower(replace(c_name, '#', '.')) || '@example.com' AS email,
     TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(c_custkey % 365 AS INTEGER)) AS created_at,
-    'app' || (c_nationkey % 4) AS app1, 'app' || (c_custkey % 6) AS app2 FROM customer)"""
+    c_acctbal >= 0 AS stored, 'app' || (c_nationkey % 4) AS app1, 'app' || (c_custkey % 6) AS app2 FROM customer)"""
 
 
 def with_ctes(*parts: str) -> str:
