@@ -21,17 +21,17 @@ def _ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(a, b)
 
 
-def person_base_stats(rows: DataFrame) -> DataFrame:
+def person_base_stats(rows: DataFrame, digits: int = 4) -> DataFrame:
     """One row per person from one aggregate: sums, work list, weekly-mean extremes and hit ratios.
 
-    The work list holds distinct works of one person in name order. Works are made distinct per person before they
+    Sums are rounded to ``digits``: persons of the same works must tie in every order of addition. The work list holds distinct works of one person in name order. Works are made distinct per person before they
     are collected, so a person's row count does not matter.
     """
     weekly = F.try_divide(F.col("person_buzz"), F.col("weeks_ranked"))
     rank = F.col("rank_in_work")
 
     def zero_sum(c: str) -> Column:
-        return F.coalesce(F.sum(c), F.lit(0.0))
+        return F.round(F.coalesce(F.sum(c), F.lit(0.0)), digits)
 
     by_work = rows.withColumn("_x", weekly).groupBy(PERSON, "work").agg(
         F.sum("work_buzz").alias("_d"),

@@ -51,6 +51,5 @@ def differences(spark, con, query, sf_dir: str) -> str | None:
         return "oracle has no rows"
     if got == want:
         return None
-    extra = [r for r in got if r not in set(want)][:2]
-    lost = [r for r in want if r not in set(got)][:2]
+    extra, lost = list(set(got) - set(want))[:2], list(set(want) - set(got))[:2]
     return f"rows {len(got)} vs {len(want)}; only spark {extra}; only oracle {lost}"
