@@ -22,10 +22,10 @@ def _ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def person_base_stats(rows: DataFrame, digits: int = 4) -> DataFrame:
-    """One row per person from one aggregate: sums, work list, weekly-mean extremes and hit ratios.
+    """One row per person: sums, weekly-mean extremes and hit ratios.
 
-    Sums are rounded to ``digits``: persons of the same works must tie in every order of addition. The work list holds distinct works of one person in name order. Works are made distinct per person before they
-    are collected, so a person's row count does not matter.
+    Sums are rounded to ``digits``: persons of the same works must tie in every order of addition. Only algebraic
+    aggregates are used, so a person with very many rows is reduced before the shuffle.
     """
     weekly = F.try_divide(F.col("person_buzz"), F.col("weeks_ranked"))
     rank = F.col("rank_in_work")
@@ -33,35 +33,29 @@ def person_base_stats(rows: DataFrame, digits: int = 4) -> DataFrame:
     def zero_sum(c: str) -> Column:
         return F.round(F.coalesce(F.sum(c), F.lit(0.0)), digits)
 
-    by_work = rows.withColumn("_x", weekly).groupBy(PERSON, "work").agg(
-        F.sum("work_buzz").alias("_d"),
-        F.sum("person_buzz").alias("_b"),
-        F.sum("weeks_ranked").alias("_w"),
-        F.count("*").alias("_n"),
-        F.max("_x").alias("_xmax"),
-        F.min("_x").alias("_xmin"),
-        F.sum("_x").alias("_xsum"),
-        F.max("person_buzz").alias("_bmax"),
+    stats = rows.withColumn("_x", weekly).groupBy(PERSON).agg(
+        zero_sum("work_buzz").alias("work_buzz"),
+        zero_sum("person_buzz").alias("person_buzz"),
+        F.count("*").alias("works"),
+        zero_sum("weeks_ranked").alias("weeks"),
+        F.max("_x").alias("best_weekly"),
+        F.min("_x").alias("worst_weekly"),
+        zero_sum("_x").alias("weekly_sum"),
+        F.max("person_buzz").alias("_top_work"),
         *[F.count_if(rank == k).alias(f"_r{k}") for k in (1, 2, 3)],
     )
-    stats = by_work.groupBy(PERSON).agg(
-        zero_sum("_d").alias("work_buzz"),
-        zero_sum("_b").alias("person_buzz"),
-        F.sum("_n").alias("works"),
-        zero_sum("_w").alias("weeks"),
-        F.array_join(F.array_sort(F.collect_list("work")), ", ").alias("work_list"),
-        F.max("_xmax").alias("best_weekly"),
-        F.min("_xmin").alias("worst_weekly"),
-        zero_sum("_xsum").alias("weekly_sum"),
-        F.max("_bmax").alias("_top_work"),
-        *[F.sum(f"_r{k}").alias(f"_r{k}") for k in (1, 2, 3)],
-    )
     # Weights of the first three places.
     weights = {1: 1.0, 2: 0.5, 3: 0.3}
     hits = {f"hit_{k}": F.col(f"_r{k}") * w / F.col("works") for k, w in weights.items()}
     return stats.withColumns(hits).drop(*[f"_r{k}" for k in weights])
 
 
+def person_work_list(rows: DataFrame) -> DataFrame:
+    """The distinct works of each person as one text in name order; only records need it, the scores do not."""
+    distinct = rows.where(F.col("work").isNotNull()).select(PERSON, "work").distinct()
+    return distinct.groupBy(PERSON).agg(F.array_join(F.array_sort(F.collect_list("work")), ", ").alias("work_list"))
+
+
 def trimmed_work_mean(stats: DataFrame) -> DataFrame:
     """Mean weekly buzz without the worst work when there are more than two."""
     plain = F.col("weekly_sum") / F.col("works")
@@ -377,7 +371,7 @@ def person_record_json(scored: DataFrame, rows: DataFrame, n: int = 3) -> DataFr
     # At most ``n`` items per person are collected.
     listed = F.array_sort(F.collect_list(F.struct("place", item.alias("item"))))
     text = works.groupBy(PERSON).agg(F.array_join(F.transform(listed, lambda s: s["item"]), "; ").alias("works_text"))
-    out = scored.join(text, PERSON, "left")
+    out = scored.join(text, PERSON, "left").join(person_work_list(rows), PERSON, "left")
     record = F.struct(
         F.col(PERSON).cast("string").alias("person"),
         "gender",

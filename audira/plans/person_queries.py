@@ -83,7 +83,8 @@ FROM base""",
     {"work_buzz": 1, "person_buzz": 2, "best_weekly": 4, "worst_weekly": 4, "weekly_sum": 4, "hit_1": 8, "hit_2": 8, "hit_3": 8},
 )
 def person_base_stats(spark, d):
-    return persons.person_base_stats(b.work_person(spark, d)).drop("_top_work")
+    rows = b.work_person(spark, d)
+    return persons.person_base_stats(rows).drop("_top_work").join(persons.person_work_list(rows), "person", "left")
 
 
 @query(

@@ -151,7 +151,7 @@ def test_trimmed_mean(spark):
     df = spark.createDataFrame(rows, WORK)
     stats = persons.trimmed_work_mean(persons.person_base_stats(df))
     assert pairs(stats, "person", "trimmed_mean") == {"p": 6.5, "q": 3.0}
-    assert pairs(stats, "person", "work_list") == {"p": "w0, w1, w2", "q": "w0, w1"}
+    assert pairs(persons.person_work_list(df), "person", "work_list") == {"p": "w0, w1, w2", "q": "w0, w1"}
     assert pairs(stats, "person", "hit_3") == {"p": 0.0, "q": pytest.approx(0.15)}
 
 
