@@ -27,4 +27,5 @@ def test_contract_lists_the_same_names():
     import __spark_entry__ as contract
 
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"ridge_all_features"}
+    assert set(all_queries()) <= set(contract.queries())
+    assert set(all_queries()) - set(contract.oracle_sql()) == {"ridge_all_features"}
