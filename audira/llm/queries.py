@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from audira.llm.mixing import mix_report
 from audira.llm.near_dedup import near_duplicates
 from audira.llm.quality import quality_report
+from audira.llm.token_files import token_file_report
 from audira.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -117,3 +119,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_near_duplicates")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

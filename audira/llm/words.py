@@ -32,7 +32,7 @@ LOWER[65:91] += 32
 
 @cache
 def byte_values() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
+    return np.random.default_rng(20240229).integers(1, 2**64, 512, dtype=np.uint64)
 
 
 @cache
@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of every span [first, last); spans are in order and don't overlap."""
+    """Hash of every span [first, last) of bytes or of codes below 512; spans are in order and don't overlap."""
     out = np.zeros(len(first), np.uint64)
     up, down = powers()
     i = 0
