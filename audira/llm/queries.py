@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from audira.llm.decontaminate import leaks
 from audira.llm.mixing import mix_report
 from audira.llm.near_dedup import near_duplicates
 from audira.llm.quality import quality_report
@@ -124,3 +125,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op3_benchmark_leaks")
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
