@@ -10,6 +10,7 @@ from audira.llm.mixing import mix_report
 from audira.llm.near_dedup import near_duplicates
 from audira.llm.quality import quality_report
 from audira.llm.token_files import token_file_report
+from audira.llm.warc import warc_report
 from audira.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -130,3 +131,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_benchmark_leaks")
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op1_warc_archives")
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
