@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from audira.llm.decontaminate import leaks
+from audira.llm.fst_tokens import token_counts
+from audira.llm.language import language_report
 from audira.llm.mixing import mix_report
 from audira.llm.near_dedup import near_duplicates
 from audira.llm.quality import quality_report
@@ -136,3 +138,13 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_warc_archives")
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_report(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
