@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from audira.llm.decontaminate import leaks
 from audira.llm.fst_tokens import token_counts
+from audira.llm.html_text import page_texts
 from audira.llm.language import language_report
 from audira.llm.mixing import mix_report
 from audira.llm.near_dedup import near_duplicates
 from audira.llm.quality import quality_report
 from audira.llm.token_files import token_file_report
+from audira.llm.tool_calls import derived_calls, derived_results, link_tool_calls, tool_schemas
 from audira.llm.warc import warc_report
 from audira.plans.registry import Query
 
@@ -148,3 +151,64 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_language")
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
+
+
+@register("op5_page_texts")
+def op5_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# The derived calls, their levels by the longest chain, errors and canonical lines.
+CALLS_SQL = r"""
+WITH RECURSIVE t AS (
+    SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'assistant'
+), c AS (
+    SELECT conv_id, turn AS seq, text, n, 'c' || conv_id || '-' || turn AS call_id,
+        CASE WHEN n % 41 = 0 THEN 'weather' WHEN n % 3 = 0 THEN 'search' WHEN n % 3 = 1 THEN 'translate' ELSE 'score' END AS name,
+        list_sort(list_distinct(list_filter([turn // 2, turn // 3], lambda x: x > 0 AND x < turn))) AS up FROM t
+), edge AS (
+    SELECT DISTINCT call_id, 'c' || conv_id || '-' || unnest(up) AS needs FROM c
+), known AS (
+    SELECT e.call_id, e.needs, k.call_id IS NOT NULL AS known FROM edge e LEFT JOIN (SELECT DISTINCT call_id FROM c) k ON k.call_id = e.needs
+), path(call_id, level) AS (
+    SELECT DISTINCT call_id, 0 FROM c
+    UNION
+    SELECT k.call_id, p.level + 1 FROM path p JOIN known k ON k.needs = p.call_id AND k.known
+), lv AS (
+    SELECT call_id, max(level) AS level FROM path GROUP BY call_id
+), unmet AS (
+    SELECT call_id, list_sort(list('depends ' || needs)) AS unmet FROM known WHERE NOT known GROUP BY call_id
+), u AS (
+    SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'user'
+), r AS (
+    SELECT call_id, min_by(text, turn) AS content, count(*) AS n_results FROM u GROUP BY call_id
+), a AS (
+    SELECT c.*, lv.level, coalesce(unmet, []) AS unmet, content, coalesce(n_results, 0) AS n_results, n % 11 = 0 AS broken,
+        CASE name WHEN 'search' THEN CASE WHEN n % 7 = 0 THEN '{"limit":' || n || ',"text":' || to_json(text) || '}' ELSE '{"limit":' || n || ',"query":' || to_json(text) || '}' END
+        WHEN 'translate' THEN '{"text":' || to_json(text) || ',"to":' || CASE WHEN n % 5 = 0 THEN n::VARCHAR ELSE '"en"' END || '}'
+        ELSE '{"strict":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"value":' || regexp_replace((n::DOUBLE / 2)::VARCHAR, '\.0$', '') || ',"weights":[' || n || ',' || (n + 1) || ']}' END AS args,
+        CASE WHEN name = 'weather' THEN ['tool'] WHEN n % 11 = 0 THEN ['arguments'] WHEN name = 'search' AND n % 7 = 0 THEN ['missing query', 'unexpected text']
+        WHEN name = 'translate' AND n % 5 = 0 THEN ['type to'] ELSE [] END AS wrong
+    FROM c JOIN lv USING (call_id) LEFT JOIN unmet USING (call_id) LEFT JOIN r USING (call_id)
+), b AS (
+    SELECT *, wrong || unmet AS errors,
+        CASE WHEN len(wrong) + len(unmet) > 0 THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'ok' END AS status FROM a
+)
+SELECT conv_id, seq, call_id, name, level, status, array_to_string(errors, '; ') AS errors, n_results,
+    '{"arguments":' || CASE WHEN broken THEN 'null' ELSE args END || ',"call_id":"' || call_id || '","conv_id":' || conv_id
+    || ',"depends_on":[' || CASE WHEN seq // 2 > 0 THEN '"c' || conv_id || '-' || (seq // 2) || '"' ELSE '' END
+    || CASE WHEN seq // 3 > 0 AND seq // 3 <> seq // 2 THEN ',"c' || conv_id || '-' || (seq // 3) || '"' ELSE '' END
+    || '],"errors":' || to_json(errors) || ',"level":' || level || ',"name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null')
+    || ',"status":"' || status || '"}' AS line
+FROM b
+UNION ALL
+SELECT NULL, turn, call_id, NULL, NULL, 'orphan', '', 0, '{"call_id":"' || call_id || '","result":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"status":"orphan"}'
+FROM u WHERE call_id NOT IN (SELECT call_id FROM c)
+"""
+
+
+@register("op10_tool_calls", CALLS_SQL)
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    linked = link_tool_calls(derived_calls(conversations), derived_results(conversations), tool_schemas(spark))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
