@@ -8,6 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Codes that the decoder can look up: it sees at least so many bits from any bit offset on.
+MAX_BITS = 25
+
+
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Length of the code of each symbol (counts above 0), at most ``limit``, by package-merge.
 
@@ -50,6 +54,8 @@ class Codebook:
     def from_counts(ids: np.ndarray, counts: np.ndarray, limit: int = 16) -> Codebook:
         """The limit is raised where so many ids do not fit."""
         limit = max(limit, math.ceil(math.log2(max(len(ids), 2))) + 1)
+        if limit > MAX_BITS:
+            raise ValueError(f"codes of {limit} bits are too long for the decoder")
         order = np.argsort(ids)
         return Codebook(ids[order].astype(np.int64), code_lengths(counts[order], limit))
 

@@ -6,10 +6,14 @@
 2. Documents with equal words are one class, represented by the smallest doc_id. Only representatives go on.
 3. ``bands`` bands of the signature make buckets. With 32 bands of 4 bins a pair at similarity 0.75 shares no bucket with a
    chance of 5 in a million, at 0.8 of 5 in 10^8.
-4. In each bucket a few documents are hubs; the candidates are the edges of a hub to the bucket's documents outside its
-   component. Each edge is checked on the full sets, components are merged, hubs are taken out of their buckets, buckets
-   left with one component are dropped, and the next round takes four times as many hubs. So every pair of a bucket is
-   checked unless its documents are already in one component, while a bucket of n copies costs n - 1 edges, not n^2 / 2.
+4. In each bucket one document is the hub; the candidates are the edges of the star around it. Each edge is checked on the
+   full sets and components are merged, so a bucket of n copies costs n - 1 edges, not n^2 / 2.
+5. Buckets left with several components hold chance meetings, documents that share a long passage, and copies that lie far
+   from the hub. Their documents get new buckets by their rarest shingles: two sets of given sizes with the wanted
+   similarity have so many shingles in common that one is among the first few of each in one order of all shingles. Common
+   passages come last in that order, and shingles that one document has alone make no bucket. Stars are drawn again, hubs
+   are taken out of their buckets, buckets left with one component are dropped, and each round takes eight times as many
+   hubs, until no bucket is left: every pair is checked, inside one component, or has too many shingles of its own.
 
 Null, empty and blank texts have empty sets and link with nothing. A text with fewer than five words is one shingle.
 Repeated doc_ids are one document whose texts may each link it; null doc_ids are left alone: they keep component null and
@@ -179,41 +183,93 @@ def star_edges(buckets: DataFrame, hubs_per_bucket: int, config: MinHash) -> tup
     """Hubs of each bucket (bucket, rep) and their edges (a, b) to the bucket's rows in other components.
 
     The documents of small components come first, as those are the ones still to be compared. A bucket's sizes are
-    aggregates, so no bucket is gathered in one task.
+    aggregates, so no bucket is gathered in one task. Pairs that cannot be similar enough are left out: no more than
+    ``n_common`` shingles of a document occur in any other. Rows with a ``side`` meet those of the other side only.
     """
     # The order of the documents is the same in all buckets, so that a group of copies has few different hubs.
     order = F.struct(F.col("n_in"), F.xxhash64("rep"), F.col("rep"))
     stats = buckets.groupBy("bucket").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_rows"))
     chance = (F.pmod(F.xxhash64("rep", "bucket", F.lit(hubs_per_bucket)), F.lit(1 << 20)) * F.col("n_rows")) < F.lit((hubs_per_bucket - 1) << 20)
     marked = buckets.join(stats, "bucket").withColumn("is_hub", (order == F.col("least")) | chance)
-    hubs = settle(marked.where("is_hub").select("bucket", "rep", "component", "n_shingles"))
-    a = hubs.select("bucket", F.col("rep").alias("a"), F.col("component").alias("comp_a"), F.col("n_shingles").alias("n_a"))
-    b = buckets.select("bucket", F.col("rep").alias("b"), "component", "n_shingles")
-    similar = (100 * F.least("n_a", "n_shingles")) >= config.min_pct * F.greatest("n_a", "n_shingles")
-    pairs = b.join(a, "bucket").where((F.col("component") != F.col("comp_a")) & similar)
-    return hubs, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hubs = settle(marked.where("is_hub").select("bucket", "rep", "component", "n_shingles", "n_common", "side"))
+    a, b = (t.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n_shingles", "n_common", "side")]) for t, x in ((hubs, "a"), (buckets, "b")))
+    enough = F.least("n_common_a", "n_common_b") * (100 + config.min_pct) >= config.min_pct * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    meet = (F.col("component_a") != F.col("component_b")) & (F.col("side_a").isNull() | (F.col("side_a") != F.col("side_b")))
+    pairs = b.join(a, "bucket").where(meet & enough)
+    return hubs, pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def linked(rows: DataFrame, buckets: DataFrame, config: MinHash) -> DataFrame:
-    """All confirmed links (a, b) between the representatives of the buckets, up to those inside one component."""
+    """(id, component) of the representatives with a link, found from the buckets (bucket, rep, n_shingles, n_common, side)."""
     reps = settle(buckets.select("rep").distinct())
     sets = shingle_sets(rows.join(reps, rows["doc_id"] == reps["rep"], "left_semi"), config)
     sets = settle(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n_shingles"), "shingles"))
-    links, n_hubs = None, 1
+    labels = reps.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
+    buckets = buckets.withColumns({"component": F.col("rep"), "n_in": F.lit(1).cast("long")})
+    n_hubs = 0
     while True:
-        hubs, edges = star_edges(buckets, n_hubs, config)
+        hubs, edges = star_edges(buckets, max(n_hubs, 1), config)
         found = settle(confirmed(edges, sets, config))
-        links = found if links is None else links.union(found)
-        left = buckets.join(hubs.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n_shingles")
-        labels = components(links)
-        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_in"))
-        labels = settle(labels.join(sizes, "component").select(F.col("id").alias("rep"), "component", "n_in"))
-        left = settle(left.join(labels, "rep", "left").withColumns({"component": F.coalesce("component", "rep"), "n_in": F.coalesce("n_in", F.lit(1))}))
-        mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        buckets = settle(left.join(mixed.select("bucket"), "bucket", "left_semi"))
+        if not found.isEmpty():
+            labels = settle(merged(labels, found))
+        buckets = unfinished(buckets.join(hubs.select("bucket", "rep"), ["bucket", "rep"], "left_anti"), labels)
         if buckets.isEmpty():
-            return links
-        n_hubs *= 4
+            return labels
+        if n_hubs == 0:
+            reps = buckets.select("rep").distinct()
+            buckets = unfinished(rare_shingle_buckets(sets.join(reps, "rep", "left_semi"), config), labels)
+            if buckets.isEmpty():
+                return labels
+        n_hubs = max(n_hubs * 8, 1)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after some more links (a, b) between ids."""
+    a, b = (labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left")
+    between = settle(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
+    roots = components(between)
+    moved = labels.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    moved = moved.select("id", F.coalesce("root", "component").alias("component"))
+    fresh = roots.join(labels.select("id"), "id", "left_anti").select("id", "component")
+    return moved.union(fresh)
+
+
+def unfinished(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets that hold several components, with component and its size n_in."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_in"))
+    of = labels.join(sizes, "component").select(F.col("id").alias("rep"), "component", "n_in")
+    rows = buckets.select("bucket", "rep", "n_shingles", "n_common", "side").join(of, "rep", "left")
+    rows = settle(rows.withColumns({"component": F.coalesce("component", "rep"), "n_in": F.coalesce("n_in", F.lit(1).cast("long"))}))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return settle(rows.join(several.select("bucket"), "bucket", "left_semi"))
+
+
+#: Ratio of the sizes of two neighbouring size bands.
+BAND = 1.05
+
+
+def rare_shingle_buckets(sets: DataFrame, config: MinHash) -> DataFrame:
+    """(bucket, rep, n_shingles, n_common, side): each set's rarest shared shingles, for each size band of a partner.
+
+    Sets of sizes n and m with the wanted similarity have at least (n + m) * pct / (100 + pct) shingles in common, so in any
+    one order of all shingles their first common one is among the first n - that + 1 of the one and likewise of the other.
+    The order is by frequency; the shingles that no other set has come first and need not be listed.
+    """
+    each = sets.select("rep", "n_shingles", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(often, "shingle").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    n, pct, log = F.col("n_shingles"), config.min_pct, float(np.log(BAND))
+    band = lambda x: F.floor(F.log(x) / F.lit(log)).cast("int")
+    shared = shared.withColumns({"own": band(n), "n_common": F.size("s")})
+    # One band more at both ends and one shingle less in each band, so that rounding loses no pair.
+    partners = shared.withColumn("other", F.explode(F.sequence(band(F.greatest(n * pct / 100, F.lit(1.0))) - 1, band(n * 100 / pct) + 1)))
+    least = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("other"))) - 1, F.lit(1))
+    first = n - F.ceil((n + least) * pct / (100 + pct)) + 1 - (n - F.col("n_common"))
+    rows = partners.withColumn("first", first.cast("int")).where("first > 0").withColumn("shingle", F.explode(F.slice("s", F.lit(1), F.col("first"))["shingle"]))
+    bucket = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") != F.col("other"), F.col("own"))
+    return rows.select(bucket.alias("bucket"), "rep", "n_shingles", "n_common", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", config: MinHash = MinHash()) -> DataFrame:
@@ -226,11 +282,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n_shingles")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = settle(buckets.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("rep").alias("component"), F.lit(1).cast("long").alias("n_in")))
-    links = linked(rows, buckets, config)
+    bands = buckets.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("n_shingles").alias("n_common"), F.lit(None).cast("int").alias("side"))
+    labels = linked(rows, settle(bands), config)
     same_text = texts.join(classes.where("n_docs > 1").select("text_hi", "text_lo", "rep"), ["text_hi", "text_lo"]).where("doc_id <> rep")
-    all_links = same_text.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(links.union(all_links))
+    labels = merged(labels, same_text.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     out = all_signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
