@@ -1,19 +1,16 @@
 """Ranks, positions and running sums that never gather an unbounded group in one task.
 
-A window over a group runs as one task per group. That is the right plan for small inputs, and the wrong one
-for a group that holds a third of a large table. ``running_sums`` therefore has two physical forms:
+A window over a group runs as one task per group, and a group may hold a third of a table. ``running_sums`` therefore
+range-partitions the rows on (group, order), stores the range number with each row in the checkpoint folder, turns
+partition totals into offsets and sums each range on its own. There is this one form for every size of input.
 
-* input files below ``audira.window.maxInputBytes``: a plain window;
-* above: rows are range-partitioned on (group, order), the range number is stored with each row in the
-  checkpoint folder, partition totals per group become offsets, and each range is summed on its own.
-
-The order must be total (unique within the group) for positions; ranks use one row per distinct value, so heavy
-ties cost nothing.
+The order must be total (unique within the group) for positions; ranks use one row per distinct value. Groups are compared
+null-safe: rows without a group are a group of their own. Values come back to the rows by joins that Spark splits when a
+key is hot, and turns into broadcasts when it has measured that the other side is small.
 """
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,24 +18,6 @@ from pyspark.sql import functions as F
 
 from audira.session import cut_lineage
 
-BROADCAST_ROWS = 200_000
-MAX_INPUT_KEY = "audira.window.maxInputBytes"
-MAX_INPUT_DEFAULT = 256 * 1024 * 1024
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and tables a DataFrame reads, from plan statistics; starts no job."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    try:
-        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except ValueError:  # an estimate with thousands of digits, as joins of checkpointed rows have
-        return sys.maxsize
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(MAX_INPUT_KEY, str(MAX_INPUT_DEFAULT)))
-    return input_bytes(df) <= limit
-
 
 def _window(groups: list[str]):
     return Window.partitionBy(*[F.col(g) for g in groups])
@@ -62,31 +41,20 @@ def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join with a table that is expected to be small, such as values per group.
-
-    On a large input the small side is written to the checkpoint folder and counted: up to ``BROADCAST_ROWS`` rows
-    it is broadcast, so that the big side is not shuffled by a few hot keys; beyond, Spark joins as it sees fit.
-    """
-    if fits_one_task(big):
-        return big.join(small, keys, how)
-    fixed = cut_lineage(small)
-    return big.join(F.broadcast(fixed) if fixed.count() <= BROADCAST_ROWS else fixed, keys, how)
+    """Null-safe join with a table of values per key; keys that repeat in ``small`` repeat the rows."""
+    joined = big.alias("l").join(small.alias("r"), _same_keys("l", "r", keys), how)
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in small.columns if c not in keys])
 
 
 def with_group_values(df: DataFrame, groups: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """Add aggregates of the row's group: a window on a small input, else an aggregate joined back.
-
-    Without groups they are global: scalars on a large input.
-    """
-    if fits_one_task(df):
-        return df.withColumns({name: agg.over(_window(groups)) for name, agg in aggs.items()})
+    """Add aggregates of the row's group, joined back; without groups they are global, as scalars."""
     values = df.groupBy(*groups).agg(*[a.alias(n) for n, a in aggs.items()])
     return join_small(df, values, groups) if groups else with_scalars(df, values)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Rows that several later steps read: on a large input they are computed and written once."""
-    return df if fits_one_task(df) else cut_lineage(df)
+    """Rows that several later steps read: computed and written once."""
+    return cut_lineage(df)
 
 
 def running_sums(
@@ -102,10 +70,6 @@ def running_sums(
     ``order`` must be unique within a group. Rows of equal weight 1 give ``row_number() - 1`` and the group size.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    if fits_one_task(df):
-        earlier = _window(groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        out = df.withColumn(before, F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
-        return out.withColumn(total, F.sum(weight).over(_window(groups))) if total else out
     ranged = cut_lineage(
         df.withColumn("_w", weight)
         .repartitionByRange(*[F.col(g) for g in groups], *order)
@@ -145,21 +109,6 @@ def with_ranks(
     Null values get null ranks; ``n`` counts the known values of the group.
     """
     groups = list(groups)
-    if fits_one_task(df):
-        by_group = _window(groups)
-        known = F.col(value).isNotNull()
-        up = by_group.orderBy(F.col(value).asc_nulls_last())
-        peers = up.rangeBetween(Window.currentRow, Window.currentRow)
-        place = F.rank().over(up).cast("bigint")
-        count, tied = F.count(value).over(by_group), F.count(value).over(peers)
-        return df.withColumns(
-            {
-                n: count,
-                rank_asc: F.when(known, place),
-                ties: F.when(known, tied),
-                rank_desc: F.when(known, count - place - tied + 2),
-            }
-        )
     # The input has to be the same rows in both readings, or a value could miss its rank.
     fixed = cut_lineage(df)
     histogram = fixed.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias(ties))
@@ -169,8 +118,7 @@ def with_ranks(
     counts = histogram.groupBy(*groups).agg(F.sum(ties).alias("_known"))
     out = joined.select(*[F.col(f"l.{c}") for c in df.columns], F.col(f"r.{ties}"), F.col("r._before"))
     if groups:
-        out = out.alias("l").join(counts.alias("c"), _same_keys("l", "c", groups), "left")
-        out = out.select("l.*", F.coalesce("c._known", F.lit(0)).alias(n))
+        out = join_small(out, counts, groups, "left").withColumn(n, F.coalesce("_known", F.lit(0))).drop("_known")
     else:
         out = out.withColumn(n, F.coalesce(counts.scalar(), F.lit(0)))
     return (
@@ -204,14 +152,6 @@ def with_percentrank_inc(df: DataFrame, values: dict[str, str], groups: list[str
     Rows without a value count as rows, but stay null. ``values`` maps a column to the name of its rank.
     """
     groups = list(groups)
-    if fits_one_task(df):
-        rows = F.count("*").over(_window(groups))
-        added = {}
-        for value, name in values.items():
-            place = F.rank().over(_window(groups).orderBy(F.col(value).asc_nulls_last()))
-            pct = F.when(F.col(value).isNotNull(), (place - 1) / (rows - 1))
-            added[name] = F.when(rows <= 1, F.lit(1.0)).otherwise(pct)
-        return df.withColumns(added)
     # One range partitioning serves all columns: their values are ranked side by side under a name.
     fixed = cut_lineage(df)
     sizes = fixed.groupBy(*groups).agg(F.count("*").alias("_rows"))
@@ -234,10 +174,9 @@ def keep_top(df: DataFrame, groups: list[str], order: list[Column], n: int, salt
     A hot group is first cut to ``n`` rows in each of ``salts`` slices, so the last step sees ``n * salts`` rows.
     """
     rank = "_top"
-    if not fits_one_task(df):
-        sliced = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
-        inner = Window.partitionBy(*[F.col(g) for g in groups], "_salt").orderBy(*order)
-        df = sliced.withColumn(rank, F.row_number().over(inner)).where(F.col(rank) <= n).drop(rank, "_salt")
+    sliced = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    inner = Window.partitionBy(*[F.col(g) for g in groups], "_salt").orderBy(*order)
+    df = sliced.withColumn(rank, F.row_number().over(inner)).where(F.col(rank) <= n).drop(rank, "_salt")
     outer = _window(groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n).drop(rank)
 

@@ -25,7 +25,7 @@ def run_folder(spark, name: str) -> str:
 @query(
     "overwrite_partition",
     with_ctes(CATALOG_SQL)
-    + """SELECT id, CASE WHEN source_file = 'src5' THEN upper(title) ELSE title END AS title, source_file FROM catalog
+    + """SELECT id, CASE WHEN source_file = 'src5' THEN 'new ' || title ELSE title END AS title, source_file FROM catalog
 WHERE source_file <> 'src5' OR privacy = 'public'""",
 )
 def overwrite_partition(spark, d):
@@ -34,7 +34,7 @@ def overwrite_partition(spark, d):
     rows = b.catalog(spark, d).select("id", "title", "published_at", "source_file", "privacy")
     catalog.overwrite_partition(rows, path, meta, AS_OF, "first")
     newer = rows.where((F.col("source_file") == "src5") & (F.col("privacy") == "public"))
-    newer = newer.withColumn("title", F.upper("title"))
+    newer = newer.withColumn("title", F.concat(F.lit("new "), "title"))
     catalog.overwrite_partition(newer, path, meta, AS_OF + dt.timedelta(hours=1), "second")
     return spark.read.parquet(path).select("id", "title", F.col("source_file").cast("string").alias("source_file"))
 
@@ -118,11 +118,20 @@ def stream_user_sessions(spark, d):
     return run_append(jobs.stream_user_sessions(event_stream(spark, d)), run_folder(spark, "sessions"))
 
 
-@query("stream_capped_ingest", "SELECT event_id, user_id, event_type FROM events")
+@query(
+    "stream_capped_ingest",
+    """WITH s AS (SELECT event_id % 4 AS batch, count(*) AS n FROM events GROUP BY 1),
+held AS (SELECT batch, coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT event_id, user_id, event_type FROM events JOIN held ON held.batch = event_id % 4 WHERE before < 300""",
+)
 def stream_capped_ingest(spark, d):
+    """The events arrive in four files, one a batch; the cap of 300 rows leaves the later ones out."""
     folder = run_folder(spark, "ingest")
-    stream = event_stream(spark, d).select("event_id", "user_id", "event_type")
-    jobs.stream_capped_ingest(stream, f"{folder}/out", f"{folder}/state", 1000, ["event_id"]).awaitTermination()
+    rows = b.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    for k in range(4):
+        rows.where(F.pmod("event_id", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_capped_ingest(stream, f"{folder}/out", f"{folder}/state", 300, ["event_id"]).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 

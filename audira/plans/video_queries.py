@@ -26,11 +26,11 @@ START_SQL, END_SQL = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-20 0
 
 @query(
     "scan_catalog_partition",
-    CAT + "SELECT id, title, length(description) AS chars, published_at FROM catalog WHERE source_file = 'src3'",
+    CAT + "SELECT id, title, md5(description) AS digest, published_at FROM catalog WHERE source_file = 'src3'",
 )
 def scan_catalog_partition(spark, d):
     rows = catalog.scan_catalog_partition(b.catalog(spark, d), "src3")
-    return rows.select("id", "title", F.length("description").cast("bigint").alias("chars"), "published_at")
+    return rows.select("id", "title", F.md5("description").alias("digest"), "published_at")
 
 
 @query(
@@ -130,7 +130,7 @@ def dedup_latest(spark, d):
 @query(
     "flatten_playlist_items",
     CAT
-    + """SELECT id, title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS date, length(description) AS chars FROM catalog
+    + """SELECT id, title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS date, md5(description) AS digest FROM catalog
 WHERE privacy = 'public' AND n_chars >= 300""",
 )
 def flatten_playlist_items(spark, d):
@@ -148,7 +148,7 @@ def flatten_playlist_items(spark, d):
     pages = rows.groupBy(F.floor(number / 50)).agg(F.collect_list(item).alias("items"))
     pages = pages.select(F.to_json(F.struct("items")).alias("body"))
     out = catalog.flatten_playlist_items(pages)
-    return out.select("id", "title", "date", F.length("description").cast("bigint").alias("chars"))
+    return out.select("id", "title", "date", F.md5("description").alias("digest"))
 
 
 def _statistics_pages(spark, d):
@@ -176,7 +176,7 @@ def _statistics_pages(spark, d):
   'video ' || video_id AS title, '' AS channelTitle, '2024-01-02 05:30:00' AS publishedAt,
   (seconds // 60) || ':' || lpad(CAST(seconds % 60 AS VARCHAR), 2, '0') AS duration,
   CASE WHEN seconds <= 60 THEN 'Shorts' ELSE 'Clip' END AS shortType, rt_views AS viewCount,
-  CASE WHEN video_id % 4 = 0 THEN 0 ELSE rt_likes END AS likeCount, 0 AS commentCount FROM realtime""",
+  CASE WHEN video_id % 4 = 0 THEN 0 ELSE rt_likes END AS likeCount, 0 AS commentCount FROM all_realtime""",
 )
 def flatten_video_statistics(spark, d):
     return catalog.flatten_video_statistics(_statistics_pages(spark, d))
@@ -249,7 +249,7 @@ WHERE coalesce(views, 0) > 0 OR coalesce(rt_views, 0) > 0""",
     {"period_views": 2, "avg_pct": 6, "duration_min": 1},
 )
 def video_enriched(spark, d):
-    return videos.video_enriched(b.video_list(spark, d), b.video_main(spark, d), b.realtime(spark, d))
+    return videos.video_enriched(b.video_list(spark, d), b.video_main(spark, d), b.realtime(spark, d, recent_only=True))
 
 
 @query(
@@ -264,7 +264,7 @@ FROM videos v LEFT JOIN period USING (video_id) LEFT JOIN realtime USING (video_
     {"total_views": 2, "avg_view_pct": 6},
 )
 def channel_totals(spark, d):
-    return videos.channel_totals(b.video_list(spark, d), b.video_main(spark, d), b.realtime(spark, d))
+    return videos.channel_totals(b.video_list(spark, d), b.video_main(spark, d), b.realtime(spark, d, recent_only=True))
 
 
 @query(
@@ -349,7 +349,7 @@ def demographic_share(spark, d):
     "view_threshold_counts",
     with_ctes(LIST_SQL)
     + """SELECT count(*) FILTER (WHERE rt_views >= 100000) AS at_least_100000, count(*) FILTER (WHERE rt_views >= 500000)
-  AS at_least_500000, count(*) FILTER (WHERE rt_views >= 1000000) AS at_least_1000000 FROM realtime""",
+  AS at_least_500000, count(*) FILTER (WHERE rt_views >= 1000000) AS at_least_1000000 FROM all_realtime""",
 )
 def view_threshold_counts(spark, d):
     return videos.view_threshold_counts(b.realtime(spark, d), "viewCount")
@@ -498,7 +498,7 @@ def union_distinct_keys(spark, d):
 
 
 URL_PARTS_SQL = """'see https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') || ' and https://www.youtube.com/watch?x=1&v='
-  || lpad(CAST(page_id * 3 AS VARCHAR), 11, 'b') || ' or http://youtube.com/shorts/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') || ' ' || url"""
+  || lpad(CAST(page_id * 3 AS VARCHAR), 11, 'b') || ' or http://youtube.com/shorts/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') || ' ' || url || ' ' || html"""
 
 
 def _page_texts(spark, d):
@@ -507,14 +507,17 @@ def _page_texts(spark, d):
     body = F.concat(
         F.lit("see https://youtu.be/"), F.lpad(page, 11, "a"), F.lit(" and https://www.youtube.com/watch?x=1&v="),
         F.lpad(other, 11, "b"), F.lit(" or http://youtube.com/shorts/"), F.lpad(page, 11, "a"), F.lit(" "), F.col("url"),
+        F.lit(" "), F.col("html"),
     )
-    return b.table(spark, d, "pages").select("page_id", body.alias("body"), "html")
+    return b.table(spark, d, "pages").select("page_id", body.alias("body"))
 
 
 @query(
     "extract_video_ids",
-    """SELECT page_id, lpad(CAST(page_id AS VARCHAR), 11, 'a') AS video_id FROM pages
-UNION ALL SELECT page_id, lpad(CAST(page_id * 3 AS VARCHAR), 11, 'b') FROM pages""",
+    f"""WITH t AS (SELECT page_id, {URL_PARTS_SQL} AS body FROM pages)
+SELECT DISTINCT page_id, unnest(regexp_extract_all(body, 'https?://youtu\\.be/([A-Za-z0-9_-]{{11}})', 1)
+  || regexp_extract_all(body, 'https?://(?:www\\.)?youtube\\.com/shorts/([A-Za-z0-9_-]{{11}})', 1)
+  || regexp_extract_all(body, 'https?://(?:www\\.)?youtube\\.com/watch\\?(?:[^ \\n?]*&)?v=([A-Za-z0-9_-]{{11}})', 1)) AS video_id FROM t""",
 )
 def extract_video_ids(spark, d):
     return comments.extracted_ids(_page_texts(spark, d), "body", "page_id")
@@ -522,14 +525,11 @@ def extract_video_ids(spark, d):
 
 @query(
     "strip_urls",
-    f"""SELECT page_id, trim(regexp_replace(regexp_replace({URL_PARTS_SQL}, 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS clean,
-  length(trim(regexp_replace(regexp_replace(html, 'https?://\\S+', ' ', 'g'), '[\\s\\x0B\\x1C-\\x1F\\p{{Z}}]+', ' ', 'g'))) AS html_chars
-FROM pages""",
+    f"""SELECT page_id,
+  md5(trim(regexp_replace(regexp_replace({URL_PARTS_SQL}, 'https?://\\S+', ' ', 'g'), '[\\s\\x0B\\x1C-\\x1F\\p{{Z}}]+', ' ', 'g'))) AS digest FROM pages""",
 )
 def strip_urls(spark, d):
-    return _page_texts(spark, d).select(
-        "page_id", text.strip_urls("body").alias("clean"), F.length(text.strip_urls("html")).cast("bigint").alias("html_chars")
-    )
+    return _page_texts(spark, d).select("page_id", F.md5(text.strip_urls("body")).alias("digest"))
 
 
 @query(
@@ -548,7 +548,7 @@ def extract_query_schema(spark, d):
         F.lit("기간(KST): 2024-01-01T00:00:00+09:00 ~ 2024-01-31T23:59:59+09:00\n키워드: [drama, "), F.col("author"),
         F.lit(', ]\n옵션: { include_replies: TRUE, channel_filter: "official" }'),
     )
-    log = rows.select("comment_id", F.when(F.col("turn") % 2 == 0, block).otherwise(F.col("text")).alias("raw_query"))
+    log = rows.select("comment_id", F.when(F.col("turn") % 2 == 0, F.concat(block, F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("raw_query"))
     out = comments.extract_query_schema(log, "raw_query", "2024-06-01", "2024-06-02")
     return out.drop("raw_query").withColumn("keywords", F.array_join("keywords", ","))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,13 @@ def local_session(cpus: int = 8, app: str = "audira", **conf: str) -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Only a local session may go without: it gets a temporary folder. Elsewhere a folder of one machine would lose data.
+    """
+    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if folder is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="audira-checkpoint-"))
     return folder or sc.getCheckpointDir()

@@ -79,7 +79,6 @@ PRELAUNCH = PrelaunchSpec(
     ("s_story", "s_cast"), ("aware", "prefer", "intent"), "mentions", "buzz", "rank", routing=ROUTING
 )
 CURRENT_YEAR = 2026
-FIRST_SHIP = "2001-01-01"
 AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0)
 
 
@@ -104,15 +103,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a table that has fewer file splits than the session has cores; a larger one stays as it is.
-
-    Such a table is small, so one shuffle by key costs little, and the aggregates by that key need no other.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def entity_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entity: slot, start date and year."""
     start = F.expr("date_add(DATE'1996-01-01', CAST(p_partkey * 37 % 1800 AS INT))")
@@ -127,7 +117,7 @@ def metric_long(
     spark: SparkSession, sf_dir: str, metrics: list[str], slot: bool = False, title: bool = False
 ) -> DataFrame:
     """The long fact over some measures. ``slot`` joins part; ``title`` joins orders for segment and title type."""
-    line = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
+    line = table(spark, sf_dir, "lineitem")
     weeks = "floor(datediff(l_shipdate, DATE'1998-04-01') / 91)"
     base = line.selectExpr(
         "l_partkey AS entity_id",
@@ -207,7 +197,7 @@ def work_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Sums are rounded to cents, so that they do not depend on the order of addition.
     """
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit(FIRST_SHIP).cast("timestamp_ntz"))
+    line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
@@ -228,11 +218,10 @@ def work_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WORK_PERSON_SQL = f"""pairs AS (
+WORK_PERSON_SQL = """pairs AS (
   SELECT o_custkey AS person, p_brand AS work, round(sum(l_extendedprice), 2) AS person_buzz,
     CAST(count(DISTINCT date_trunc('week', l_shipdate)) AS DOUBLE) AS weeks_ranked
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
-  WHERE l_shipdate >= TIMESTAMP '{FIRST_SHIP} 00:00:00' GROUP BY 1, 2),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 wp AS (
   SELECT person, work, round(sum(person_buzz) OVER (PARTITION BY work), 2) AS work_buzz, person_buzz, weeks_ranked,
     CAST(count(*) OVER (PARTITION BY work) AS DOUBLE) AS persons_ranked,
@@ -270,14 +259,11 @@ dim AS (
 
 # ---- videos --------------------------------------------------------------------------------------------------
 
-TITLE_CHARS = 80
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a video catalogue; whole texts are the descriptions."""
+    """Documents as a video catalogue; whole texts are both the titles and the descriptions."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
-        F.substring("text", 1, TITLE_CHARS).alias("title"),
+        F.col("text").alias("title"),
         F.col("text").alias("description"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id % 720 AS INT))").alias("published_at"),
         F.col("source").alias("source_file"),
@@ -286,8 +272,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CATALOG_SQL = f"""catalog AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, {TITLE_CHARS}) AS title, text AS description,
+CATALOG_SQL = """catalog AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, text AS title, text AS description,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at, source AS source_file,
     CASE WHEN lang = 'de' THEN 'private' ELSE 'public' END AS privacy, n_chars FROM documents)"""
 
@@ -390,12 +376,13 @@ def video_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECENT = AS_OF
 
 
-def realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real-time statistics of a video; videos without a recent event have none."""
+def realtime(spark: SparkSession, sf_dir: str, recent_only: bool = False) -> DataFrame:
+    """Real-time statistics of a video; with ``recent_only`` videos without a recent event have none."""
     sums = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video_id")).agg(
         F.sum("value").alias("_v"), F.count("*").alias("_n"), F.max("ts").alias("_last")
     )
-    return sums.where(F.col("_last") >= F.lit(RECENT).cast("timestamp_ntz")).select(
+    recent = F.col("_last") >= F.lit(RECENT).cast("timestamp_ntz")
+    return sums.where(recent if recent_only else F.lit(True)).select(
         "video_id",
         F.floor(F.round("_v", 2) * 120).alias("viewCount"),
         F.col("_n").alias("likeCount"),
@@ -405,10 +392,10 @@ def realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIST_SQL = """videos AS (
   SELECT DISTINCT user_id % 5 AS channel, user_id AS video_id, 'video ' || user_id AS title FROM events),
-realtime AS (
+all_realtime AS (
   SELECT user_id AS video_id, CAST(floor(round(sum(value), 2) * 120) AS BIGINT) AS rt_views, count(*) AS rt_likes,
-    user_id % 3 * 60 + count(*) % 60 AS seconds FROM events GROUP BY user_id
-  HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00')"""
+    user_id % 3 * 60 + count(*) % 60 AS seconds, max(ts) >= TIMESTAMP '2024-01-30 12:00:00' AS recent FROM events GROUP BY user_id),
+realtime AS (SELECT * FROM all_realtime WHERE recent)"""
 
 
 # ---- comments, accounts --------------------------------------------------------------------------------------

@@ -146,8 +146,8 @@ def attach_period_labels(df: DataFrame, source: DataFrame, column: str, name: st
 
 def explode_labels(df: DataFrame, column: str = "period_raw") -> DataFrame:
     """One row per label of a '||' string, with its parsed (year, month, week)."""
-    label = F.explode(F.split(F.col(column), r"\|\|")).alias("label")
-    parsed = df.where(F.col(column).isNotNull()).select(label).distinct()
+    strings = df.select(F.col(column).alias("_s")).where(F.col("_s").isNotNull()).distinct()
+    parsed = strings.select(F.explode(F.split("_s", r"\|\|")).alias("label")).distinct()
     return parsed.withColumn("_p", dates.parse_period_label("label")).select(
         "label", F.col("_p.year").alias("year"), F.col("_p.month").alias("month"), F.col("_p.week").alias("week")
     )

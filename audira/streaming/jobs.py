@@ -49,7 +49,8 @@ def stream_catalog_dedup(videos: DataFrame, key: str = "id", rescan: str = "7 da
     """First row of each id within the re-scan period; state older than that is forgotten."""
     timed = videos.withColumn("_t", event_time("published_at"))
     if not videos.isStreaming:
-        return videos.dropDuplicates([key])
+        first = F.min_by(F.struct(*videos.columns), F.struct("published_at", F.xxhash64(*videos.columns)))
+        return videos.groupBy(key).agg(first.alias("_row")).select("_row.*")
     return timed.withWatermark("_t", rescan).dropDuplicatesWithinWatermark([key]).drop("_t")
 
 
@@ -66,25 +67,24 @@ def stream_user_sessions(events: DataFrame, idle: str = "120 minutes", lag: str
 def stream_capped_ingest(
     stream: DataFrame, path: str, checkpoint: str, total: int, order: list[str]
 ) -> StreamingQuery:
-    """Append batches until the sink holds ``total`` rows; the batch that crosses the cap is kept whole.
+    """Append source batches until the sink holds ``total`` rows; the batch that crosses the cap is kept whole.
 
-    The size of the sink is read before each batch. A replayed batch overwrites its own folder, so it is not
-    counted or written twice.
+    The cap counts whole batches, so what is kept depends on how the source cuts them (``maxFilesPerTrigger`` and the
+    like fix that). One row per batch beside the sink says how many rows it has held; the sink itself is never counted again.
+    A replayed batch overwrites its own folders, so it is not counted or written twice.
     """
     spark = stream.sparkSession
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = 0
-        try:
-            written = spark.read.schema(schema).parquet(path)
-            held = written.where(F.col("batch") < batch_id).count()
-        except Exception as error:  # the sink does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        if held < total:
-            out = batch.sortWithinPartitions(*order).withColumn("batch", F.lit(batch_id).cast("bigint"))
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        if batch_id:
+            sizes = spark.read.schema("rows long, batch long").parquet(f"{checkpoint}-sizes")
+            held = sizes.where(F.col("batch") < batch_id).agg(F.sum("rows")).first()[0] or 0
+        kept = batch if held < total else batch.limit(0)
+        out = kept.sortWithinPartitions(*order).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        size = kept.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        size.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{checkpoint}-sizes")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

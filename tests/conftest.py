@@ -26,13 +26,3 @@ def con(sf_dir):
     import oracle
 
     return oracle.connect(sf_dir)
-
-
-@pytest.fixture
-def big_input(spark):
-    """Treat every input as too large for a one-task window."""
-    from audira.operators.ordering import MAX_INPUT_KEY
-
-    spark.conf.set(MAX_INPUT_KEY, "0")
-    yield
-    spark.conf.unset(MAX_INPUT_KEY)

@@ -59,19 +59,13 @@ def test_view_routing(spark):
     assert kpi.route_view_rows(df.drop("attr3"), "total", routing).count() == 0
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_percent_rank_of_ties_and_nulls(spark, big, request):
-    if big:
-        request.getfixturevalue("big_input")
+def test_percent_rank_of_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 20.0), (4, 40.0), (5, None)], "id int, v double")
     got = pairs(ordering.with_pct_rank_avg(df, "v", name="p"), "id", "p")
     assert got == {1: 0.25, 2: 0.625, 3: 0.625, 4: 1.0, 5: None}
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_inclusive_percent_rank(spark, big, request):
-    if big:
-        request.getfixturevalue("big_input")
+def test_inclusive_percent_rank(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, 5.0)], "id int, v double")
     got = pairs(ordering.with_percentrank_inc(df, {"v": "p"}), "id", "p")
     assert got == {1: 0.0, 2: pytest.approx(1 / 3), 3: pytest.approx(1 / 3), 4: 1.0}
@@ -110,10 +104,7 @@ def test_previous_work_is_strictly_earlier(spark):
     assert pairs(compare.previous_work(df), "entity_id", "previous_id") == {"a": None, "b": "a", "c": "a", "x": None}
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_rank_neighbours(spark, big, request):
-    if big:
-        request.getfixturevalue("big_input")
+def test_rank_neighbours(spark):
     df = spark.createDataFrame([("s", i, float(100 - i)) for i in range(1, 10)], "slot string, entity_id int, value double")
     near = compare.rank_neighbors(df, ["slot"], target=2)
     assert sorted(r.position for r in near.collect()) == [1, 2, 3, 4, 5]
@@ -320,7 +311,7 @@ def test_top_k_keeps_the_total(spark):
     assert few.where("is_other").count() == 0
 
 
-def test_quantiles_interpolate(spark, big_input):
+def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 2, 2, 10]], "v double")
     row = ordering.exact_quantiles(df, "v", {"q": 0.9, "m": 0.5}).first()
     assert row.q == pytest.approx(6.8) and row.m == 2.0
@@ -394,7 +385,7 @@ def test_detail_catalogue_on_named_rows(spark):
     assert len(kpi.kpi_table(df, COMPARISON_KPIS).columns) == 8
 
 
-def test_a_hot_group_is_spread_over_ranges(spark, big_input, monkeypatch):
+def test_a_hot_group_is_spread_over_ranges(spark, monkeypatch):
     taken = []
     real = ordering.cut_lineage
     monkeypatch.setattr(ordering, "cut_lineage", lambda df: taken.append(real(df)) or taken[-1])

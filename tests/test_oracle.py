@@ -11,18 +11,6 @@ def test_query_matches_sql(spark, con, sf_dir, name):
     assert oracle.differences(spark, con, all_queries()[name], sf_dir) is None
 
 
-BIG = [
-    "rank_in_group", "rank_neighbors", "kpi_vs_group", "step_segment_gap", "survey_mean", "previous_work", "percentrank_inc",
-    "kpi_percentiles", "growth_grades", "person_composite_score", "tier_relative_scores", "similar_persons", "top_n_per_group",
-    "exact_quantiles", "append_capped_csv", "entities_by_recency", "value_vs_group_at_own_cutoff",
-]
-
-
-@pytest.mark.parametrize("name", BIG)
-def test_distributed_form_matches_sql(spark, con, sf_dir, big_input, name):
-    assert oracle.differences(spark, con, all_queries()[name], sf_dir) is None
-
-
 def test_contract_lists_the_same_names():
     import __spark_entry__ as contract
 
