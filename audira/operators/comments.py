@@ -52,8 +52,6 @@ def comment_sample(
     shuffle = F.when(F.col("part") == 2, random_order(seed, key))
     lines = sample.select(key, "part", comment_line(max_chars).alias("line"), likes.alias("_l"), shuffle.alias("_r"))
     # Null sorts first, so each part follows its own key.
-
-
     order = Window.partitionBy().orderBy("part", "_l", "_r", key)
     before = F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = lines.withColumn("chars_before", F.coalesce(before, F.lit(0)).cast("bigint"))
@@ -61,19 +59,17 @@ def comment_sample(
     return placed.where(F.col("chars_before") < max_total).select("line_no", "part", key, "line", "chars_before")
 
 
-def sample_meta(comments: DataFrame, sample: DataFrame, dedup_key: str = "text") -> DataFrame:
-    """Counts that go with a sample: all rows, distinct non-blank texts, sampled lines and characters."""
+def sample_meta(comments: DataFrame, sample: DataFrame, top_n: int = 1000, random_n: int = 1000, dedup_key: str = "text") -> DataFrame:
+    """Counts that go with a sample: all rows, distinct non-blank texts, rows drawn before the budget, lines and characters within it."""
     body = F.trim(F.col(dedup_key))
     all_rows = comments.agg(
         F.count("*").alias("total_rows"), F.count_distinct(F.when(body != "", body)).alias("unique_rows")
     )
-    used = sample.agg(
-        F.count_if(F.col("part") == 1).alias("used_top"),
-        F.count_if(F.col("part") == 2).alias("used_random"),
-        F.count("*").alias("lines"),
-        F.coalesce(F.sum(F.length("line") + 1), F.lit(0)).alias("chars"),
-    )
-    return with_scalars(all_rows, used)
+    drawn = all_rows.withColumn("used_top", F.least("total_rows", F.lit(top_n)).cast("bigint"))
+    drawn = drawn.withColumn("used_random", F.least(F.col("total_rows") - F.col("used_top"), F.lit(random_n)).cast("bigint"))
+    drawn = drawn.withColumn("sampled_target", F.col("used_top") + F.col("used_random"))
+    used = sample.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.length("line") + 1), F.lit(0)).alias("chars"))
+    return with_scalars(drawn, used)
 
 
 def except_selected(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:

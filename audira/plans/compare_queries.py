@@ -67,6 +67,32 @@ def peer_group(spark, d):
     return compare.peer_group(fact, TARGET, rating_metric="rating").select("entity_id", "step_no", "value")
 
 
+AIRED_SQL = f"(entity_id = {TARGET} OR entity_id IN (SELECT entity_id FROM ml WHERE metric = 'rating' AND value > 0))"
+
+
+@query(
+    "peer_group_variants",
+    ml("rating")
+    + f"""SELECT 'all' AS comparison, entity_id, step_no, value FROM ml WHERE {AIRED_SQL}
+UNION ALL SELECT 'slots', entity_id, step_no, value FROM ml
+  WHERE slot IN (SELECT slot FROM ent WHERE entity_id IN ({TARGET}, 2, 3)) AND year IN (1997, 1998) AND {AIRED_SQL}
+UNION ALL SELECT 'weekday', entity_id, step_no, value FROM ml
+  WHERE slot IN (SELECT slot FROM ent WHERE entity_id IN (4, 5)) AND year = (SELECT year FROM ent WHERE entity_id = {TARGET}) AND {AIRED_SQL}""",
+)
+def peer_group_variants(spark, d):
+    """All slots and years; chosen slots and years; the weekday slots of the target's year."""
+    fact = b.metric_long(spark, d, ["rating"], slot=True)
+    slot = {r.entity_id: r.slot for r in b.entity_dim(spark, d).where(F.col("entity_id").isin(TARGET, 2, 3, 4, 5)).collect()}
+    chosen, weekdays = {slot[k] for k in (TARGET, 2, 3)}, tuple({slot[k] for k in (4, 5)})
+    parts = {
+        "all": compare.peer_group(fact, TARGET, "all", [], "rating"),
+        "slots": compare.peer_group(fact, TARGET, sorted(chosen), [1997, 1998], "rating"),
+        "weekday": compare.peer_group(fact, TARGET, "weekday", None, "rating", weekdays),
+    }
+    rows = [p.select(F.lit(k).alias("comparison"), "entity_id", "step_no", "value") for k, p in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     "reference_date_cutoff",
     ml("rating")

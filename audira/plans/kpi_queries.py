@@ -169,6 +169,7 @@ def entity_sum_mean(spark, d):
     ml("rating", "audience", "ext_rank")
     + f"""SELECT entity_id, 'ep_sum_mean' AS mode, avg(s) AS value FROM (SELECT entity_id, step_no, sum(value) AS s FROM ml
   WHERE metric = 'audience' AND media = 'LIVE' AND {NZ} GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT entity_id, 'mean', avg(s) FROM (SELECT entity_id, step_no, avg(value) AS s FROM ml WHERE metric = 'rating' AND {NZ} GROUP BY 1, 2) GROUP BY 1
 UNION ALL SELECT entity_id, 'min', min(value) FROM ml WHERE metric = 'ext_rank' AND {NZ} GROUP BY 1
 UNION ALL SELECT entity_id, 'sum', sum(value) FROM ml WHERE metric = 'audience' AND {NZ} GROUP BY 1
 UNION ALL SELECT entity_id, 'vod', avg(s) FROM (SELECT entity_id, step_no, sum(value) AS s,
@@ -181,6 +182,7 @@ def entity_metric_series(spark, d):
 
     specs = [
         (MetricSpec("ep_sum_mean", "audience", "step_sum", ("LIVE",)), False),
+        (MetricSpec("mean", "rating", "mean"), False),
         (MetricSpec("min", "ext_rank", "min"), True),
         (MetricSpec("sum", "audience", "sum"), False),
         (MetricSpec("vod", "audience", "vod", ("VOD", "QUICK")), False),

@@ -293,11 +293,25 @@ def views_by_dimension(spark, d):
     return videos.views_by_dimension(b.video_dims(spark, d))
 
 
+def case_sql(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {column} END"
+
+
+@query(
+    "survey_label_lookup",
+    f"""SELECT user_id, key, {case_sql("key", videos.SURVEY_NAMES)} AS label
+FROM (SELECT DISTINCT user_id, list_value({", ".join(f"'{k}'" for k in videos.SURVEY_NAMES)}, 'other')[event_id % 8 + 1] AS key FROM events)""",
+)
+def survey_label_lookup(spark, d):
+    keys = F.array(*[F.lit(k) for k in (*videos.SURVEY_NAMES, "other")])
+    rows = b.table(spark, d, "events").select("user_id", F.element_at(keys, (F.col("event_id") % 8 + 1).cast("int")).alias("key"))
+    return videos.code_label_lookup(rows.distinct(), "key", videos.SURVEY_NAMES)
+
+
 @query(
     "code_label_lookup",
     with_ctes(DIMS_SQL)
-    + """SELECT channel, key, CASE key WHEN 'YT_SEARCH' THEN '유튜브 검색' WHEN 'RELATED_VIDEO' THEN '추천 동영상'
-  WHEN 'EXT_URL' THEN '외부 링크' WHEN 'PLAYLIST' THEN '재생목록' ELSE key END AS label FROM dims WHERE dim = 'traffic'""",
+    + f"""SELECT channel, key, {case_sql("key", videos.TRAFFIC_NAMES)} AS label FROM dims WHERE dim = 'traffic'""",
 )
 def code_label_lookup(spark, d):
     rows = b.video_dims(spark, d).where(F.col("dim") == "traffic").select("channel", "key")
@@ -438,12 +452,13 @@ def comment_sample(spark, d):
     CO
     + sample_sql(150, 120, 40_000)
     + """ SELECT (SELECT count(*) FROM comments) AS total_rows, (SELECT count(DISTINCT trim(text)) FROM comments WHERE trim(text) <> '')
-  AS unique_rows, count(*) FILTER (WHERE part = 1) AS used_top, count(*) FILTER (WHERE part = 2) AS used_random,
+  AS unique_rows, (SELECT least(count(*), 150) FROM comments) AS used_top,
+  (SELECT least(greatest(count(*) - 150, 0), 120) FROM comments) AS used_random, (SELECT least(count(*), 270) FROM comments) AS sampled_target,
   count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS chars FROM sampled""",
 )
 def comment_sample_meta(spark, d):
     rows = b.comments(spark, d)
-    return comments.sample_meta(rows, comments.comment_sample(rows, **SAMPLE))
+    return comments.sample_meta(rows, comments.comment_sample(rows, **SAMPLE), SAMPLE["top_n"], SAMPLE["random_n"])
 
 
 @query(

@@ -82,8 +82,8 @@ class AnchorRule:
     last_old_year: int = 2025
     old: dict[str, float] = field(default_factory=lambda: {"토일": 3.0, "월화": 2.0})
     new: dict[str, float] = field(default_factory=lambda: {"토일": 2.5, "월화": 1.5})
-    # Fixed value: one title is never counted.
-    excluded: tuple = ("신사장프로젝트",)
+    # Titles that are never counted.
+    excluded: tuple = ()
 
 
 @dataclass(frozen=True)

@@ -157,7 +157,7 @@ def test_sample_budget_is_checked_before_a_line(spark):
     df = spark.createDataFrame(rows, "comment_id string, isReply int, author string, text string, likeCount bigint")
     got = comments.comment_sample(df, max_total=27).orderBy("line_no").collect()
     assert [r.line for r in got] == ["[T|♥9] a: xx", "[T|♥8] a: xx", "[T|♥7] a: xx"]
-    meta = comments.sample_meta(df, comments.comment_sample(df, top_n=2, random_n=2)).first()
+    meta = comments.sample_meta(df, comments.comment_sample(df, top_n=2, random_n=2), 2, 2).first()
     assert (meta.total_rows, meta.unique_rows, meta.used_top, meta.used_random) == (5, 1, 2, 2)
 
 
