@@ -182,7 +182,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
 def star_edges(buckets: DataFrame, hubs_per_bucket: int, config: MinHash) -> tuple[DataFrame, DataFrame]:
     """Hubs of each bucket (bucket, rep) and their edges (a, b) to the bucket's rows in other components.
 
-    The documents of small components come first, as those are the ones still to be compared. A bucket's sizes are
+    Documents without a link come first, as those are the ones still to be compared. A bucket's sizes are
     aggregates, so no bucket is gathered in one task. Pairs that cannot be similar enough are left out: no more than
     ``n_common`` shingles of a document occur in any other. Rows with a ``side`` meet those of the other side only.
     """
@@ -205,7 +205,7 @@ def linked(rows: DataFrame, buckets: DataFrame, config: MinHash) -> DataFrame:
     sets = shingle_sets(rows.join(reps, rows["doc_id"] == reps["rep"], "left_semi"), config)
     sets = settle(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n_shingles"), "shingles"))
     labels = reps.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
-    buckets = buckets.withColumns({"component": F.col("rep"), "n_in": F.lit(1).cast("long")})
+    buckets = buckets.withColumns({"component": F.col("rep"), "n_in": F.lit(0)})
     n_hubs = 0
     while True:
         hubs, edges = star_edges(buckets, max(n_hubs, 1), config)
@@ -236,11 +236,10 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unfinished(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets that hold several components, with component and its size n_in."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_in"))
-    of = labels.join(sizes, "component").select(F.col("id").alias("rep"), "component", "n_in")
+    """The buckets that hold several components, with component and n_in (0: no link so far)."""
+    of = labels.select(F.col("id").alias("rep"), "component", F.lit(1).alias("n_in"))
     rows = buckets.select("bucket", "rep", "n_shingles", "n_common", "side").join(of, "rep", "left")
-    rows = settle(rows.withColumns({"component": F.coalesce("component", "rep"), "n_in": F.coalesce("n_in", F.lit(1).cast("long"))}))
+    rows = settle(rows.withColumns({"component": F.coalesce("component", "rep"), "n_in": F.coalesce("n_in", F.lit(0))}))
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return settle(rows.join(several.select("bucket"), "bucket", "left_semi"))
 
