@@ -12,7 +12,7 @@
    from the hub. Their documents get new buckets by their rarest shingles: two sets of given sizes with the wanted
    similarity have so many shingles in common that one is among the first few of each in one order of all shingles. Common
    passages come last in that order, and shingles that one document has alone make no bucket. Stars are drawn again, hubs
-   are taken out of their buckets, buckets left with one component are dropped, and each round takes eight times as many
+   are taken out of their buckets, buckets left with one component are dropped, and each round takes 64 times as many
    hubs, until no bucket is left: every pair is checked, inside one component, or has too many shingles of its own.
 
 Null, empty and blank texts have empty sets and link with nothing. A text with fewer than five words is one shingle.
@@ -179,28 +179,37 @@ def confirmed(edges: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
     return both.where(100 * common >= config.min_pct * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+#: What bounds the number of shingles that two rows of a bucket can have in common.
+PAIR_COLUMNS = ("n_shingles", "n_common", "rank", "sketch", "side")
+SKETCH = 64
+
+
 def star_edges(buckets: DataFrame, hubs_per_bucket: int, config: MinHash) -> tuple[DataFrame, DataFrame]:
     """Hubs of each bucket (bucket, rep) and their edges (a, b) to the bucket's rows in other components.
 
     Documents without a link come first, as those are the ones still to be compared. A bucket's sizes are
-    aggregates, so no bucket is gathered in one task. Pairs that cannot be similar enough are left out: no more than
-    ``n_common`` shingles of a document occur in any other. Rows with a ``side`` meet those of the other side only.
+    aggregates, so no bucket is gathered in one task. Pairs that cannot be similar enough are left out: ``n_common`` of a
+    document's shingles occur in others at all, and ``rank`` of those stand before the bucket's shingle in the order of all
+    shingles, so the two have at most so many in common before and behind it; nor can they have more in common than the
+    smaller one of their counts in each class of the ``sketch``. Rows with a ``side`` meet those of the other side only.
     """
     # The order of the documents is the same in all buckets, so that a group of copies has few different hubs.
     order = F.struct(F.col("n_in"), F.xxhash64("rep"), F.col("rep"))
     stats = buckets.groupBy("bucket").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_rows"))
     chance = (F.pmod(F.xxhash64("rep", "bucket", F.lit(hubs_per_bucket)), F.lit(1 << 20)) * F.col("n_rows")) < F.lit((hubs_per_bucket - 1) << 20)
     marked = buckets.join(stats, "bucket").withColumn("is_hub", (order == F.col("least")) | chance)
-    hubs = settle(marked.where("is_hub").select("bucket", "rep", "component", "n_shingles", "n_common", "side"))
-    a, b = (t.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n_shingles", "n_common", "side")]) for t, x in ((hubs, "a"), (buckets, "b")))
-    enough = F.least("n_common_a", "n_common_b") * (100 + config.min_pct) >= config.min_pct * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    hubs = settle(marked.where("is_hub").select("bucket", "rep", "component", *PAIR_COLUMNS))
+    a, b = (t.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", *PAIR_COLUMNS)]) for t, x in ((hubs, "a"), (buckets, "b")))
+    behind = F.least(F.col("n_common_a") - F.col("rank_a"), F.col("n_common_b") - F.col("rank_b"))
+    most = F.least(F.least("rank_a", "rank_b") + behind, F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x))
+    enough = most * (100 + config.min_pct) >= config.min_pct * (F.col("n_shingles_a") + F.col("n_shingles_b"))
     meet = (F.col("component_a") != F.col("component_b")) & (F.col("side_a").isNull() | (F.col("side_a") != F.col("side_b")))
     pairs = b.join(a, "bucket").where(meet & enough)
     return hubs, pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def linked(rows: DataFrame, buckets: DataFrame, config: MinHash) -> DataFrame:
-    """(id, component) of the representatives with a link, found from the buckets (bucket, rep, n_shingles, n_common, side)."""
+    """(id, component) of the representatives with a link, found from the buckets (bucket, rep and PAIR_COLUMNS)."""
     reps = settle(buckets.select("rep").distinct())
     sets = shingle_sets(rows.join(reps, rows["doc_id"] == reps["rep"], "left_semi"), config)
     sets = settle(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n_shingles"), "shingles"))
@@ -220,7 +229,7 @@ def linked(rows: DataFrame, buckets: DataFrame, config: MinHash) -> DataFrame:
             buckets = unfinished(rare_shingle_buckets(sets.join(reps, "rep", "left_semi"), config), labels)
             if buckets.isEmpty():
                 return labels
-        n_hubs = max(n_hubs * 8, 1)
+        n_hubs = max(n_hubs * 64, 1)
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,7 +247,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def unfinished(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The buckets that hold several components, with component and n_in (0: no link so far)."""
     of = labels.select(F.col("id").alias("rep"), "component", F.lit(1).alias("n_in"))
-    rows = buckets.select("bucket", "rep", "n_shingles", "n_common", "side").join(of, "rep", "left")
+    rows = buckets.select("bucket", "rep", *PAIR_COLUMNS).join(of, "rep", "left")
     rows = settle(rows.withColumns({"component": F.coalesce("component", "rep"), "n_in": F.coalesce("n_in", F.lit(0))}))
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return settle(rows.join(several.select("bucket"), "bucket", "left_semi"))
@@ -249,7 +258,7 @@ BAND = 1.05
 
 
 def rare_shingle_buckets(sets: DataFrame, config: MinHash) -> DataFrame:
-    """(bucket, rep, n_shingles, n_common, side): each set's rarest shared shingles, for each size band of a partner.
+    """(bucket, rep and PAIR_COLUMNS): each set's rarest shared shingles, for each size band of a partner.
 
     Sets of sizes n and m with the wanted similarity have at least (n + m) * pct / (100 + pct) shingles in common, so in any
     one order of all shingles their first common one is among the first n - that + 1 of the one and likewise of the other.
@@ -260,15 +269,19 @@ def rare_shingle_buckets(sets: DataFrame, config: MinHash) -> DataFrame:
     shared = each.join(often, "shingle").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
     n, pct, log = F.col("n_shingles"), config.min_pct, float(np.log(BAND))
     band = lambda x: F.floor(F.log(x) / F.lit(log)).cast("int")
-    shared = shared.withColumns({"own": band(n), "n_common": F.size("s")})
+    # Counts of the shared shingles by the low bits of their hashes; null, which bounds nothing, where a count is too large.
+    counts = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.size(F.filter("s", lambda x: F.pmod(x["shingle"], F.lit(SKETCH)) == k)))
+    sketch = F.when(F.array_max(counts) < 1 << 15, counts.cast("array<smallint>"))
+    shared = shared.withColumns({"own": band(n), "n_common": F.size("s"), "sketch": sketch})
     # One band more at both ends and one shingle less in each band, so that rounding loses no pair.
     partners = shared.withColumn("other", F.explode(F.sequence(band(F.greatest(n * pct / 100, F.lit(1.0))) - 1, band(n * 100 / pct) + 1)))
     least = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("other"))) - 1, F.lit(1))
     first = n - F.ceil((n + least) * pct / (100 + pct)) + 1 - (n - F.col("n_common"))
-    rows = partners.withColumn("first", first.cast("int")).where("first > 0").withColumn("shingle", F.explode(F.slice("s", F.lit(1), F.col("first"))["shingle"]))
+    rows = partners.withColumn("first", first.cast("int")).where("first > 0")
+    rows = rows.select("*", F.posexplode(F.slice("s", F.lit(1), F.col("first"))["shingle"]).alias("rank", "shingle"))
     bucket = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") != F.col("other"), F.col("own"))
-    return rows.select(bucket.alias("bucket"), "rep", "n_shingles", "n_common", side.alias("side"))
+    return rows.select(bucket.alias("bucket"), "rep", "n_shingles", "n_common", "rank", "sketch", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", config: MinHash = MinHash()) -> DataFrame:
@@ -281,7 +294,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n_shingles")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    bands = buckets.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("n_shingles").alias("n_common"), F.lit(None).cast("int").alias("side"))
+    bands = buckets.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("n_shingles").alias("n_common"), F.lit(0).alias("rank"))
+    bands = bands.withColumns({"sketch": F.lit(None).cast("array<smallint>"), "side": F.lit(None).cast("int")})
     labels = linked(rows, settle(bands), config)
     same_text = texts.join(classes.where("n_docs > 1").select("text_hi", "text_lo", "rep"), ["text_hi", "text_lo"]).where("doc_id <> rep")
     labels = merged(labels, same_text.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
