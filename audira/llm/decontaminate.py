@@ -6,14 +6,16 @@ document holds an item if a passage of it is within ``floor(max_edits * words of
 1. Windows. Each item falls in a size class, a grid of lengths with a ratio of about 1.12; its first words, as many as the
    class has, are its key passage. Every place of every text opens a window of each class that occurs. An edit changes at
    most two word pairs, so a window with more than ``2 * edits`` pairs that no key passage of its class has is left out
-   before anything else; the pairs are looked up in a bit map of fixed size, whatever the size of the benchmark.
+   before anything else, pairs that it repeats and no key passage does counted in. Pairs are looked up in a
+   bit map of fixed size, whatever the size of the benchmark. Of windows close to each other those with the fewest such
+   pairs are taken, since each stands for the text around it.
 2. CGK embedding. A window is read by a random walk: at each step the word under the pointer is copied, and the pointer
    moves on if a random bit of (step, word) says so. Few edits become few differing places.
 3. Bit-sampling LSH. Each of ``repeats`` walks samples ``samples`` places; windows and key passages that agree in all of
    them meet in a join on (class, repeat, key).
 4. Verification. The exact edit distance of the whole item to the best passage around the window decides.
 
-With 32 walks of 3 samples at least 99 of 100 passages with the largest number of edits are found, and all exact ones;
+With 64 walks of 3 samples at least 99 of 100 passages with the largest number of edits are found, and all exact ones;
 ``tests/llm`` measures it. Items with fewer than ``min_words`` words only match documents that consist of the same words.
 
 Null and empty texts match nothing, nor do items without words. Repeated rows give one row per (doc_id, item_id); null ids
@@ -47,7 +49,7 @@ PAIRS_AT_ONCE = 2000
 class Leaks:
     max_edits: float = 0.2  # of the words of an item
     min_words: int = 8
-    repeats: int = 32
+    repeats: int = 64
     samples: int = 3
 
     def edits(self, n_words: int) -> int:
@@ -71,12 +73,20 @@ def pair_bits(pairs: np.ndarray, size: int) -> np.ndarray:
     return (mix(pairs + np.uint64(size * 0xA24BAED4963EE407 % 2**64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
+#: Classes from here on hold the pairs that a key passage has more than once.
+REPEATED = 1 << 40
+
+
 @cache
 def walk(size: int, repeat: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random bits' seeds of the steps of one walk, and the steps that are sampled."""
-    random = np.random.default_rng([size, repeat])
-    seeds = random.integers(1, 2**63, 3 * size, dtype=np.uint64)
-    return seeds, np.sort(random.choice(3 * size, min(samples, 3 * size), replace=False))
+    """Random bits' seeds of the steps of one walk, and the steps that are sampled.
+
+    A walk moves on at every other step, so most have left the window after twice as many steps as it has words; what is
+    copied from there on is the same for all windows, and is not sampled.
+    """
+    random, steps = np.random.default_rng([size, repeat]), max(1, 7 * size // 4)
+    seeds = random.integers(1, 2**63, steps, dtype=np.uint64)
+    return seeds, np.sort(random.choice(steps, min(samples, steps), replace=False))
 
 
 def embedded(windows: np.ndarray, config: Leaks) -> np.ndarray:
@@ -115,7 +125,8 @@ def items_of(benchmark: DataFrame, item_id: str, text: str, config: Leaks) -> Da
                     hashes = words.hash[words.bounds[r] : words.bounds[r + 1]]
                     size = config.size_class(len(hashes))
                     part = Words(*[np.zeros(size, np.int64)] * 3, hashes[:size], np.array([0, size]))
-                    bits = pair_bits(ngrams(part, 2)[1], size).astype(np.uint64)
+                    pairs, times = np.unique(ngrams(part, 2)[1], return_counts=True)
+                    bits = np.concatenate([pair_bits(pairs, size), pair_bits(pairs[times > 1], size + REPEATED)]).astype(np.uint64)
                     keys = embedded(hashes[None, :size], config)[0]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(first + r, 1), pa.array([len(hashes)], pa.int32()), pa.array([size], pa.int32()), *[_lists(x, [len(x)]) for x in (hashes, keys, bits)]],
@@ -135,6 +146,37 @@ def bit_map(items: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def is_set(bit_map: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return bit_map[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1) > 0
+
+
+def repeats(grams: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: int, bit_map: np.ndarray) -> np.ndarray:
+    """In each window, known word pairs that stood in it before and that no key passage has twice."""
+    out = np.zeros(len(begin), np.int64)
+    if size < 3:
+        return out
+    for k in range(0, len(begin), 4096):
+        b, e = begin[k : k + 4096, None], stop[k : k + 4096, None]
+        at = b + np.arange(size - 1)
+        window = np.sort(np.where(at < e - 1, grams[np.minimum(at, len(grams) - 1)], np.uint64(0)), axis=1)
+        again = (window[:, 1:] == window[:, :-1]) & (window[:, 1:] != 0)
+        row, column = np.nonzero(again)
+        pairs = window[row, column + 1]
+        counted = is_set(bit_map, pair_bits(pairs, size)) & ~is_set(bit_map, pair_bits(pairs, size + REPEATED))
+        out[k : k + 4096] = np.bincount(row[counted], minlength=len(b))
+    return out
+
+
+def fewest(begin: np.ndarray, row: np.ndarray, strange: np.ndarray, reach: int) -> np.ndarray:
+    """Windows without a better one of the same text within ``reach`` words."""
+    best = np.ones(len(begin), bool)
+    for shift in range(1, reach + 1):
+        for step in (-shift, shift):
+            at = np.minimum(np.searchsorted(begin, begin + step), len(begin) - 1)
+            best &= ~((begin[at] == begin + step) & (row[at] == row) & (strange[at] < strange))
+    return best
+
+
 def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarray, config: Leaks) -> DataFrame:
     """Windows that may match an item of their class: (window, doc_id, place, size, keys, region)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -154,15 +196,21 @@ def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarra
                 for size, edits in classes.items():
                     bits = pair_bits(grams, size)
                     foreign = np.zeros(n + 1, np.int64)
-                    np.cumsum((known.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 0, out=foreign[1:])
+                    np.cumsum(~is_set(known.value, bits), out=foreign[1:])
                     if size < config.min_words:  # only a whole document can match
                         begin = np.flatnonzero((place == 0) & (counts == size))
                     else:
                         # Near the end of a text a passage with words left out may be shorter than its class.
                         begin = np.flatnonzero(place + size - edits <= counts)
                     stop = np.minimum(begin + size, words.bounds[words.row[begin] + 1])
-                    short = size - (stop - begin)
-                    begin, stop = (x[foreign[stop - 1] - foreign[begin] + 2 * short <= 2 * edits] for x in (begin, stop))
+                    strange = foreign[stop - 1] - foreign[begin] + 2 * (size - (stop - begin))
+                    begin, stop, strange = (x[strange <= 2 * edits] for x in (begin, stop, strange))
+                    if not len(begin):
+                        continue
+                    strange = strange + repeats(grams, begin, stop, size, known.value)
+                    begin, stop, strange = (x[strange <= 2 * edits] for x in (begin, stop, strange))
+                    best = fewest(begin, words.row[begin], strange, edits)
+                    begin, stop = begin[best], stop[best]
                     for k in range(0, len(begin), 4096):
                         b, e = begin[k : k + 4096], stop[k : k + 4096]
                         row = words.row[b]
