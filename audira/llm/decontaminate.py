@@ -15,7 +15,7 @@ document holds an item if a passage of it is within ``floor(max_edits * words of
    them meet in a join on (class, repeat, key).
 4. Verification. The exact edit distance of the whole item to the best passage around the window decides.
 
-With 64 walks of 3 samples at least 99 of 100 passages with the largest number of edits are found, and all exact ones;
+With 64 walks of 3 samples (one for each word of longer windows) at least 99 of 100 passages with the largest number of edits are found, and all exact ones;
 ``tests/llm`` measures it. Items with fewer than ``min_words`` words only match documents that consist of the same words.
 
 Null and empty texts match nothing, nor do items without words. Repeated rows give one row per (doc_id, item_id); null ids
@@ -55,6 +55,10 @@ class Leaks:
     def edits(self, n_words: int) -> int:
         return int(self.max_edits * n_words) if n_words >= self.min_words else 0
 
+    def walks(self, size: int) -> int:
+        """Long windows may hold more edits, so they take more walks."""
+        return max(self.repeats, size)
+
     def size_class(self, n_words: int) -> int:
         """Largest size of the grid that is not above the number of words; short items are classes of their own."""
         size = n_words if n_words < self.min_words else self.min_words
@@ -73,37 +77,41 @@ def pair_bits(pairs: np.ndarray, size: int) -> np.ndarray:
     return (mix(pairs + np.uint64(size * 0xA24BAED4963EE407 % 2**64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-#: Classes from here on hold the pairs that a key passage has more than once.
+#: The class that holds the pairs of all classes; classes from REPEATED on hold the pairs that a key passage has twice.
+ANY = 0
 REPEATED = 1 << 40
 
 
 @cache
-def walk(size: int, repeat: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random bits' seeds of the steps of one walk, and the steps that are sampled.
+def walks(size: int, config: Leaks) -> tuple[np.ndarray, np.ndarray]:
+    """(repeats, steps) seeds of the walks' random bits, and whether a walk samples a step.
 
     A walk moves on at every other step, so most have left the window after twice as many steps as it has words; what is
     copied from there on is the same for all windows, and is not sampled.
     """
-    random, steps = np.random.default_rng([size, repeat]), max(1, 7 * size // 4)
-    seeds = random.integers(1, 2**63, steps, dtype=np.uint64)
-    return seeds, np.sort(random.choice(steps, min(samples, steps), replace=False))
+    steps, repeats = max(1, 7 * size // 4), config.walks(size)
+    seeds, sampled = np.zeros((repeats, steps), np.uint64), np.zeros((repeats, steps), bool)
+    for repeat in range(repeats):
+        random = np.random.default_rng([size, repeat])
+        seeds[repeat] = random.integers(1, 2**63, steps, dtype=np.uint64)
+        sampled[repeat, random.choice(steps, min(config.samples, steps), replace=False)] = True
+    return seeds, sampled
 
 
 def embedded(windows: np.ndarray, config: Leaks) -> np.ndarray:
-    """(windows, repeats) keys: the sampled places of each CGK walk over windows of one size."""
+    """(windows, repeats) keys: the sampled places of each CGK walk over windows of one size, all walks at once."""
     n, size = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)  # past the end: a symbol of its own
-    rows, keys = np.arange(n), np.zeros((n, config.repeats), np.uint64)
-    for repeat in range(config.repeats):
-        seeds, sampled = walk(size, repeat, config.samples)
-        pointer, key, at = np.zeros(n, np.int64), np.zeros(n, np.uint64), set(sampled.tolist())
-        for step in range(int(sampled[-1]) + 1):
-            word = padded[rows, np.minimum(pointer, size)]
-            if step in at:
-                key = mix(key * np.uint64(0x9FB21C651E98DF25) + word)
-            pointer += (mix(word + seeds[step]) >> np.uint64(63)).astype(np.int64)
-        keys[:, repeat] = mix(key + np.uint64(size * config.repeats + repeat))
-    return keys
+    seeds, sampled = walks(size, config)
+    repeats = len(seeds)
+    rows, pointer, key = np.arange(n)[None, :], np.zeros((repeats, n), np.int64), np.zeros((repeats, n), np.uint64)
+    for step in range(seeds.shape[1]):
+        word = padded[rows, np.minimum(pointer, size)]
+        here = np.flatnonzero(sampled[:, step])
+        if len(here):
+            key[here] = mix(key[here] * np.uint64(0x9FB21C651E98DF25) + word[here])
+        pointer += (mix(word + seeds[:, step, None]) >> np.uint64(63)).astype(np.int64)
+    return mix(key + (np.arange(repeats) + size * repeats).astype(np.uint64)[:, None]).T
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -126,7 +134,7 @@ def items_of(benchmark: DataFrame, item_id: str, text: str, config: Leaks) -> Da
                     size = config.size_class(len(hashes))
                     part = Words(*[np.zeros(size, np.int64)] * 3, hashes[:size], np.array([0, size]))
                     pairs, times = np.unique(ngrams(part, 2)[1], return_counts=True)
-                    bits = np.concatenate([pair_bits(pairs, size), pair_bits(pairs[times > 1], size + REPEATED)]).astype(np.uint64)
+                    bits = np.concatenate([pair_bits(pairs, size), pair_bits(pairs, ANY), pair_bits(pairs[times > 1], size + REPEATED)]).astype(np.uint64)
                     keys = embedded(hashes[None, :size], config)[0]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(first + r, 1), pa.array([len(hashes)], pa.int32()), pa.array([size], pa.int32()), *[_lists(x, [len(x)]) for x in (hashes, keys, bits)]],
@@ -150,20 +158,30 @@ def is_set(bit_map: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return bit_map[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1) > 0
 
 
-def repeats(grams: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: int, bit_map: np.ndarray) -> np.ndarray:
-    """In each window, known word pairs that stood in it before and that no key passage has twice."""
-    out = np.zeros(len(begin), np.int64)
-    if size < 3:
-        return out
-    for k in range(0, len(begin), 4096):
+def hopeful(foreign: np.ndarray, words: Words, size: int, edits: int) -> np.ndarray:
+    """Begins of windows with few pairs that no class has; near the end of a text also those with up to ``edits`` words less,
+    as a passage with words left out may be shorter than its class."""
+    n, span = len(words.hash), size - 1
+    full = np.flatnonzero(foreign[span:n] - foreign[: max(n - span, 0)] <= 2 * edits) if n > span else np.zeros(0, np.int64)
+    full = full[full + size <= words.bounds[words.row[full] + 1]]
+    ends = words.bounds[1:, None] - np.arange(max(size - edits, 1), size)[None, :]
+    short = ends[ends >= words.bounds[:-1, None]]
+    return np.union1d(full, short)
+
+
+def strangers(grams: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: int, bit_map: np.ndarray) -> np.ndarray:
+    """In each window, word pairs that no key passage of its class has, two for each word that is missing at the end, and
+    pairs that stood in it before and that no key passage has twice."""
+    out = 2 * (size - (stop - begin))
+    for k in range(0, len(begin) if size > 1 else 0, 4096):
         b, e = begin[k : k + 4096, None], stop[k : k + 4096, None]
         at = b + np.arange(size - 1)
         window = np.sort(np.where(at < e - 1, grams[np.minimum(at, len(grams) - 1)], np.uint64(0)), axis=1)
-        again = (window[:, 1:] == window[:, :-1]) & (window[:, 1:] != 0)
-        row, column = np.nonzero(again)
-        pairs = window[row, column + 1]
-        counted = is_set(bit_map, pair_bits(pairs, size)) & ~is_set(bit_map, pair_bits(pairs, size + REPEATED))
-        out[k : k + 4096] = np.bincount(row[counted], minlength=len(b))
+        real = window != 0
+        known = is_set(bit_map, pair_bits(window, size))
+        again = np.zeros_like(real)
+        again[:, 1:] = (window[:, 1:] == window[:, :-1]) & known[:, 1:] & ~is_set(bit_map, pair_bits(window[:, 1:], size + REPEATED))
+        out[k : k + 4096] += ((~known | again) & real).sum(axis=1)
     return out
 
 
@@ -191,28 +209,18 @@ def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarra
                 grams = np.zeros(n, np.uint64)
                 at, hashes = ngrams(words, 2)
                 grams[at] = hashes
-                counts = words.counts[words.row]
                 place = np.arange(n) - words.bounds[words.row] if n else np.zeros(0, np.int64)
+                foreign = np.zeros(n + 1, np.int64)
+                np.cumsum(~is_set(known.value, pair_bits(grams, ANY)), out=foreign[1:])
                 for size, edits in classes.items():
-                    bits = pair_bits(grams, size)
-                    foreign = np.zeros(n + 1, np.int64)
-                    np.cumsum(~is_set(known.value, bits), out=foreign[1:])
-                    if size < config.min_words:  # only a whole document can match
-                        begin = np.flatnonzero((place == 0) & (counts == size))
-                    else:
-                        # Near the end of a text a passage with words left out may be shorter than its class.
-                        begin = np.flatnonzero(place + size - edits <= counts)
+                    begin = hopeful(foreign, words, size, edits) if size >= config.min_words else words.bounds[:-1][words.counts == size]
                     stop = np.minimum(begin + size, words.bounds[words.row[begin] + 1])
-                    strange = foreign[stop - 1] - foreign[begin] + 2 * (size - (stop - begin))
-                    begin, stop, strange = (x[strange <= 2 * edits] for x in (begin, stop, strange))
-                    if not len(begin):
-                        continue
-                    strange = strange + repeats(grams, begin, stop, size, known.value)
+                    strange = strangers(grams, begin, stop, size, known.value)
                     begin, stop, strange = (x[strange <= 2 * edits] for x in (begin, stop, strange))
                     best = fewest(begin, words.row[begin], strange, edits)
                     begin, stop = begin[best], stop[best]
-                    for k in range(0, len(begin), 4096):
-                        b, e = begin[k : k + 4096], stop[k : k + 4096]
+                    for k in range(0, len(begin), 1024):
+                        b, e = begin[k : k + 1024], stop[k : k + 1024]
                         row = words.row[b]
                         inside = np.arange(size)[None, :] < (e - b)[:, None]
                         window = np.where(inside, words.hash[np.minimum(b[:, None] + np.arange(size), n - 1)], np.uint64(0))
@@ -226,7 +234,7 @@ def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarra
                                 batch.column(0).take(pa.array(first + row)),
                                 pa.array(place[b].astype(np.int32)),
                                 pa.array(np.full(m, size, np.int32)),
-                                _lists(embedded(window, config), np.full(m, config.repeats)),
+                                _lists(embedded(window, config), np.full(m, config.walks(size))),
                                 _lists(words.hash[ramps(lo, hi - lo)], hi - lo),
                             ],
                             names=["window", "doc_id", "place", "size", "keys", "region"],
