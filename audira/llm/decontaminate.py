@@ -7,12 +7,12 @@ document holds an item if a passage of it is within ``floor(max_edits * words of
    class has, are its key passage. Every place of every text opens a window of each class that occurs. An edit changes at
    most two word pairs, so a window with more than ``2 * edits`` pairs that no key passage of its class has is left out
    before anything else, pairs that it repeats and no key passage does counted in. Pairs are looked up in a
-   bit map of fixed size, whatever the size of the benchmark. Of windows close to each other those with the fewest such
-   pairs are taken, since each stands for the text around it.
+   bit map of fixed size, whatever the size of the benchmark. All other windows are looked at, also those beside a better
+   one: that one may stand for another item.
 2. CGK embedding. A window is read by a random walk: at each step the word under the pointer is copied, and the pointer
    moves on if a random bit of (step, word) says so. Few edits become few differing places.
 3. Bit-sampling LSH. Each of ``repeats`` walks samples ``samples`` places; windows and key passages that agree in all of
-   them meet in a join on (class, repeat, key).
+   them meet in a join on (class, key). Keys that no item has, by a second bit map, are left out before the join.
 4. Verification. The exact edit distance of the whole item to the best passage around the window decides.
 
 With 64 walks of 3 samples (one for each word of longer windows) at least 99 of 100 passages with the largest number of edits are found, and all exact ones;
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from audira.llm.shared import map_batches, numbered, pick, position, same, settle, text_groups
@@ -93,7 +93,7 @@ def walks(size: int, config: Leaks) -> tuple[np.ndarray, np.ndarray]:
     seeds, sampled = np.zeros((repeats, steps), np.uint64), np.zeros((repeats, steps), bool)
     for repeat in range(repeats):
         random = np.random.default_rng([size, repeat])
-        seeds[repeat] = random.integers(1, 2**63, steps, dtype=np.uint64)
+        seeds[repeat] = random.integers(1, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd: the top bit of a product depends on every bit of a word
         sampled[repeat, random.choice(steps, min(config.samples, steps), replace=False)] = True
     return seeds, sampled
 
@@ -101,16 +101,16 @@ def walks(size: int, config: Leaks) -> tuple[np.ndarray, np.ndarray]:
 def embedded(windows: np.ndarray, config: Leaks) -> np.ndarray:
     """(windows, repeats) keys: the sampled places of each CGK walk over windows of one size, all walks at once."""
     n, size = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)  # past the end: a symbol of its own
     seeds, sampled = walks(size, config)
-    repeats = len(seeds)
-    rows, pointer, key = np.arange(n)[None, :], np.zeros((repeats, n), np.int64), np.zeros((repeats, n), np.uint64)
-    for step in range(seeds.shape[1]):
-        word = padded[rows, np.minimum(pointer, size)]
+    repeats, steps = seeds.shape
+    padded = np.concatenate([windows, np.zeros((n, steps - size + 1), np.uint64)], axis=1).ravel()  # past the end: a symbol of its own
+    pointer, key = np.tile(np.arange(n) * (steps + 1), (repeats, 1)), np.zeros((repeats, n), np.uint64)
+    for step in range(steps):
+        word = padded[pointer]
         here = np.flatnonzero(sampled[:, step])
         if len(here):
             key[here] = mix(key[here] * np.uint64(0x9FB21C651E98DF25) + word[here])
-        pointer += (mix(word + seeds[:, step, None]) >> np.uint64(63)).astype(np.int64)
+        pointer += (word * seeds[:, step, None] >> np.uint64(63)).view(np.int64)
     return mix(key + (np.arange(repeats) + size * repeats).astype(np.uint64)[:, None]).T
 
 
@@ -144,29 +144,36 @@ def items_of(benchmark: DataFrame, item_id: str, text: str, config: Leaks) -> Da
     return map_batches(rows, run, ITEMS.format(kind=rows.schema["item_id"].dataType.simpleString()))
 
 
-def bit_map(items: DataFrame) -> np.ndarray:
-    """The word pairs of all classes as bits; at most 2^17 words of 64 bits reach the driver, whatever the benchmark."""
-    bit = F.explode("bits")
-    words = items.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+def bit_map(items: DataFrame, bits: Column) -> np.ndarray:
+    """The bits of all items in one map; at most 2^17 words of 64 bits reach the driver, whatever the benchmark."""
+    words = items.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
     for r in words.collect():
         out[r.word] = r.bits
     return out.view(np.uint64)
 
 
+def key_bits(keys: np.ndarray) -> np.ndarray:
+    """Place of keys in their bit map; a key holds its class and walk."""
+    return (keys >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
 def is_set(bit_map: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return bit_map[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1) > 0
 
 
 def hopeful(foreign: np.ndarray, words: Words, size: int, edits: int) -> np.ndarray:
     """Begins of windows with few pairs that no class has; near the end of a text also those with up to ``edits`` words less,
-    as a passage with words left out may be shorter than its class."""
+    as a passage with words left out may be shorter than its class, each missing word counted as in ``strangers``."""
     n, span = len(words.hash), size - 1
     full = np.flatnonzero(foreign[span:n] - foreign[: max(n - span, 0)] <= 2 * edits) if n > span else np.zeros(0, np.int64)
     full = full[full + size <= words.bounds[words.row[full] + 1]]
-    ends = words.bounds[1:, None] - np.arange(max(size - edits, 1), size)[None, :]
-    short = ends[ends >= words.bounds[:-1, None]]
-    return np.union1d(full, short)
+    length = np.arange(max(size - edits, 1), size)[None, :]
+    begin = words.bounds[1:, None] - length
+    row, at = np.nonzero(begin >= words.bounds[:-1, None])
+    begin, missing = begin[row, at], size - length[0, at]
+    few = foreign[words.bounds[row + 1] - 1] - foreign[begin] + 2 * missing <= 2 * edits
+    return np.union1d(full, begin[few])
 
 
 def strangers(grams: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: int, bit_map: np.ndarray) -> np.ndarray:
@@ -185,21 +192,11 @@ def strangers(grams: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: int,
     return out
 
 
-def fewest(begin: np.ndarray, row: np.ndarray, strange: np.ndarray, reach: int) -> np.ndarray:
-    """Windows without a better one of the same text within ``reach`` words."""
-    best = np.ones(len(begin), bool)
-    for shift in range(1, reach + 1):
-        for step in (-shift, shift):
-            at = np.minimum(np.searchsorted(begin, begin + step), len(begin) - 1)
-            best &= ~((begin[at] == begin + step) & (row[at] == row) & (strange[at] < strange))
-    return best
-
-
-def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarray, config: Leaks) -> DataFrame:
-    """Windows that may match an item of their class: (window, doc_id, place, size, keys, region)."""
+def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarray, item_keys: np.ndarray, config: Leaks) -> DataFrame:
+    """Windows that may match an item of their class: (window, doc_id, place, size, keys that an item may have, region)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"window long, doc_id {kind}, place int, size int, keys array<long>, region array<long>"
-    known = docs.sparkSession.sparkContext.broadcast(pairs)
+    known, wanted = (docs.sparkSession.sparkContext.broadcast(x) for x in (pairs, item_keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -216,14 +213,18 @@ def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarra
                     begin = hopeful(foreign, words, size, edits) if size >= config.min_words else words.bounds[:-1][words.counts == size]
                     stop = np.minimum(begin + size, words.bounds[words.row[begin] + 1])
                     strange = strangers(grams, begin, stop, size, known.value)
-                    begin, stop, strange = (x[strange <= 2 * edits] for x in (begin, stop, strange))
-                    best = fewest(begin, words.row[begin], strange, edits)
-                    begin, stop = begin[best], stop[best]
+                    begin, stop = (x[strange <= 2 * edits] for x in (begin, stop))
                     for k in range(0, len(begin), 1024):
                         b, e = begin[k : k + 1024], stop[k : k + 1024]
-                        row = words.row[b]
                         inside = np.arange(size)[None, :] < (e - b)[:, None]
                         window = np.where(inside, words.hash[np.minimum(b[:, None] + np.arange(size), n - 1)], np.uint64(0))
+                        keys = embedded(window, config)
+                        met = is_set(wanted.value, key_bits(keys))
+                        some = met.any(axis=1)
+                        if not some.any():
+                            continue
+                        b, keys, met = b[some], keys[some], met[some]
+                        row = words.row[b]
                         reach = size * 9 // 8 + 2 + 2 * edits
                         lo = np.maximum(words.bounds[row], b - 2 * edits)
                         hi = np.minimum(words.bounds[row + 1], b + reach + edits)
@@ -234,7 +235,7 @@ def candidate_windows(docs: DataFrame, classes: dict[int, int], pairs: np.ndarra
                                 batch.column(0).take(pa.array(first + row)),
                                 pa.array(place[b].astype(np.int32)),
                                 pa.array(np.full(m, size, np.int32)),
-                                _lists(embedded(window, config), np.full(m, config.walks(size))),
+                                _lists(keys[met], met.sum(axis=1)),
                                 _lists(words.hash[ramps(lo, hi - lo)], hi - lo),
                             ],
                             names=["window", "doc_id", "place", "size", "keys", "region"],
@@ -274,10 +275,11 @@ def leaks(
     # The classes form a grid: a handful for each power of two of the longest item.
     found = items.groupBy("size").agg(F.max("n_words").alias("n_words")).collect()
     classes = {r["size"]: config.edits(r.n_words) for r in sorted(found)}
-    windows = settle(candidate_windows(rows, classes, bit_map(items), config))
-    keyed = windows.select("window", "size", F.posexplode("keys").alias("repeat", "key"))
+    item_bits = F.transform("keys", lambda k: F.shiftrightunsigned(k, 64 - MAP_BITS))
+    windows = settle(candidate_windows(rows, classes, bit_map(items, F.col("bits")), bit_map(items, item_bits), config))
+    keyed = windows.select("window", "size", F.explode("keys").alias("key"))
     item_keys = settle(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "n_words", "words", "size", "keys"))
-    met = keyed.join(item_keys.select("item", "size", F.posexplode("keys").alias("repeat", "key")), ["size", "repeat", "key"])
+    met = keyed.join(item_keys.select("item", "size", F.explode("keys").alias("key")), ["size", "key"])
     pairs = met.select("window", "item").distinct()
     full = pairs.join(windows.select("window", "doc_id", "place", "region"), "window").join(item_keys.select("item", "item_id", "n_words", "words"), "item")
     kinds = [full.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")]

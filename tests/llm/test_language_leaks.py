@@ -97,6 +97,28 @@ def test_recall_at_the_largest_number_of_edits():
         assert found >= 198, size
 
 
+def test_recall_of_items_back_to_back(spark, docs_of):
+    """Edited items end to end with exact ones of a large benchmark: each word on from the begin of an edited item there are
+    fewer strange pairs, down to none in the exact item behind it."""
+    config, pick = decontaminate.Leaks(), random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    items = [(k, [pick.choice(words) for _ in range(37)]) for k in range(600)]
+    docs, want = [], {"exact": set(), "spread": set(), "anywhere": set()}
+    for i in range(60):
+        text, n = [], config.edits(37)
+        for at, (k, item) in enumerate(pick.sample(items, 4)):
+            kind = "exact" if at % 2 else ("spread", "anywhere")[i % 2]
+            want[kind].add((i, k))
+            if kind == "spread":
+                item = [f"new{pick.randrange(10**6)}" if j % 5 == 2 and j // 5 < n else w for j, w in enumerate(item)]
+            text += edited(item, n, pick) if kind == "anywhere" else item
+        docs.append((i, " ".join(text), None, None))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(docs), bench, config=config).collect()}
+    lost = {kind: f"{len(x - got)}/{len(x)}" for kind, x in want.items() if len(x - got) > 0.02 * len(x)}
+    assert lost == {}
+
+
 def test_long_documents_and_items(spark, docs_of):
     pick = random.Random(3)
     words = [str(pick.randrange(10**6)) for _ in range(200_000)]
