@@ -1,10 +1,12 @@
 """Main text of web pages by host consensus.
 
 1. Every page's containers are scored: the characters of a block count for the container around it, twice its link
-   characters are taken off, and each container passes half of its score on to the one around it.
-2. Each page votes for the path of its best container: tags with classes from the body down, generalised by leaving out
+   characters are taken off, and each container passes half of its score on to the one around it. The best container is
+   widened to the outermost article around it or, without one, to the nearest main: a heading or an intro beside the body
+   and sections of other classes belong to the text. Without article and main, the best container stands as it is.
+2. Each page votes for the path of its widened container: tags with classes from the body down, generalised by leaving out
    digits. Spark sums the votes by host and path; a host's winner has the most votes, then the largest score.
-3. Each page is extracted again: the blocks of the containers at its host's winning path, or of its own best container
+3. Each page is extracted again: the blocks of the containers at its host's winning path, or of its own widened container
    where it has none there.
 
 Menus, headers (but for headings inside an article), footers, side bars, notices, adverts, forms, scripts, styles and
@@ -116,6 +118,16 @@ class Page:
         node = max(range(len(score)), key=lambda i: (score[i], -i))
         return node, score[node]
 
+    def widened(self, node: int) -> int:
+        """The outermost article around a container (or the container, if it is one), else the nearest main, else itself."""
+        around = [node]
+        while around[-1] > 0:
+            around.append(self.parent[around[-1]])
+        tags = [self.name[i].split(".")[0] for i in around]
+        articles = [i for i, tag in zip(around, tags, strict=True) if tag == "article"]
+        mains = [i for i, tag in zip(around, tags, strict=True) if tag == "main"]
+        return articles[-1] if articles else mains[0] if mains else node
+
     def text(self, matches: set[int]) -> str:
         inside = [False] * len(self.parent)
         for node in range(len(inside)):
@@ -240,7 +252,7 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score) of each page's best container, from rows (host, html)."""
+    """(host, path, score) of each page's widened container, with the score of its best one, from rows (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +262,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 node, score = page.best()
                 if score > 0:
                     hosts.append(host)
-                    paths.append(page.path(node))
+                    paths.append(page.path(page.widened(node)))
                     scores.append(float(score))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 
@@ -272,7 +284,7 @@ def main_text(source: str, winner: str | None) -> tuple[str, bool]:
         matches = {i for i, c in enumerate(page.code) if c == code}
         if matches and (text := page.text(matches)):
             return text, True
-    return page.text({page.best()[0]}), False
+    return page.text({page.widened(page.best()[0])}), False
 
 
 def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -124,6 +124,21 @@ def test_hosts_agree_on_the_container(spark, clashing):
     assert html_text.page_texts(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_whole_articles(spark):
+    """A heading beside a body, sections of unequal size and classes, and articles inside articles stay together."""
+    long, short = "a long line of the text " * 25, "a shorter line " * 30
+    held = {
+        "body": f"<article><h1>Title</h1><p>Lead</p><div class=body><p>{long}</p></div></article>",
+        "sections": f"<article><section class=a><p>{long}</p></section><section class=b><p>{short}</p></section></article>",
+        "main": f"<div class=page><main><h1>Title</h1><div class=body><p>{long}</p></div></main><div class=col><p>{short}</p></div></div>",
+        "cards": f"<main><p>{short}</p><article><h1>Title</h1><div><article class=card><p>{long}</p></article></div></article></main>",
+    }
+    want = {"body": f"Title\nLead\n{long.strip()}", "sections": f"{long.strip()}\n{short.strip()}", "main": f"Title\n{long.strip()}", "cards": f"Title\n{long.strip()}"}
+    rows = [(i, f"https://{kind}.example/{i}", f"<body><nav>menu</nav>{source}<footer>f</footer></body>") for kind, source in held.items() for i in range(3)]
+    got = html_text.page_texts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.host, r.page_id) for r in got if r.text != want[r.host.split(".")[0]] or not r.by_consensus] == [] and len(got) == len(rows)
+
+
 def test_real_pages(spark, sf_dir):
     """Against the article element of the given pages."""
     import html
