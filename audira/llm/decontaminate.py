@@ -172,14 +172,14 @@ def hopeful(foreign: np.ndarray, words: Words, size: int, edits: int) -> np.ndar
     begin = words.bounds[1:, None] - length
     row, at = np.nonzero(begin >= words.bounds[:-1, None])
     begin, missing = begin[row, at], size - length[0, at]
-    few = foreign[words.bounds[row + 1] - 1] - foreign[begin] + 2 * missing <= 2 * edits
+    few = foreign[words.bounds[row + 1] - 1] - foreign[begin] + missing <= 2 * edits
     return np.union1d(full, begin[few])
 
 
 def strangers(grams: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: int, bit_map: np.ndarray) -> np.ndarray:
-    """In each window, word pairs that no key passage of its class has, two for each word that is missing at the end, and
-    pairs that stood in it before and that no key passage has twice."""
-    out = 2 * (size - (stop - begin))
+    """In each window, word pairs that no key passage of its class has, one for each word that is missing at the end (a word
+    left out makes one strange pair where it stood), and pairs that stood in it before and that no key passage has twice."""
+    out = size - (stop - begin)
     for k in range(0, len(begin) if size > 1 else 0, 4096):
         b, e = begin[k : k + 4096, None], stop[k : k + 4096, None]
         at = b + np.arange(size - 1)

@@ -119,6 +119,20 @@ def test_recall_of_items_back_to_back(spark, docs_of):
     assert lost == {}
 
 
+def test_words_left_out_at_the_end_of_a_text(spark, docs_of):
+    """Nothing follows the passage, so each word left out also makes its window shorter."""
+    config, pick = decontaminate.Leaks(), random.Random(5)
+    items = [(k, [f"w{pick.randrange(400)}" for _ in range(37)]) for k in range(100)]
+    docs = []
+    for k, item in items:
+        out = set(pick.sample(range(1, 36, 2), config.edits(37)))  # one by one, so that each makes a strange pair
+        docs.append((k, " ".join([f"z{i}" for i in range(20)] + [w for j, w in enumerate(item) if j not in out]), None, None))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(docs), bench, config=config).collect()}
+    lost = {k for k, _ in items} - {i for i, k in got if i == k}
+    assert len(lost) <= 2
+
+
 def test_long_documents_and_items(spark, docs_of):
     pick = random.Random(3)
     words = [str(pick.randrange(10**6)) for _ in range(200_000)]
