@@ -12,9 +12,12 @@ from audira.llm.html_text import page_texts
 from audira.llm.language import language_report
 from audira.llm.mixing import mix_report
 from audira.llm.near_dedup import near_duplicates
+from audira.llm.part_codes import part_codes
 from audira.llm.quality import quality_report
+from audira.llm.spelling import spelling_variants
 from audira.llm.token_files import token_file_report
 from audira.llm.tool_calls import derived_calls, derived_results, link_tool_calls, tool_schemas
+from audira.llm.toxicity import toxicity_report
 from audira.llm.warc import warc_report
 from audira.plans.registry import Query
 
@@ -212,3 +215,50 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     linked = link_tool_calls(derived_calls(conversations), derived_results(conversations), tool_schemas(spark))
     return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Codebooks round by round; the nearest entry by all distances. z holds the last codebooks as one row per component.
+CODED = """
+d{i} AS (
+    SELECT x.vec_id, x.p, c.e, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM parts x JOIN c{i} c USING (p, j) GROUP BY ALL
+), a{i} AS (
+    SELECT vec_id, p, min(struct_pack(d := d, e := e)) AS best FROM d{i} GROUP BY ALL
+)"""
+MOVED = """
+c{k} AS (
+    SELECT p, e, j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT p, best.e AS e, j, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM a{i} JOIN parts USING (vec_id, p) GROUP BY ALL
+    ) m USING (p, e, j)
+)"""
+PART_CODES_SQL = f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // 16 AS w
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT vec_id, p, j, v[p * w + j + 1] AS v FROM (SELECT *, unnest(range(w)) AS j FROM (SELECT *, unnest(range(16)) AS p FROM kept))
+), seeds AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64
+), c0 AS (
+    SELECT p, e, j, v FROM parts JOIN seeds USING (vec_id)
+), {CODED.format(i=0)}, {MOVED.format(i=0, k=1)}, {CODED.format(i=1)}, {MOVED.format(i=1, k=2)}, {CODED.format(i=2)}, coded AS (
+    SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) FROM c2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@register("op13_part_codes", PART_CODES_SQL)
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes(table(spark, sf_dir, "embeddings"))

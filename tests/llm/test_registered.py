@@ -21,7 +21,7 @@ def test_there_is_one_query_for_each_operator():
     import __spark_entry__ as contract
 
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 14))
     assert "pipeline" in contract.queries()
 
 
