@@ -4,9 +4,9 @@ A window over a group runs as one task per group, and a group may hold a third o
 range-partitions the rows on (group, order), stores the range number with each row in the checkpoint folder, turns
 partition totals into offsets and sums each range on its own. There is this one form for every size of input.
 
-The order must be total (unique within the group) for positions; ranks use one row per distinct value. Groups are compared
-null-safe: rows without a group are a group of their own. Values come back to the rows by joins that Spark splits when a
-key is hot, and turns into broadcasts when it has measured that the other side is small.
+The order must be total (unique within the group) for positions. Ranks need no total order: ``weights_around`` leaves rows in
+the range that holds their value and completes only the values that cross a boundary. Groups are compared null-safe: rows
+without a group are a group of their own.
 """
 
 from __future__ import annotations
@@ -95,6 +95,69 @@ def with_position(
     return out.withColumn(name, F.col("_before") + 1).drop("_before")
 
 
+def weights_around(
+    df: DataFrame, groups: list[str], value: str, weight: Column, less: str = "less", equal: str = "equal", total: str = "total"
+) -> DataFrame:
+    """Add the weight sums of the group's rows with a smaller value, with the row's own value, and of all with a value.
+
+    Rows stay in the range partition that holds their value; nothing is joined on a value. A value whose rows cross a
+    boundary between partitions is completed by an exchange of one row per (group, partition): the first and last value
+    of it there, and their weights. So a value that half the rows share is spread like any other. Rows without a value
+    weigh nothing; their sums are those of their partition, except the total.
+    """
+    groups = list(groups)
+    names = [*df.columns]
+    has = F.col(value).isNotNull()
+    # A struct compares null-safe as a whole, so later steps stay partitioned by it.
+    key = F.struct(F.lit(0).alias("_all"), *[F.col(g) for g in groups])
+    spread = F.xxhash64(*[F.col(c) for c in names])
+    weighed = df.withColumns({"_w": F.when(has, weight).otherwise(0).cast("bigint"), "_key": key})
+    ranged = cut_lineage(weighed.repartitionByRange(*[F.col(g) for g in groups], F.col(value), spread).withColumn("_range", F.spark_partition_id()))
+    here = ["_key", "_range"]
+    upto = _window(here).orderBy(value)
+    local = ranged.withColumns({"_upto": F.sum("_w").over(upto), "_equal": F.sum("_w").over(_window([*here, value]))})
+    distinct = ranged.groupBy(*here, value).agg(F.sum("_w").alias("_w"))
+    ends = distinct.groupBy(*here).agg(
+        F.sum("_w").alias("_sum"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.min_by("_w", value).alias("_w_lo"), F.max_by("_w", value).alias("_w_hi")
+    )
+    # From here on one row per group and partition that holds it.
+    in_order = _window(["_key"]).orderBy("_range")
+    ends = ends.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_sum").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_total": F.sum("_sum").over(_window(["_key"])),
+        }
+    )
+    low, high = (F.struct(F.col(x).alias("_x"), F.col(w).alias("_wx"), F.lit(first).alias("_first")) for x, w, first in (("_lo", "_w_lo", True), ("_hi", "_w_hi", False)))
+    sides = F.array(low, high)
+    marks = ends.select(*here, "_before", "_total", "_lo", "_hi", F.inline(F.when(F.col("_lo") == F.col("_hi"), F.slice(sides, 1, 1)).otherwise(sides)))
+    same_value = _window(["_key", "_x"]).orderBy("_range")
+    marks = marks.withColumns(
+        {
+            "_earlier": F.coalesce(F.sum("_wx").over(same_value.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_later": F.coalesce(F.sum("_wx").over(same_value.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)),
+        }
+    )
+    only = F.col("_lo") == F.col("_hi")
+    bounds = marks.groupBy(*here).agg(
+        F.first("_before").alias("_before"),
+        F.first("_total").alias("_total"),
+        F.first("_lo").alias("_lo"),
+        F.first("_hi").alias("_hi"),
+        F.max(F.when(F.col("_first"), F.col("_earlier"))).alias("_earlier"),
+        F.max(F.when(~F.col("_first") | only, F.col("_later"))).alias("_later"),
+    )
+    joined = local.join(bounds, here)
+    at_lo, at_hi = F.col(value) == F.col("_lo"), F.col(value) == F.col("_hi")
+    earlier, later = F.when(at_lo, F.col("_earlier")).otherwise(0), F.when(at_hi, F.col("_later")).otherwise(0)
+    return joined.select(
+        *names,
+        (F.col("_before") + F.col("_upto") - F.col("_equal") - earlier).alias(less),
+        (F.col("_equal") + earlier + later).alias(equal),
+        F.col("_total").alias(total),
+    )
+
+
 def with_ranks(
     df: DataFrame,
     value: str,
@@ -108,24 +171,15 @@ def with_ranks(
 
     Null values get null ranks; ``n`` counts the known values of the group.
     """
-    groups = list(groups)
-    # The input has to be the same rows in both readings, or a value could miss its rank.
-    fixed = cut_lineage(df)
-    histogram = fixed.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias(ties))
-    ranked = running_sums(histogram, groups, [F.col(value)], F.col(ties), before="_before", total=n)
-    joined = fixed.alias("l").join(ranked.alias("r"), _same_keys("l", "r", [*groups, value]), "left")
-    # Rows without a value still need the group's count.
-    counts = histogram.groupBy(*groups).agg(F.sum(ties).alias("_known"))
-    out = joined.select(*[F.col(f"l.{c}") for c in df.columns], F.col(f"r.{ties}"), F.col("r._before"))
-    if groups:
-        out = join_small(out, counts, groups, "left").withColumn(n, F.coalesce("_known", F.lit(0))).drop("_known")
-    else:
-        out = out.withColumn(n, F.coalesce(counts.scalar(), F.lit(0)))
-    return (
-        out.withColumn(rank_asc, F.col("_before") + 1)
-        .withColumn(rank_desc, F.col(n) - F.col("_before") - F.col(ties) + 1)
-        .drop("_before")
-    )
+    out = weights_around(df, list(groups), value, F.lit(1), "_less", "_equal", n)
+    has = F.col(value).isNotNull()
+    return out.withColumns(
+        {
+            ties: F.when(has, F.col("_equal")),
+            rank_asc: F.when(has, F.col("_less") + 1),
+            rank_desc: F.when(has, F.col(n) - F.col("_less") - F.col("_equal") + 1),
+        }
+    ).drop("_less", "_equal")
 
 
 RANK_PARTS = ("_up", "_down", "_ties", "_n")
@@ -146,26 +200,29 @@ def with_quintile(df: DataFrame, value: str, groups: list[str] = (), name: str =
     return out.withColumn(name, quintile_index(F.col("_down"), F.col("_ties"), F.col("_n"))).drop(*RANK_PARTS)
 
 
-def with_percentrank_inc(df: DataFrame, values: dict[str, str], groups: list[str] = ()) -> DataFrame:
+def with_percentrank_inc(df: DataFrame, values: dict[str, str], groups: list[str] = (), key: str | None = None) -> DataFrame:
     """Add (min rank - 1) / (group rows - 1) of each value column; 1 for a single row.
 
-    Rows without a value count as rows, but stay null. ``values`` maps a column to the name of its rank.
+    Rows without a value count as rows, but stay null. ``values`` maps a column to the name of its rank. With ``key``, a
+    column that names each row, all columns are ranked side by side and written once; else one after the other.
     """
     groups = list(groups)
-    # One range partitioning serves all columns: their values are ranked side by side under a name.
-    fixed = cut_lineage(df)
-    sizes = fixed.groupBy(*groups).agg(F.count("*").alias("_rows"))
-    out = join_small(fixed, sizes, groups) if groups else with_scalars(fixed, sizes)
-    cells = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in values]
-    long = fixed.select(*groups, F.inline(F.array(*cells))).where(F.col("_value").isNotNull())
-    histogram = long.groupBy(*groups, "_column", "_value").agg(F.count("*").alias("_ties"))
-    ranked = running_sums(histogram, [*groups, "_column"], [F.col("_value")], F.col("_ties"), "_before", total=None)
-    for value, name in values.items():
-        mine = ranked.where(F.col("_column") == value).select(*groups, F.col("_value").alias(value), "_before")
-        joined = out.alias("l").join(mine.alias("r"), _same_keys("l", "r", [*groups, value]), "left")
-        pct = F.when(F.col("_rows") <= 1, F.lit(1.0)).otherwise(F.col("r._before") / (F.col("_rows") - 1))
-        out = joined.select("l.*", pct.alias(name))
-    return out.drop("_rows")
+    if key is not None and len(values) > 1:
+        fixed = cut_lineage(df)
+        long = long_form(fixed, [key, *groups], list(values), "_column", "_value")
+        ranked = weights_around(long, [*groups, "_column"], "_value", F.lit(1), "_less", "_equal", "_known").where(F.col("_value").isNotNull())
+        cells = {f"_less_{c}": F.max(F.when(F.col("_column") == c, F.col("_less"))) for c in values}
+        wide = ranked.groupBy(F.col(key).alias("_id")).agg(*[a.alias(c) for c, a in cells.items()])
+        out = fixed.join(wide, F.col(key) == F.col("_id"), "left").drop("_id")
+        out = with_group_values(out, groups, {"_rows": F.count(F.lit(1))})
+    else:
+        out = df
+        for c in values:
+            out = weights_around(out, groups, c, F.lit(1), f"_less_{c}", f"_equal_{c}", f"_known_{c}").drop(f"_equal_{c}", f"_known_{c}")
+        out = with_group_values(out, groups, {"_rows": F.count(F.lit(1))})
+    single, rest = F.col("_rows") <= 1, F.col("_rows") - 1
+    added = {n: F.when(single, F.lit(1.0)).when(F.col(c).isNotNull(), F.col(f"_less_{c}") / rest) for c, n in values.items()}
+    return out.withColumns(added).drop("_rows", *[f"_less_{c}" for c in values])
 
 
 def keep_top(df: DataFrame, groups: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from audira.functions import grades
+from audira.functions.exact import exact_sum
 from audira.operators import ordering
 from audira.specs import PersonWeights
 
@@ -24,14 +25,14 @@ def _ratio(a: Column | str, b: Column | str) -> Column:
 def person_base_stats(rows: DataFrame, digits: int = 4) -> DataFrame:
     """One row per person: sums, weekly-mean extremes and hit ratios.
 
-    Sums are rounded to ``digits``: persons of the same works must tie in every order of addition. Only algebraic
-    aggregates are used, so a person with very many rows is reduced before the shuffle.
+    Sums are added as decimals and rounded once to ``digits``: persons of the same works tie in every order of addition.
+    Only algebraic aggregates are used, so a person with very many rows is reduced before the shuffle.
     """
     weekly = F.try_divide(F.col("person_buzz"), F.col("weeks_ranked"))
     rank = F.col("rank_in_work")
 
     def zero_sum(c: str) -> Column:
-        return F.round(F.coalesce(F.sum(c), F.lit(0.0)), digits)
+        return F.coalesce(exact_sum(c, digits), F.lit(0.0))
 
     stats = rows.withColumn("_x", weekly).groupBy(PERSON).agg(
         zero_sum("work_buzz").alias("work_buzz"),
@@ -89,7 +90,7 @@ def person_indices(rows: DataFrame) -> DataFrame:
     stats = hit_dispersion(shrunk_work_mean(trimmed_work_mean(stats)))
     stats = minmax_norm(stats, {"shrunk_mean": "shrunk_norm", "dispersion": "dispersion_norm"})
     ranked = {"best_weekly": "p_best", "trimmed_mean": "p_trimmed", "work_buzz": "p_work_buzz"}
-    stats = ordering.with_percentrank_inc(stats, ranked)
+    stats = ordering.with_percentrank_inc(stats, ranked, key=PERSON)
     n = F.col("works")
     single = F.when(n == 1, F.lit(0.75)).otherwise(F.lit(1.0))
     burst = 0.5 * F.col("p_best") * single + 0.5 * F.col("p_trimmed")
@@ -110,7 +111,7 @@ def person_composite_score(
 ) -> DataFrame:
     """All scores and grades, one row per person. Indices are rounded so that a last bit cannot split a tie."""
     out = person_indices(rows).withColumns({a: F.round(a, digits) for a in AXES})
-    out = ordering.with_percentrank_inc(out, {a: f"{a}_pct" for a in AXES})
+    out = ordering.with_percentrank_inc(out, {a: f"{a}_pct" for a in AXES}, key=PERSON)
     score = 100 * (
         F.col("burst_pct") * weights.burst
         + F.col("stability_pct") * weights.stability
@@ -125,7 +126,7 @@ def person_composite_score(
 def relative_scores(scored: DataFrame, group: str, suffix: str) -> DataFrame:
     """Percent rank x 100 of each axis within a group (tier, grade group or a selected set)."""
     names = {f"{a}_pct": f"{a}_{suffix}" for a in AXES}
-    out = ordering.with_percentrank_inc(scored, names, [group])
+    out = ordering.with_percentrank_inc(scored, names, [group], key=PERSON)
     return out.withColumns({name: F.col(name) * 100 for name in names.values()})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from audira.functions import grades
+from audira.functions.exact import exact_sum_sql
 from audira.operators import persons
 from audira.plans.registry import query
 from audira.sources import bindings as b
@@ -27,10 +28,10 @@ def grade_sql(p: str) -> str:
 
 TIER_SQL = "CASE WHEN grade = 'S' THEN 'S' WHEN substr(grade, 1, 1) IN ('A', 'B') THEN substr(grade, 1, 1) ELSE 'C' END"
 
-BASE_SQL = """base AS (SELECT person, round(sum(work_buzz), 4) AS work_buzz, round(sum(person_buzz), 4) AS person_buzz, count(*) AS works,
-  round(sum(weeks_ranked), 4) AS weeks, string_agg(work, ', ' ORDER BY work) AS work_list,
+BASE_SQL = f"""base AS (SELECT person, {exact_sum_sql("work_buzz", 4)} AS work_buzz, {exact_sum_sql("person_buzz", 4)} AS person_buzz,
+  count(*) AS works, {exact_sum_sql("weeks_ranked", 4)} AS weeks, string_agg(work, ', ' ORDER BY work) AS work_list,
   max(person_buzz / weeks_ranked) AS best_weekly, min(person_buzz / weeks_ranked) AS worst_weekly,
-  round(sum(person_buzz / weeks_ranked), 4) AS weekly_sum, max(person_buzz) AS top_work,
+  {exact_sum_sql("person_buzz / weeks_ranked", 4)} AS weekly_sum, max(person_buzz) AS top_work,
   count(*) FILTER (WHERE rank_in_work = 1) * 1.0 / count(*) AS hit_1,
   count(*) FILTER (WHERE rank_in_work = 2) * 0.5 / count(*) AS hit_2,
   count(*) FILTER (WHERE rank_in_work = 3) * 0.3 / count(*) AS hit_3 FROM wp GROUP BY 1)"""

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from audira.functions.exact import exact_sum, exact_sum_sql
 from audira.operators import ordering
 from audira.operators.prelaunch import PrelaunchSpec
 from audira.specs import AnchorRule, GrowthSpec, MetricSpec, ViewRouting
@@ -195,22 +196,22 @@ TOTAL_SQL = f"({LOCAL_SQL} OR {FOREIGN_SQL})"
 def work_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer x brand: buzz, weeks and the person's place within the work.
 
-    Sums are rounded to cents, so that they do not depend on the order of addition.
+    Sums are exact, so they do not depend on the order of addition.
     """
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
     pairs = rows.groupBy(F.col("o_custkey").alias("person"), F.col("p_brand").alias("work")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("person_buzz"),
+        exact_sum("l_extendedprice", 2).alias("person_buzz"),
         F.count_distinct(F.date_trunc("WEEK", "l_shipdate")).cast("double").alias("weeks_ranked"),
     )
     placed = ordering.with_position(pairs, ["work"], [F.col("person_buzz").desc(), F.col("person")], "rank_in_work")
-    out = ordering.with_group_values(placed, ["work"], {"_sum": F.sum("person_buzz"), "_n": F.count("*")})
+    out = ordering.with_group_values(placed, ["work"], {"_sum": exact_sum("person_buzz", 2), "_n": F.count("*")})
     return out.select(
         "person",
         "work",
-        F.round("_sum", 2).alias("work_buzz"),
+        F.col("_sum").alias("work_buzz"),
         "person_buzz",
         "weeks_ranked",
         F.col("_n").cast("double").alias("persons_ranked"),
@@ -219,11 +220,11 @@ def work_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORK_PERSON_SQL = """pairs AS (
-  SELECT o_custkey AS person, p_brand AS work, round(sum(l_extendedprice), 2) AS person_buzz,
+  SELECT o_custkey AS person, p_brand AS work, """ + exact_sum_sql("l_extendedprice", 2) + """ AS person_buzz,
     CAST(count(DISTINCT date_trunc('week', l_shipdate)) AS DOUBLE) AS weeks_ranked
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 wp AS (
-  SELECT person, work, round(sum(person_buzz) OVER (PARTITION BY work), 2) AS work_buzz, person_buzz, weeks_ranked,
+  SELECT person, work, CAST(round(sum(CAST(person_buzz AS DECIMAL(28,8))) OVER (PARTITION BY work), 2) AS DOUBLE) AS work_buzz, person_buzz, weeks_ranked,
     CAST(count(*) OVER (PARTITION BY work) AS DOUBLE) AS persons_ranked,
     CAST(row_number() OVER (PARTITION BY work ORDER BY person_buzz DESC, person) AS DOUBLE) AS rank_in_work
   FROM pairs)"""

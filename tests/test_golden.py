@@ -399,3 +399,13 @@ def test_a_hot_group_is_spread_over_ranges(spark, monkeypatch):
         assert len(sizes) >= 3 and max(sizes) < 4000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_exact_sums_in_every_order(spark):
+    """0.1 + 0.2 + 0.3 differs in its last bit by order; 971525.20325 lies on a rounding edge."""
+    from audira.functions.exact import exact_sum
+
+    rows = [("a", x) for x in (0.1, 0.2, 0.3)] + [("b", x) for x in (0.3, 0.2, 0.1)] + [("edge", x) for x in (971525.2, 0.003, 0.00025)]
+    rows += [("odd", x) for x in (None, float("nan"), float("inf"), 1e300, 2.5)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").coalesce(1)
+    assert pairs(df.groupBy("k").agg(exact_sum("x", 4).alias("s")), "k", "s") == {"a": 0.6, "b": 0.6, "edge": 971525.2033, "odd": 2.5, "none": None}

@@ -64,3 +64,42 @@ def test_every_function_matches_sql(df, rows, groups):
     )
     got = ordering.keep_top(df, groups, [F.col("v").desc_nulls_last(), F.col("id")], 3, salts=4)
     same(got, f"SELECT * FROM t QUALIFY row_number() OVER ({by} ORDER BY v DESC NULLS LAST, id) <= 3", rows)
+
+
+def test_ranks_of_several_columns_side_by_side(df, rows):
+    both = df.withColumn("u", F.col("id") % 7)
+    got = ordering.with_percentrank_inc(both, {"v": "p", "u": "q"}, ["g"], key="id")
+    rows = rows.assign(u=rows["id"] % 7)
+    pct = "CASE WHEN count(*) OVER (PARTITION BY g) <= 1 THEN 1.0 WHEN {0} IS NOT NULL THEN (rank() OVER (PARTITION BY g ORDER BY {0} NULLS LAST) - 1) / (count(*) OVER (PARTITION BY g) - 1) END"
+    want = duckdb.sql(f"SELECT *, {pct.format('v')} AS p, {pct.format('u')} AS q FROM rows").fetchall()
+    key = lambda r: r[0]
+    flat = [tuple(None if x is None or x != x else round(float(x), 9) if not isinstance(x, str) else x for x in r) for r in sorted(want, key=key)]
+    mine = [tuple(None if x is None else round(float(x), 9) if not isinstance(x, str) else x for x in r) for r in sorted(got.select("id", "g", "v", "u", "p", "q").collect(), key=key)]
+    assert mine == flat
+
+
+def test_weights_of_smaller_and_equal_values(spark):
+    """Weights may be negative or 0; ties run over many partitions."""
+    pick = random.Random(2)
+    rows = [(i, pick.choice("ab"), pick.choice([1, 1, 1, 2, 5, None]), pick.choice([-1, 0, 1, 3])) for i in range(600)]
+    got = ordering.weights_around(spark.createDataFrame(rows, "i int, g string, v int, w int").repartition(6), ["g"], "v", F.col("w"))
+    for r in got.collect():
+        known = [x for x in rows if x[1] == r.g and x[2] is not None]
+        assert r.total == sum(x[3] for x in known)
+        if r.v is not None:
+            assert (r.less, r.equal) == (sum(x[3] for x in known if x[2] < r.v), sum(x[3] for x in known if x[2] == r.v))
+    assert got.count() == len(rows)
+
+
+def test_a_hot_tie_is_spread_over_the_tasks(spark):
+    """Half of the rows share one value: in no stage of the plan does a partition hold much more than the others."""
+    n, parts = 40_000, 8
+    rows = spark.range(n, numPartitions=parts).withColumn("v", F.when(F.col("id") % 2 == 0, F.lit(0.5)).otherwise(F.rand(3)))
+    ranked = ordering.with_ranks(rows, "v", [])
+    text = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in text and "_range" in text
+    joins = [line for line in text.splitlines() if "Join " in line]
+    assert joins and all("_range" in line and "(v#" not in line for line in joins)
+    sizes = [len(p) for p in ranked.select("rank_asc").rdd.glom().collect() if p]
+    assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2] or len(sizes) == 1
+    assert {r.ties for r in ranked.where("v = 0.5").select("ties").distinct().collect()} == {n // 2}
