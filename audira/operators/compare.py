@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from audira.functions import grades
 from audira.operators import ordering
-from audira.operators.kpi import ENTITY, STEP, VALUE, aired_entities, grouped_kpis, row_filter
+from audira.operators.kpi import ENTITY, STEP, VALUE, aired_entities, row_filter
 from audira.specs import MetricSpec, ViewRouting
 
 WEEKDAYS = ("월화", "수목")
@@ -181,38 +181,6 @@ def rank_neighbors(
     return asks.join(placed, [*groups, "position"])
 
 
-def kpi_vs_group(
-    df: DataFrame,
-    specs: Iterable[MetricSpec],
-    groups: DataFrame,
-    group: str,
-    routing: ViewRouting = ViewRouting(),
-    digits: int = 6,
-) -> DataFrame:
-    """Each KPI of each entity as percent of its group's mean, with rank and group size.
-
-    Values are rounded to ``digits`` before ranking: sums of doubles depend on the order of addition, and a last
-    bit must not break a tie.
-    """
-    specs = list(specs)
-    long = ordering.settle(grouped_kpis(df, specs, groups, group, routing).withColumn(VALUE, F.round(VALUE, digits)))
-    both = ordering.with_group_values(long, [group, "kpi"], {"group_value": F.avg(VALUE)})
-    out = ordering.with_ranks(both, VALUE, [group, "kpi"])
-    low = [s.kpi for s in specs if not s.high_is_good]
-    rank = F.when(F.col("kpi").isin(low), F.col("rank_asc")).otherwise(F.col("rank_desc"))
-    ratio = F.try_divide(F.col(VALUE) * 100, F.col("group_value"))
-    return out.select(
-        ENTITY,
-        group,
-        "kpi",
-        VALUE,
-        "group_value",
-        ratio.alias("ratio"),
-        rank.alias("rank"),
-        F.col("n").alias("group_size"),
-    )
-
-
 def winner(v1: Column, v2: Column, high_is_good: Column) -> Column:
     first = F.when(high_is_good, v1 > v2).otherwise(v1 < v2)
     second = F.when(high_is_good, v2 > v1).otherwise(v2 < v1)

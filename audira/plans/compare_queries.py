@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from audira.functions import grades
-from audira.operators import compare, growth, kpi, ordering
-from audira.plans.kpi_queries import ALL_DETAIL, ALL_SEVEN, NZ, kpi_parts_sql, ml
+from audira.operators import compare, cutoffs, growth, kpi, ordering
+from audira.plans.kpi_queries import ALL_SEVEN, NZ, kpi_parts_sql, ml
 from audira.plans.registry import query
 from audira.sources import bindings as b
-from audira.sources.bindings import TOTAL_SQL
+from audira.sources.bindings import FOREIGN_SQL, TOTAL_SQL
 from audira.specs import MetricSpec
 
 # The selected entity of the pages that compare one entity with the rest.
@@ -171,22 +171,65 @@ def entities_by_recency(spark, d):
     return compare.entities_by_recency(b.entity_dim(spark, d))
 
 
-LOW = "('external_rank')"
+ALL_PAGE = ["rating", "home", "audience", "prefer", "ext_rank", "mentions", "views", "rank", "buzz"]
+# Metric names in the fact of the KPIs that match by normalised name.
+PLAIN_NAMES = {"EXT-Rank": "ext_rank"}
+
+
+def own_cutoff_sql(specs) -> str:
+    """CTEs of all KPIs with peers cut at each entity's own last week or step: every peer at every cutoff that occurs."""
+
+    def chosen(s) -> str:
+        where = {"total": TOTAL_SQL, "foreign": FOREIGN_SQL, None: f"metric = '{PLAIN_NAMES.get(s.metric, s.metric)}'"}[s.views]
+        return where + (f" AND media IN ({', '.join(repr(m) for m in s.media)})" if s.media else "")
+
+    def names(test) -> str:
+        return "(" + ", ".join(repr(s.kpi) for s in specs if test(s)) + ")"
+
+    step = "step_no IS NOT NULL"
+    value = f"""CASE WHEN kpi IN {names(lambda s: s.mode == "mean")} THEN avg(s / n) FILTER (n > 0 AND {step})
+    WHEN kpi IN {names(lambda s: s.mode == "step_sum")} THEN avg(s) FILTER (n > 0 AND {step})
+    WHEN kpi IN {names(lambda s: s.mode == "vod")} THEN avg(s) FILTER (ld > 0 AND {step})
+    WHEN kpi IN {names(lambda s: s.mode == "sum")} THEN sum(s) ELSE min(lo) END"""
+    rows = "\nUNION ALL ".join(
+        f"SELECT entity_id, slot, '{s.kpi}' AS kpi, step_no, week_no, {'value' if s.keep_zero else f'CASE WHEN {NZ} THEN value END'} AS v,"
+        f" {f'media = {s.media[0]!r}' if s.mode == 'vod' else 'true'} AS leads FROM ml WHERE {chosen(s)}"
+        for s in specs
+    )
+    sums = "sum(v) AS s, count(v) AS n, min(v) AS lo, count(v) FILTER (leads) AS ld"
+    week = f"kpi IN {names(lambda s: s.cutoff == 'week')} AND max(week_no) IS NOT NULL"
+    return f""", rk AS ({rows}),
+own AS (SELECT entity_id, slot, kpi, CASE WHEN {week} THEN 'week' WHEN max(step_no) IS NOT NULL THEN 'step' ELSE 'all' END AS kind,
+  CASE WHEN {week} THEN max(week_no) ELSE max(step_no) END AS c FROM rk GROUP BY 1, 2, 3),
+cuts AS (SELECT DISTINCT slot, kpi, kind, c FROM own),
+cell AS (SELECT cuts.slot, cuts.kpi, kind, c, entity_id, step_no, {sums} FROM cuts JOIN rk ON rk.slot = cuts.slot AND rk.kpi = cuts.kpi
+  AND CASE kind WHEN 'week' THEN week_no <= c WHEN 'step' THEN step_no <= c ELSE true END GROUP BY ALL),
+peer AS (SELECT slot, kpi, kind, c, entity_id, round({value}, 6) AS v FROM cell GROUP BY slot, kpi, kind, c, entity_id),
+ranked AS (SELECT *, rank() OVER (PARTITION BY slot, kpi, kind, c ORDER BY v) AS up, rank() OVER (PARTITION BY slot, kpi, kind, c ORDER BY v DESC) AS down
+  FROM peer WHERE v IS NOT NULL),
+stats AS (SELECT slot, kpi, kind, c, avg(v) AS group_value, count(*) AS group_size FROM ranked GROUP BY ALL),
+pooled AS (SELECT slot, kpi, kind, c, round(avg(m), 6) AS pooled FROM (SELECT slot, kpi, kind, c, step_no, sum(s) / sum(n) AS m FROM cell
+  WHERE kpi IN {names(lambda s: s.group_mode == "rows")} AND step_no IS NOT NULL AND n > 0 GROUP BY ALL) GROUP BY ALL),
+whole AS (SELECT entity_id, kpi, round({value}, 6) AS value FROM (SELECT entity_id, kpi, step_no, {sums} FROM rk GROUP BY ALL) GROUP BY 1, 2)
+"""
 
 
 @query(
     "kpi_vs_group",
-    ml(*ALL_DETAIL)
-    + f""", k AS (SELECT k.entity_id, slot, kpi, round(value, 6) AS value FROM ({kpi_parts_sql(b.DETAIL)}) k JOIN ent USING (entity_id))
-SELECT entity_id, slot, kpi, value, avg(value) OVER g AS group_value, value * 100 / avg(value) OVER g AS ratio,
-  CASE WHEN kpi IN {LOW} THEN rank() OVER (PARTITION BY slot, kpi ORDER BY value)
-    ELSE rank() OVER (PARTITION BY slot, kpi ORDER BY value DESC) END AS rank,
-  count(*) OVER g AS group_size FROM k WINDOW g AS (PARTITION BY slot, kpi)""",
-    {"value": 5, "group_value": 5, "ratio": 5},
+    ml(*ALL_PAGE)
+    + own_cutoff_sql(b.DETAIL_PAGE)
+    + """SELECT o.entity_id, o.slot, o.kpi, o.kind, CAST(o.c AS DOUBLE) AS cutoff, value, coalesce(pooled, group_value) AS group_value,
+  value * 100 / coalesce(pooled, group_value) AS ratio,
+  CASE WHEN o.kpi IN ('external_rank', 'buzz_rank') THEN up ELSE down END AS rank, coalesce(group_size, 0) AS group_size
+FROM own o JOIN whole w ON w.entity_id = o.entity_id AND w.kpi = o.kpi AND value IS NOT NULL
+LEFT JOIN ranked r ON r.entity_id = o.entity_id AND r.slot = o.slot AND r.kpi = o.kpi AND r.kind = o.kind AND r.c IS NOT DISTINCT FROM o.c
+LEFT JOIN stats g ON g.slot = o.slot AND g.kpi = o.kpi AND g.kind = o.kind AND g.c IS NOT DISTINCT FROM o.c
+LEFT JOIN pooled p ON p.slot = o.slot AND p.kpi = o.kpi AND p.kind = o.kind AND p.c IS NOT DISTINCT FROM o.c""",
+    {"value": 5, "group_value": 5, "ratio": 4},
 )
 def kpi_vs_group(spark, d):
-    fact = b.metric_long(spark, d, ALL_DETAIL)
-    return compare.kpi_vs_group(fact, b.DETAIL, b.entity_dim(spark, d), "slot", b.ROUTING)
+    fact = b.metric_long(spark, d, ALL_PAGE, title=True)
+    return cutoffs.kpi_vs_group(fact, b.DETAIL_PAGE, b.entity_dim(spark, d), "slot", b.ROUTING)
 
 
 def _seven_long(spark, d):

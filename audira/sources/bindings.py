@@ -49,6 +49,17 @@ DETAIL = (
     MetricSpec("mentions", "mentions", "sum", cutoff="week"),
     MetricSpec("buzz_score", "buzz", cutoff="week"),
 )
+# All twelve KPIs of the detail page.
+DETAIL_PAGE = (
+    *DETAIL[:5],
+    MetricSpec("other_platform", "prefer", "step_sum", ("VOD",)),
+    MetricSpec("external_rank", "EXT-Rank", "min", cutoff="week", high_is_good=False, normalized=True),
+    MetricSpec("mentions", "mentions", "sum", cutoff="week"),
+    MetricSpec("views_total", "views", "sum", views="total", cutoff="week"),
+    MetricSpec("views_foreign", "views", "sum", views="foreign", cutoff="week"),
+    MetricSpec("buzz_rank", "rank", "min", cutoff="week", high_is_good=False, normalized=True),
+    MetricSpec("buzz_score", "buzz", cutoff="week", keep_zero=True, normalized=True, group_mode="rows"),
+)
 OVERVIEW = (
     MetricSpec("target_rating", "rating"),
     MetricSpec("household_rating", "home"),

@@ -22,7 +22,8 @@ class MetricSpec:
 
     mode: ``mean`` (mean per step, then mean), ``step_sum`` (sum per step, then mean), ``sum``, ``min``,
     ``vod`` (sum of both media on steps where the first has data, then mean) or ``flat_mean``. A ``normalized``
-    metric name ignores case and punctuation.
+    metric name ignores case and punctuation. ``group_mode`` tells how a group's value follows at a cutoff: the mean of its
+    ``entities``' values, or the KPI over all ``rows`` of the group.
     """
 
     kpi: str
@@ -34,6 +35,7 @@ class MetricSpec:
     high_is_good: bool = True
     keep_zero: bool = False
     normalized: bool = False
+    group_mode: str = "entities"
 
 
 # The KPI catalogue of the detail page.
@@ -49,7 +51,7 @@ DETAIL_KPIS = (
     MetricSpec("views_total", "조회수", "sum", views="total", cutoff="week"),
     MetricSpec("views_foreign", "조회수", "sum", views="foreign", cutoff="week"),
     MetricSpec("buzz_rank", "F_Total", "min", cutoff="week", high_is_good=False, normalized=True),
-    MetricSpec("buzz_score", "F_score", cutoff="week", keep_zero=True, normalized=True),
+    MetricSpec("buzz_score", "F_score", cutoff="week", keep_zero=True, normalized=True, group_mode="rows"),
 )
 # The columns of the overview table; its buzz score sums the rows of a step.
 OVERVIEW_KPIS = (
