@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier on character n-grams, whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the character n-grams of its lower-cased words with one blank between them, hashed to 2^bits
-buckets; a feature is there or not. Training:
+buckets; a feature is there or not. Training uses a bounded sample of the labelled rows: of each class the
+``max_fit_rows`` / 2 ids with the smallest hash. That is the only sample, and what reaches the driver is bounded by it. It
+is also why the documents are not shuffled: the sample's ids and labels are broadcast to them.
 
-1. Spark counts, over all labelled rows, in how many texts of each class each bucket occurs (combined before the shuffle,
-   at most 2^bits rows from a task). From it follows each bucket's log-count ratio r: the logarithm of its smoothed rate
-   in toxic texts over that in others.
+1. Spark counts in how many of the sample's texts of each class each bucket occurs (combined before the shuffle, at most
+   2^bits rows from a task). From it follows each bucket's log-count ratio r: the logarithm of its smoothed rate in toxic
+   texts over that in others.
 2. The ``max_features`` buckets that tell the classes apart best (by the G statistic of their counts) become features.
-3. A logistic regression with an L2 penalty is fitted to the features times r, on at most ``max_fit_rows`` labelled rows,
-   half of each class, those with the smallest hash; rows weigh as many rows as they stand for. This is the only sample.
+3. A logistic regression with an L2 penalty is fitted to the features times r; a row weighs as many labelled rows of its
+   class as it stands for.
 
 A text's score is the regression's probability. Each task needs one number per feature. Texts are read whole; long ones in
 pieces that overlap, so no n-gram is lost.
@@ -42,7 +44,7 @@ class ToxicityPlan:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     max_features: int = 4096
-    max_fit_rows: int = 20_000
+    max_fit_rows: int = 30_000
     smoothing: float = 1.0
     penalty: float = 1.0
     steps: int = 300
@@ -81,7 +83,7 @@ def gram_buckets(data: np.ndarray, bounds: np.ndarray, plan: ToxicityPlan, numbe
             if number is not None:
                 bucket = number[bucket]
                 inside &= bucket >= 0
-            found.append(np.unique(row[inside] * size + bucket[inside]))
+            found.append(row[inside] * size + bucket[inside])
     keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return keys // size, keys % size
 
@@ -119,8 +121,8 @@ def best_buckets(counts: DataFrame, n0: int, n1: int, plan: ToxicityPlan) -> Dat
     return ranked.orderBy(F.desc("tells"), "bucket").limit(plan.max_features).select("bucket", "ratio")
 
 
-def sampled_features(rows: DataFrame, n: tuple[int, int], buckets: np.ndarray, plan: ToxicityPlan) -> list[tuple[int, np.ndarray]]:
-    """(toxic, numbers of the features) of at most max_fit_rows rows (toxic, hash, text)."""
+def sampled_features(rows: DataFrame, buckets: np.ndarray, plan: ToxicityPlan) -> list[tuple[int, np.ndarray]]:
+    """(toxic, numbers of the features) of rows (toxic, hash, text), of each class at most half of max_fit_rows."""
     number = _numbers(buckets, plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +134,11 @@ def sampled_features(rows: DataFrame, n: tuple[int, int], buckets: np.ndarray, p
                 column = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(cuts.astype(np.int32)), raw])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), column], names=["toxic", "hash", "features"])
 
-    out, half = [], plan.max_fit_rows // 2
-    for k in (0, 1):
-        mine = rows.where(F.col("toxic") == k)
-        if n[k] > half:  # look only at rows that can be among the smallest hashes
-            cut = mine.select("hash").orderBy("hash").limit(half).agg(F.max("hash")).first()[0]
-            mine = mine.where(F.col("hash") <= cut)
-        smallest = map_batches(mine.select("toxic", "hash", "text"), run, "toxic int, hash long, features binary").orderBy("hash", "features").limit(half)
-        out += [(r.toxic, np.frombuffer(r.features, "<u2").astype(np.int64)) for r in smallest.collect()]
+    features = settle(map_batches(rows.select("toxic", "hash", "text"), run, "toxic int, hash long, features binary"))
+    out = []
+    for k in (0, 1):  # repeated documents of one id may be more than the bound
+        smallest = features.where(F.col("toxic") == k).orderBy("hash", "features").limit(plan.max_fit_rows // 2).select("features")
+        out += [(k, np.frombuffer(r, "<u2").astype(np.int64)) for r in smallest.toArrow().column(0).to_pylist()]
     return out
 
 
@@ -186,8 +185,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def learned(rows: DataFrame, plan: ToxicityPlan) -> LinearModel:
-    """The model from rows (toxic 0 or 1, hash, text)."""
+def learned(rows: DataFrame, totals: tuple[int, int], plan: ToxicityPlan) -> LinearModel:
+    """The model from the sample's rows (toxic 0 or 1, hash, text); totals: all labelled ids of each class."""
     found = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = (found.get(0, 0), found.get(1, 0))
     nothing = LinearModel(np.zeros(0, np.int64), np.zeros(0), float(np.log((n[1] + 1) / (n[0] + 1))))
@@ -197,7 +196,7 @@ def learned(rows: DataFrame, plan: ToxicityPlan) -> LinearModel:
     if not best:
         return nothing
     buckets, ratios = np.array([r.bucket for r in best]), np.array([r.ratio for r in best])
-    w, b = fit_linear(sampled_features(rows, n, buckets, plan), ratios, n, plan)
+    w, b = fit_linear(sampled_features(rows, buckets, plan), ratios, totals, plan)
     return LinearModel(buckets, w * ratios, b)
 
 
@@ -224,12 +223,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, hash, text) of the documents that may be learned from: one label per id."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most"))
-    agreed = known.where("toxic = most").select("doc_id", "toxic")
-    joined = docs.where(~held_out(F.col("doc_id"))).join(agreed, "doc_id")
-    return joined.select("toxic", F.xxhash64("doc_id", "text").alias("hash"), "text")
+def label_sample(labels: DataFrame, plan: ToxicityPlan) -> tuple[DataFrame, tuple[int, int]]:
+    """(doc_id, toxic) of at most max_fit_rows ids that may be learned from, one label each; all such ids of each class."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    known = settle(known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("order")))
+    found = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = [known.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(plan.max_fit_rows // 2) for k in (0, 1)]
+    return settle(some[0].union(some[1]).select("doc_id", "toxic")), (found.get(0, 0), found.get(1, 0))
 
 
 def toxicity_report(
@@ -237,5 +238,8 @@ def toxicity_report(
 ) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. Learns from labels of documents that are not held out."""
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
-    model = learned(settle(labelled(rows, pick(labels, doc_id, label).toDF("doc_id", "toxic"))), plan)
+    sample, totals = label_sample(pick(labels, doc_id, label).toDF("doc_id", "toxic"), plan)
+    # At most max_fit_rows ids and labels: broadcast, so that no text is shuffled.
+    teaching = rows.join(F.broadcast(sample), "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("hash"), "text")
+    model = learned(settle(teaching), totals, plan)
     return scored(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, plan)

@@ -107,8 +107,14 @@ def test_nothing_or_one_class_to_learn_from(spark, docs_of):
 
 def test_the_sample_is_bounded(spark, docs_of):
     docs, labels = made(300)
-    rows = toxicity.labelled(docs_of(docs).select("doc_id", "text"), spark.createDataFrame(labels, LABELS).select("doc_id", "toxic"))
-    n = tuple(rows.where(F.col("toxic") == k).count() for k in (0, 1))
     plan = ToxicityPlan(max_fit_rows=40)
-    sample = toxicity.sampled_features(rows, n, np.arange(100), plan)
-    assert [sum(t == k for t, _ in sample) for k in (0, 1)] == [20, 20]
+    sample, totals = toxicity.label_sample(spark.createDataFrame(labels, LABELS).select("doc_id", "toxic"), plan)
+    teach = [t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert totals == (teach.count(0), teach.count(1))
+    ids = {r.doc_id: r.toxic for r in sample.collect()}
+    assert [list(ids.values()).count(k) for k in (0, 1)] == [20, 20]
+    rows = docs_of(docs * 3).join(sample, "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("hash"), "text")
+    features = toxicity.sampled_features(rows, np.arange(100), plan)
+    assert [sum(t == k for t, _ in features) for k in (0, 1)] == [20, 20]
+    got = toxicity.toxicity_report(docs_of(docs), spark.createDataFrame(labels, LABELS), plan=plan).where("held_out").collect()
+    assert sum(r.predicted != (r.doc_id % 6 == 0) for r in got) <= 0.1 * len(got)
