@@ -262,7 +262,26 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataF
     )
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the greatest by ``order``. An aggregate, so a hot key is reduced before the shuffle."""
-    best = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select("_row.*")
+def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], null_keys: bool = True) -> DataFrame:
+    """One row per key, the greatest by ``order``; of rows that tie one is taken by a digest, rows that repeat count once.
+
+    In two phases. First only key, order and digest: each task cuts its rows to one per key before the shuffle, so a hot key
+    sends one narrow row from each task. Then the whole rows of the winners, by a semi-join on key and digest; the rows that
+    lost are not moved when the winners are few, and never sorted whole. ``df`` is read twice and must be the same rows both
+    times (a table, or what follows from tables alone). Without ``null_keys`` rows with a null key are left out, and a table
+    that is stored by its keys is not shuffled.
+    """
+    if not null_keys:
+        df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    by = {f"_o{i}": c for i, c in enumerate(order)}
+    digest = F.xxhash64(*[F.col(c) for c in df.columns])
+    best = _window(keys).orderBy(*[F.col(c).desc() for c in (*by, "_digest")])
+    narrow = df.select(*keys, *[c.alias(n) for n, c in by.items()], digest.alias("_digest"))
+    winners = narrow.withColumn("_k", F.row_number().over(best)).where("_k = 1").select(*keys, "_digest")
+    rows = df.withColumn("_digest", digest)
+    if null_keys:
+        rows = rows.alias("l").join(winners.alias("r"), _same_keys("l", "r", [*keys, "_digest"]), "left_semi")
+    else:
+        rows = rows.join(winners, [*keys, "_digest"], "left_semi").select(*df.columns, "_digest")
+    # Rows that repeat as a whole are left: one of them stays.
+    return rows.withColumn("_k", F.row_number().over(_window(keys).orderBy("_digest"))).where("_k = 1").select(*df.columns)

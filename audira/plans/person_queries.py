@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from audira.functions import grades
 from audira.functions.exact import exact_sum_sql
-from audira.operators import persons
+from audira.operators import ordering, persons
 from audira.plans.registry import query
+from audira.session import ensure_checkpoint_dir
 from audira.sources import bindings as b
 from audira.sources import tables
 from audira.sources.bindings import PERSON_DIM_SQL, WORK_PERSON_SQL, with_ctes
@@ -395,6 +398,26 @@ def distinct_counts(spark, d):
     return tables.distinct_counts(b.work_person(spark, d), {"persons": F.col("person"), "works": F.col("work")})
 
 
+@query(
+    "distinct_counts_by_partition",
+    WP
+    + """, c AS (SELECT work, count(*) AS total_rows, count(DISTINCT person) AS persons FROM wp GROUP BY 1)
+SELECT work, total_rows, true AS within_bound FROM c UNION ALL SELECT NULL, sum(total_rows)::BIGINT, true FROM c""",
+)
+def distinct_counts_by_partition(spark, d):
+    """Sketches stored per work and united on read: each count, and that of all works, within 3 % of the exact one."""
+    rows = b.work_person(spark, d)
+    path = f"{ensure_checkpoint_dir(spark)}/audira-sketches-{uuid.uuid4().hex}"
+    tables.distinct_sketches(rows, ["work"], {"persons": F.col("person")}).write.parquet(path)
+    stored = spark.read.parquet(path)
+    exact = rows.groupBy("work").agg(F.count_distinct("person").alias("_exact"))
+    each = tables.united_counts(stored, ["persons"], ["work"]).join(exact, "work")
+    whole = ordering.with_scalars(tables.united_counts(stored, ["persons"]), rows.agg(F.count_distinct("person").alias("_exact")))
+    whole = whole.select(F.lit(None).cast("string").alias("work"), "*")
+    near = F.abs(F.col("persons") - F.col("_exact")) <= 0.03 * F.col("_exact")
+    return each.unionByName(whole).select("work", "total_rows", near.alias("within_bound"))
+
+
 @query(
     "minmax_norm",
     WP
@@ -440,12 +463,18 @@ def person_record_json(spark, d):
     {"work_buzz": 1, "person_buzz": 2},
 )
 def load_ragged_table(spark, d):
+    """The pairs as lines of text, stored and read back: short rows, long rows, quoted cells, a blank header cell, junk."""
     rows = b.work_person(spark, d)
-    raw = rows.select(
-        F.col("person").cast("string").alias(" person"),
-        F.concat(F.lit(" "), "work").alias("work "),
-        F.format_number("work_buzz", 2).alias("work_buzz"),
-        F.format_number("person_buzz", 2).alias("person_buzz"),
-        *[F.col(c).cast("string").alias(c) for c in ("weeks_ranked", "persons_ranked", "rank_in_work")],
-    )
+    numbers = [F.format_number("work_buzz", 2), F.format_number("person_buzz", 2), *[F.col(c).cast("string") for c in ("weeks_ranked", "persons_ranked", "rank_in_work")]]
+    quoted = [F.concat(F.lit('"'), c, F.lit('"')) for c in numbers[:2]]
+    cells = [F.col("person").cast("string"), F.concat(F.lit(" "), "work"), *quoted, *numbers[2:]]
+    kind = F.col("person") % 3
+    tail = F.when(kind == 0, F.lit("")).when(kind == 1, F.lit(",note")).otherwise(F.lit(",note,more,and more"))
+    lines = rows.select(F.concat(F.concat_ws(",", *cells), tail).alias("value"))
+    junk = rows.where("rank_in_work = 1").select(F.concat(F.lit('"never closed,'), F.col("person").cast("string")).alias("value"))
+    folder = f"{ensure_checkpoint_dir(spark)}/audira-ragged-{uuid.uuid4().hex}"
+    header = " person,work ,work_buzz,person_buzz,weeks_ranked,persons_ranked,rank_in_work, "
+    spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{folder}/a-header")
+    lines.union(junk).write.text(f"{folder}/b-rows")
+    raw, _ = tables.read_ragged(spark, [f"{folder}/a-header", f"{folder}/b-rows"])
     return tables.load_ragged_table(raw)

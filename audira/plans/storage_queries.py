@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from audira.operators import ordering
 from audira.plans.registry import query
 from audira.session import ensure_checkpoint_dir
 from audira.sources import bindings as b
@@ -125,20 +126,34 @@ held AS (SELECT batch, coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUND
 SELECT event_id, user_id, event_type FROM events JOIN held ON held.batch = event_id % 4 WHERE before < 300""",
 )
 def stream_capped_ingest(spark, d):
-    """The events arrive in four files, one a batch; the cap of 300 rows leaves the later ones out."""
+    """The events arrive in four runs, one batch each; the cap of 300 rows leaves the later ones out."""
     folder = run_folder(spark, "ingest")
     rows = b.table(spark, d, "events").select("event_id", "user_id", "event_type")
-    for k in range(4):
-        rows.where(F.pmod("event_id", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    jobs.stream_capped_ingest(stream, f"{folder}/out", f"{folder}/state", 300, ["event_id"]).awaitTermination()
+    for k in range(4):  # what has arrived since the last run is one batch, in as many files as it takes
+        rows.where(F.pmod("event_id", F.lit(4)) == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        jobs.stream_capped_ingest(stream, f"{folder}/out", f"{folder}/state", 300, ["event_id"]).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@query("scheduled_refresh", "SELECT event_id, user_id, event_type AS source_file FROM events")
+@query(
+    "scheduled_refresh",
+    """SELECT id, source_file, title, updated_at FROM (SELECT user_id AS id, event_type AS source_file, event_type || event_id AS title, ts AS updated_at,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_id % 3 > 0) DESC, ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""",
+)
 def scheduled_refresh(spark, d):
+    """Two arrivals, the second one with changed rows; a run at another hour and one without arrivals change nothing."""
     folder = run_folder(spark, "refresh")
-    stream = event_stream(spark, d).select("event_id", "user_id", F.col("event_type").alias("source_file"))
-    for _ in range(2):  # the second run finds nothing new
-        jobs.scheduled_refresh(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    events = b.table(spark, d, "events")
+    ids = [F.col("user_id").alias("id"), F.col("event_type").alias("source_file"), F.concat("event_type", F.col("event_id").cast("string")).alias("title"), F.col("ts").alias("updated_at")]
+    late, schema = F.col("event_id") % 3 > 0, events.select(*ids).schema
+    out, ledger, state = (f"{folder}/{x}" for x in ("out", "ledger", "state"))
+    for part, hours in ((~late, (9,)), (late, (10, 12, 18))):
+        # Of rows with one time the later event counts; a microsecond per arrival would do the same in a real feed.
+        ordering.latest_per_key(events.where(part), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select(*ids).write.mode("append").parquet(f"{folder}/in")
+        for hour in hours:
+            stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+            run = jobs.scheduled_refresh(stream, out, ledger, state, AS_OF.replace(hour=hour))
+            if run is not None:
+                run.awaitTermination()
+    return jobs.read_refreshed(spark, out, ledger, schema)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-
+import uuid
 
 from pyspark.sql import functions as F
 
 from audira.functions import text
 from audira.operators import accounts, comments, ordering, videos
 from audira.plans.registry import query
+from audira.session import ensure_checkpoint_dir
 from audira.sources import bindings as b
 from audira.sources import catalog
 from audira.sources.bindings import (
@@ -44,6 +45,21 @@ def search_catalog_pushdown(spark, d):
     return catalog.search_catalog_pushdown(b.catalog(spark, d), ["The", " q ue "], START, END)
 
 
+@query(
+    "search_catalog_index",
+    CAT
+    + f"""SELECT id, title, published_at FROM catalog WHERE published_at BETWEEN {START_SQL} AND {END_SQL}
+AND (contains(lower(title), 'onthe') OR contains(lower(description), 'onthe') OR contains(lower(title), 'idiot')
+  OR contains(lower(description), 'idiot'))""",
+)
+def search_catalog_index(spark, d):
+    """The catalogue is stored with its postings, then searched through them."""
+    rows = b.catalog(spark, d).select(*[f.name for f in catalog.VIDEO])
+    path = f"{ensure_checkpoint_dir(spark)}/audira-search-{uuid.uuid4().hex}"
+    catalog.write_searchable(rows, path)
+    return catalog.search_indexed(spark, path, catalog.VIDEO, ["On the", " idiot "], START, END)
+
+
 @query(
     "catalog_keyword_filter",
     CAT
@@ -114,6 +130,16 @@ def incremental_catalog_sync(spark, d):
     return out.select("id", "title", "published_at", "source_file")
 
 
+@query("incremental_catalog_sync_bucketed", SYNC_SQL)
+def incremental_catalog_sync_bucketed(spark, d):
+    """The cached side is a stored table, bucketed by partition and id: only the incoming rows move."""
+    incoming, cached, last = _sync_inputs(spark, d)
+    name = f"audira_cached_{uuid.uuid4().hex}"
+    catalog.store_bucketed(cached.select(*[f.name for f in catalog.VIDEO]), name, 16, f"{ensure_checkpoint_dir(spark)}/{name}")
+    out = catalog.incremental_catalog_sync(incoming, spark.table(name), last, AS_OF)
+    return out.select("id", "title", "published_at", "source_file")
+
+
 @query(
     "dedup_latest",
     "SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from audira.functions import dates, text
 from audira.operators.ordering import keep_top, latest_per_key, running_sums
+from audira.session import cut_lineage
 
 VIDEO = T.StructType(
     [
@@ -69,6 +71,61 @@ def search_catalog_pushdown(
     return hits.select("id", "title", "published_at")
 
 
+#: Code points of an index entry.
+GRAM = 3
+
+
+def write_searchable(catalog: DataFrame, path: str, files: int | None = None) -> None:
+    """Store the catalogue for searches: ``rows``, dealt by publish time, and ``postings`` beside them.
+
+    A row of ``rows`` has its file number (a partition folder) and its place in the file; files hold separate ranges of
+    publish times, in order, so a date range reads few of them. ``postings`` has (gram, file, place) for every distinct
+    three-letter piece of the lower-cased title and description, sorted by gram, so a search reads only the row groups that
+    hold its grams.
+    """
+    spark = catalog.sparkSession
+    key = [F.col("published_at"), F.xxhash64("id", "title")]
+    dealt = catalog.repartitionByRange(files, *key) if files else catalog.repartitionByRange(*key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = dealt.sortWithinPartitions("published_at").select("*", F.spark_partition_id().alias("file"), place.alias("place"))
+    cut_lineage(numbered).write.partitionBy("file").parquet(f"{path}/rows")
+    stored = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
+    grams = F.concat(*[_grams(F.lower(F.coalesce(c, F.lit("")))) for c in ("title", "description")])
+    postings = stored.select("file", "place", F.explode(F.array_distinct(grams)).alias("gram"))
+    postings.select("gram", "file", "place").repartitionByRange("gram", "file", "place").sortWithinPartitions("gram", "file").write.parquet(f"{path}/postings")
+
+
+def _grams(value: Column) -> Column:
+    """All overlapping pieces, in one pass over the text: a look-ahead takes each without moving past it."""
+    return F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)
+
+
+def search_indexed(
+    spark: SparkSession, path: str, schema: T.StructType, keywords: list[str], start: dt.datetime | None, end: dt.datetime | None
+) -> DataFrame:
+    """The rows of :func:`search_catalog_pushdown`, found in a stored catalogue by its postings.
+
+    A keyword's candidates are the rows that hold all its grams; only their files and row groups are read, and each candidate
+    is then checked for the keyword itself. A keyword shorter than a gram has no postings: then the rows are scanned, with
+    the date range pushed down as always.
+    """
+    place = T.StructType([T.StructField("place", T.LongType()), T.StructField("file", T.IntegerType())])
+    rows = spark.read.schema(T.StructType([*schema.fields, *place.fields])).parquet(f"{path}/rows")
+    words = sorted({"".join(k.split()).lower() for k in keywords if k.strip()})
+    if words and all(len(w) >= GRAM for w in words):
+        postings = spark.read.schema("gram string, file int, place long").parquet(f"{path}/postings")
+        pairs = [(w, w[i : i + GRAM]) for w in words for i in range(len(w) - GRAM + 1)]
+        asked = sorted({g for _, g in pairs})
+        needs = {w: len({g for v, g in pairs if v == w}) for w in words}
+        hit = postings.where(F.col("gram").isin(asked)).groupBy("file", "place").agg(
+            *[F.count(F.when(F.col("gram").isin(sorted({g for v, g in pairs if v == w})), 1)).alias(f"_n{i}") for i, w in enumerate(words)]
+        )
+        every = [F.col(f"_n{i}") == needs[w] for i, w in enumerate(words)]
+        candidates = hit.where(reduce(lambda a, b: a | b, every)).select("file", "place")
+        rows = rows.join(candidates, ["file", "place"], "left_semi")
+    return search_catalog_pushdown(rows, keywords, start, end)
+
+
 def overwrite_partition(videos: DataFrame, path: str, meta_path: str, updated_at: dt.datetime, source: str) -> None:
     """Replace the partitions present in ``videos`` and record count, time and source of each.
 
@@ -90,6 +147,15 @@ def latest_metadata(meta: DataFrame) -> DataFrame:
     return latest_per_key(meta, [PARTITION], [F.col("updated_at"), F.col("last_source")])
 
 
+def store_bucketed(videos: DataFrame, table: str, buckets: int, path: str) -> None:
+    """Store the cached side at ``path`` as a table bucketed by partition and id.
+
+    A sync that reads it meets it bucket by bucket: only the incoming rows are shuffled, as long as the session's number of
+    shuffle partitions is not above ``buckets``.
+    """
+    videos.write.bucketBy(buckets, PARTITION, "id").sortBy(PARTITION, "id").mode("overwrite").option("path", path).saveAsTable(table)
+
+
 def incremental_catalog_sync(
     incoming: DataFrame,
     cached: DataFrame,
@@ -111,13 +177,14 @@ def incremental_catalog_sync(
         & F.col("published_at").isNotNull()
         & (F.col("upload_at") >= F.coalesce(rescan, first))
     )
-    fresh = fresh.join(cached.select(PARTITION, "id").distinct(), [PARTITION, "id"], "left_anti")
+    fresh = fresh.join(cached.select(PARTITION, "id"), [PARTITION, "id"], "left_anti")
     fresh = latest_per_key(fresh, [PARTITION, "id"], [F.col("upload_at"), F.col("title")])
     cols = [f.name for f in VIDEO]
-    one_cached = latest_per_key(
-        cached.select(*cols), [PARTITION, "id"], [F.col("published_at"), F.col("title"), F.col("description")]
-    )
-    return fresh.select(*cols).unionByName(one_cached)
+    newest = [F.col("published_at"), F.col("title"), F.col("description")]
+    # A stored cache is met by its keys as it lies; the rows without a key, which no bucket tells apart, are few.
+    keyed = latest_per_key(cached.select(*cols), [PARTITION, "id"], newest, null_keys=False)
+    keyless = cached.select(*cols).where(F.col(PARTITION).isNull() | F.col("id").isNull())
+    return fresh.select(*cols).unionByName(keyed).unionByName(latest_per_key(keyless, [PARTITION, "id"], newest))
 
 
 def latest_sync_status(catalog: DataFrame, time_column: str = "published_at") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +95,35 @@ def named_header(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def read_ragged(spark: SparkSession, paths: str | list[str], separator: str = ",") -> tuple[DataFrame, DataFrame]:
+    """Rows of any width from stored text: (rows, quarantine).
+
+    The header is the first line of the file whose path is the smallest; lines that repeat it are headers of other files.
+    A short row is padded with nulls, a long one cut; cells may be quoted, with quotes doubled inside. Lines that cannot be
+    split, because a quote is not closed, go to the quarantine with their file; blank lines are left out. Rows come back as
+    text under the header's names as they stand, see :func:`named_header`.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(F.trim("value") != "")
+    begin = lines.where("block = 0").withColumn("_at", F.monotonically_increasing_id())
+    header = begin.groupBy("file").agg(F.min_by("value", "_at").alias("header")).orderBy("file").limit(1).collect()
+    if not header:
+        raise ValueError(f"no header line in {paths}")
+    line = header[0].header
+    cell = rf'{re.escape(separator)}(\s*"(?:[^"]|"")*"\s*|[^{re.escape(separator)}]*)'
+
+    def cells(text: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(F.lit(separator), text), F.lit(cell), 1)
+        return F.transform(found, lambda c: F.when(F.trim(c).startswith('"'), F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')).otherwise(c))
+
+    names = spark.range(1).select(cells(F.lit(line)).alias("c")).first().c
+    rows = lines.where(F.col("value") != line)
+    whole = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 0
+    split = rows.where(whole).select(cells(F.col("value")).alias("_c"))
+    padded = split.select(*[F.get("_c", F.lit(i)).alias(f"_c{i}") for i in range(len(names))])
+    return padded.toDF(*names), rows.where(~whole).select("file", "value")
+
+
 def load_ragged_table(
     raw: DataFrame,
     required: list[str] = WORK_PERSON_REQUIRED,
@@ -166,6 +197,22 @@ def period_bounds(labels: DataFrame, column: str = "label") -> DataFrame:
     )
 
 
+def distinct_sketches(df: DataFrame, keys: list[str], columns: dict[str, Column], lg_k: int = 14) -> DataFrame:
+    """Row count and one mergeable HLL sketch per expression for each partition (``keys``), to be stored beside it.
+
+    A partition that changes gets a new row; totals over any partitions are united from the stored rows without reading
+    the data again.
+    """
+    sketches = [F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(lg_k)).alias(name) for name, c in columns.items()]
+    return df.groupBy(*keys).agg(F.count("*").alias("total_rows"), *sketches)
+
+
+def united_counts(sketches: DataFrame, columns: list[str], groups: list[str] = ()) -> DataFrame:
+    """Distinct counts over the united sketches, per group or in all; the relative error is about 1.04 / sqrt(2^lg_k)."""
+    united = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns]
+    return sketches.groupBy(*groups).agg(F.sum("total_rows").alias("total_rows"), *united)
+
+
 def distinct_counts(df: DataFrame, columns: dict[str, Column], approximate: bool = False) -> DataFrame:
     """Row count and distinct counts of expressions; nulls are not counted."""
     count = F.approx_count_distinct if approximate else F.count_distinct

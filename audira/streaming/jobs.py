@@ -8,11 +8,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from audira.operators import ordering
+
+PARTITION = "source_file"
+# Local hours of the refresh.
+REFRESH_HOURS = (0, 9, 12, 18)
 EVENT = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -90,16 +96,63 @@ def stream_capped_ingest(
     return writer.trigger(availableNow=True).start()
 
 
-def scheduled_refresh(stream: DataFrame, path: str, checkpoint: str, partition: str = "source_file") -> StreamingQuery:
-    """One refresh run: take everything that arrived since the last run, append it, and stop.
+def scheduled_refresh(
+    stream: DataFrame, path: str, ledger: str, checkpoint: str, as_of: dt.datetime, hours: tuple[int, ...] = REFRESH_HOURS, key: str = "id"
+) -> StreamingQuery | None:
+    """One refresh run at a refresh hour: merge everything that arrived since the last run into the catalogue, and stop.
 
-    An outside scheduler starts it at the refresh hours; the checkpoint remembers what was read.
+    An outside scheduler calls it; at other hours it does nothing and returns None. Each batch takes the latest row per
+    (source_file, key) by ``updated_at``, lets it replace the catalogue's row of that key, and rewrites only the partitions
+    that the batch touches. The catalogue's versions are folders by batch: a batch reads the version before it and writes its
+    own, then a ledger row (batch, rows, touched partitions, time) names it. A replayed batch finds its ledger row and
+    changes nothing; one that failed half-way has none and is written anew.
     """
-    writer = stream.writeStream.format("parquet").partitionBy(partition)
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
-
+    if not is_refresh_hour(as_of, hours):
+        return None
+    spark = stream.sparkSession
 
-def is_refresh_hour(as_of: dt.datetime, hours: tuple[int, ...] = (0, 9, 12, 18)) -> bool:
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        done = read_ledger(spark, ledger)
+        if not done.where(F.col("batch") == batch_id).isEmpty():
+            return
+        fresh = ordering.settle(ordering.latest_per_key(ordering.settle(batch), [PARTITION, key], [F.col("updated_at")]))
+        touched = [r[0] for r in fresh.select(PARTITION).distinct().collect()]  # partitions of the catalogue
+        old = read_refreshed(spark, path, ledger, stream.schema).where(F.col(PARTITION).isin(touched))
+        kept = old.join(fresh.select(PARTITION, key), [PARTITION, key], "left_anti")
+        merged = kept.select(*fresh.columns).unionByName(fresh)
+        merged.write.mode("overwrite").partitionBy(PARTITION).parquet(f"{path}/v{batch_id}")
+        row = fresh.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(batch_id).cast("long").alias("batch"), "rows", F.lit(touched).cast("array<string>").alias("touched"), F.lit(as_of).alias("as_of"))
+        row.write.mode("append").parquet(ledger)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+LEDGER = "batch long, rows long, touched array<string>, as_of timestamp"
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """One row per merged batch; empty before the first run."""
+    try:
+        return spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def read_refreshed(spark: SparkSession, path: str, ledger: str, schema: T.StructType) -> DataFrame:
+    """The catalogue as the ledger has it: each partition from the last version that wrote it."""
+    last: dict[str, int] = {}
+    for r in read_ledger(spark, ledger).orderBy("batch").collect():  # one row per refresh
+        last.update(dict.fromkeys(r.touched, r.batch))
+    out = spark.createDataFrame([], schema)
+    for batch in sorted(set(last.values())):
+        mine = [k for k, v in last.items() if v == batch]
+        rows = spark.read.schema(schema).parquet(f"{path}/v{batch}").where(F.col(PARTITION).isin(mine))
+        out = out.unionByName(rows.select(*out.columns))
+    return out
+
+
+def is_refresh_hour(as_of: dt.datetime, hours: tuple[int, ...] = REFRESH_HOURS) -> bool:
     """Whether a local time is one of the fixed refresh hours."""
     return as_of.hour in hours

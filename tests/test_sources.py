@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from audira.operators import ordering
 from audira.sources import catalog, tables
 
 
@@ -124,3 +125,93 @@ def test_period_labels(spark):
     df = spark.createDataFrame([(x,) for x in labels], "label string")
     assert tuple(tables.period_bounds(df).first()) == ("2024년 2월 4주차", "2024년 12월 1주차")
     assert tuple(tables.period_bounds(df.where("label = 'misc'")).first()) == ("misc", "misc")
+
+
+def test_ragged_lines(spark, tmp_path):
+    """Short rows are padded, long ones cut, repeated headers and blank lines left out, unreadable lines set aside."""
+    (tmp_path / "a.csv").write_text(' name ,,"x, y"\n1,2,3\n4\n\n5,6,7,8,9\n"q ""u""", 7 ,"a,b"\n"open,1,2\n,,\n', newline="\n")
+    (tmp_path / "b.csv").write_text(' name ,,"x, y"\n10,11,12\n', newline="\n")
+    rows, quarantine = tables.read_ragged(spark, str(tmp_path / "*.csv"))
+    assert rows.columns == [" name ", "", "x, y"]
+    assert tables.named_header(rows).columns == ["name", "unnamed_2", "x, y"]
+    got = sorted((tuple(r) for r in rows.collect()), key=repr)
+    want = [("1", "2", "3"), ("4", None, None), ("5", "6", "7"), ('q "u"', " 7 ", "a,b"), ("", "", ""), ("10", "11", "12")]
+    assert got == sorted(want, key=repr)
+    assert [(r.file[-5:], r.value) for r in quarantine.collect()] == [("a.csv", '"open,1,2')]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no header"):
+        tables.read_ragged(spark, str(tmp_path / "none"))
+
+
+def test_latest_rows_in_two_phases(spark):
+    rows = [(i % 7 if i % 11 else None, i % 5, "text %d" % (i % 13), i % 3) for i in range(400)] * 3
+    df = spark.createDataFrame(rows, "k int, o int, t string, x int").repartition(5)
+    out = ordering.latest_per_key(df, ["k"], [F.col("o"), F.col("t")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+    got = {r.k: (r.o, r.t) for r in out.collect()}
+    want = {k: max((o, t) for kk, o, t, _ in rows if kk == k) for k in {r[0] for r in rows}}
+    assert got == want and out.count() == len(want) and out.columns == df.columns
+
+
+def test_indexed_search(spark, tmp_path):
+    """The same rows as the scan; files out of the date range and row groups of other grams are not read."""
+    words = ["alpha", "beta", "gamma", "delta", "Größe"]
+    rows = [(str(i), f"{words[i % 5]} no {i}", None if i % 9 == 0 else f"the {words[i % 3].upper()}mix", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), f"s{i % 4}") for i in range(600)]
+    videos = spark.createDataFrame(rows, catalog.VIDEO)
+    path = str(tmp_path / "c")
+    catalog.write_searchable(videos, path, files=6)
+    start, end = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 14)
+    for asked in (["alphamix"], ["betam", " gr öße "], ["no 1"], ["ma", "gamma"], ["nothing"], [], ["mix", "no"]):
+        want = sorted(map(tuple, catalog.search_catalog_pushdown(videos, asked, start, end).collect()))
+        got = catalog.search_indexed(spark, path, catalog.VIDEO, asked, start, end)
+        assert sorted(map(tuple, got.collect())) == want
+    got = catalog.search_indexed(spark, path, catalog.VIDEO, ["alphamix"], start, end)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(published_at" in plan and "In(gram" in plan
+    # Files hold separate ranges of time, so the range lies in few of them.
+    ranges = spark.read.parquet(f"{path}/rows").groupBy("file").agg(F.min("published_at").alias("a"), F.max("published_at").alias("b")).collect()
+    assert len(ranges) == 6 and sum(r.a <= end and r.b >= start for r in ranges) <= 2
+    assert {r.file for r in spark.read.parquet(f"{path}/postings").where("gram = 'pha'").select("file").distinct().collect()} == set(range(6))
+
+
+def test_a_bucketed_cache_is_not_shuffled(spark, tmp_path):
+    rows = [(str(i), f"t{i}", "d", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), f"s{i % 3}") for i in range(300)]
+    videos = spark.createDataFrame(rows, catalog.VIDEO)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    catalog.store_bucketed(videos.where("published_at < '2024-01-10'"), "cached_side", n, str(tmp_path / "t"))
+    incoming = videos.withColumns({"upload_at": F.col("published_at"), "privacy": F.lit("public")})
+    last = videos.groupBy("source_file").agg(F.lit(dt.datetime(2024, 1, 9)).cast("timestamp_ntz").alias("updated_at"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = catalog.incremental_catalog_sync(incoming, spark.table("cached_side"), last, dt.datetime(2024, 2, 1))
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert len(out.collect()) == 300
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP TABLE cached_side")
+    scans = [i for i, line in enumerate(lines) if "cached_side" in line and "Bucketed: true" in line and "isnotnull" in line]
+    assert len(scans) >= 2  # the rows and their keys
+    for i in scans:  # from the scan up to the join, nothing is an exchange
+        depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+        for line in reversed(lines[:i]):
+            here = len(line) - len(line.lstrip(" :+-"))
+            if here < depth:
+                depth = here
+                assert "Exchange" not in line, "\n".join(lines)
+                if "Join" in line:
+                    break
+
+
+def test_stored_sketches(spark):
+    rows = spark.range(60_000).select((F.col("id") % 5).cast("string").alias("p"), F.when(F.col("id") % 97 > 0, F.col("id") % 20_011).alias("u"))
+    stored = tables.distinct_sketches(rows, ["p"], {"users": F.col("u")})
+    whole = tables.united_counts(stored, ["users"]).first()
+    exact = rows.agg(F.count_distinct("u")).first()[0]
+    assert whole.total_rows == 60_000 and abs(whole.users - exact) <= 0.03 * exact
+    each = {r.p: r.users for r in tables.united_counts(stored, ["users"], ["p"]).collect()}
+    for r in rows.groupBy("p").agg(F.count_distinct("u").alias("n")).collect():
+        assert abs(each[r.p] - r.n) <= 0.03 * r.n

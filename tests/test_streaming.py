@@ -74,14 +74,35 @@ def test_ingest_stops_at_the_cap(spark, tmp_path):
     assert spark.read.parquet(out).count() == 8
 
 
-def test_refresh_takes_only_new_rows(spark, tmp_path):
-    pattern = write_batches(spark, tmp_path / "in", [[(1, at(1), 1, "a", 0.0)]])
-    stream = replay(spark, pattern).select("event_id", F.col("event_type").alias("source_file"))
-    out, state = str(tmp_path / "out"), str(tmp_path / "cp")
-    jobs.scheduled_refresh(stream, out, state).awaitTermination()
-    row = spark.createDataFrame([(2, at(2), 1, "b", 0.0, None)], jobs.EVENT)
-    row.write.parquet(str(tmp_path / "in" / "b9"))
-    jobs.scheduled_refresh(stream, out, state).awaitTermination()
-    jobs.scheduled_refresh(stream, out, state).awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2]
+REFRESH = "id long, source_file string, title string, updated_at timestamp_ntz"
+
+
+def test_refresh_merges_changed_rows(spark, tmp_path):
+    """New and changed rows replace those of their key; other hours, runs without arrivals and replays change nothing."""
+    out, ledger, state = (str(tmp_path / x) for x in ("out", "ledger", "cp"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, REFRESH).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(hour, checkpoint=state):
+        stream = spark.readStream.schema(REFRESH).parquet(str(tmp_path / "in"))
+        started = jobs.scheduled_refresh(stream, out, ledger, checkpoint, at(1, hour))
+        if started is not None:
+            started.awaitTermination()
+        return started
+
+    def held():
+        return sorted((r.id, r.source_file, r.title) for r in jobs.read_refreshed(spark, out, ledger, spark.createDataFrame([], REFRESH).schema).collect())
+
+    arrive([(1, "a", "old", at(1)), (1, "a", "newer", at(2)), (2, "a", "two", at(1)), (1, "b", "other", at(1))])
+    assert run(10) is None and run(9) is not None
+    assert held() == [(1, "a", "newer"), (1, "b", "other"), (2, "a", "two")]
+    arrive([(1, "a", "changed", at(3)), (3, "c", "three", at(3))])
+    run(12)
+    want = [(1, "a", "changed"), (1, "b", "other"), (2, "a", "two"), (3, "c", "three")]
+    assert held() == want
+    run(18)  # nothing arrived
+    assert held() == want and jobs.read_ledger(spark, ledger).count() == 2
+    run(18, str(tmp_path / "again"))  # a lost checkpoint replays batch 0: its ledger row keeps it out
+    assert held() == want and jobs.read_ledger(spark, ledger).count() == 2
     assert jobs.is_refresh_hour(at(1, 9)) and not jobs.is_refresh_hour(at(1, 10))
