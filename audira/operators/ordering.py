@@ -282,6 +282,8 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], null_key
     if null_keys:
         rows = rows.alias("l").join(winners.alias("r"), _same_keys("l", "r", [*keys, "_digest"]), "left_semi")
     else:
-        rows = rows.join(winners, [*keys, "_digest"], "left_semi").select(*df.columns, "_digest")
+        # One winner per key, so the key alone joins: an equality of digests beside it would ask for another partitioning.
+        met = rows.join(winners.withColumnRenamed("_digest", "_best"), keys)
+        rows = met.where(F.col("_digest").bitwiseXOR(F.col("_best")) == 0).select(*df.columns, "_digest")
     # Rows that repeat as a whole are left: one of them stays.
     return rows.withColumn("_k", F.row_number().over(_window(keys).orderBy("_digest"))).where("_k = 1").select(*df.columns)
