@@ -9,8 +9,10 @@
 3. Each page is extracted again: the blocks of the containers at its host's winning path, or of its own widened container
    where it has none there.
 
-Menus, headers (but for headings inside an article), footers, side bars, notices, adverts, forms, scripts, styles and
-reader comments are left out by tag, role, class or id before anything is scored.
+Menus, headers (but for headings inside an article), footers, side bars, notices, adverts, scripts, styles and reader
+comments are left out by tag, role, class or id before anything is scored. A form goes unless it has at least 100 unlinked
+characters for each of its controls: some pages are wrapped in one form. A part of an article that is named as a banner,
+related or shared goes unless it is text: at least 80 characters, at most a fifth of them links.
 
 Blocks are what block elements separate; white space in a block becomes one space; blocks are joined by line feeds in page
 order. Null and empty html give an empty text. Null urls, and urls without a host, vote together as one host. Repeated rows
@@ -45,7 +47,7 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body div main section td".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("nav footer aside form button select svg math canvas object menu dialog head audio video datalist".split())
+LEFT_OUT = frozenset("nav footer aside button select svg math canvas object menu dialog head audio video datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 LEFT_OUT_WORDS = frozenset(
@@ -54,6 +56,11 @@ LEFT_OUT_WORDS = frozenset(
     "navigation menu breadcrumb breadcrumbs pagination pager footer masthead comment comments reply replies respond disqus widget widgets toolbar "
     "login search".split()
 )
+# Of these, words that inside an article also name parts of the text (a lead, a section on related work, a share price).
+DOUBTFUL_WORDS = frozenset("banner related share sharing".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: Least unlinked characters of a form for each of its controls, and of a doubtful part of an article.
+FORM_CHARS, PART_CHARS = 100, 80
 #: A word behind one of these says how a page is laid out, not what the element is.
 LAYOUT = frozenset("no not has with without hide".split())
 # Start tags that close an open element, up to a boundary.
@@ -74,6 +81,7 @@ def words_of_name(name: str) -> list[str]:
 @dataclass
 class Attributes:
     left_out: bool = False
+    doubtful: bool = False  # left out unless it is text inside an article
     header: bool = False
     name: str = ""
 
@@ -84,10 +92,11 @@ def attributes(tag: str, text: str) -> Attributes:
     found = {m[1].lower() if m[1] else m[5].lower(): next((v for v in m.groups()[1:4] if v is not None), "") for m in ATTRIBUTE.finditer(text)} if text else {}
     role, names = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}"
     words = words_of_name(names)
-    bad = any(w in LEFT_OUT_WORDS and not (i and words[i - 1] in LAYOUT) for i, w in enumerate(words))
+    bad = {w for i, w in enumerate(words) if w in LEFT_OUT_WORDS and not (i and words[i - 1] in LAYOUT)}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
     whole = tag in ("html", "body", "main", "article")
-    out = Attributes(tag in LEFT_OUT or bool(hidden) or (not whole and (bad or role in LEFT_OUT_ROLES)), tag == "header" or (not whole and "header" in words))
+    sure = tag in LEFT_OUT or bool(hidden) or (not whole and (bool(bad - DOUBTFUL_WORDS) or role in LEFT_OUT_ROLES))
+    out = Attributes(sure, bool(bad) and not whole and not sure, tag == "header" or (not whole and "header" in words))
     classes = sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").lower().split()} - {""})
     out.name = ".".join([tag, *classes])
     return out
@@ -102,6 +111,16 @@ class Page:
     code: list[int] = field(default_factory=lambda: [0])
     own: list[float] = field(default_factory=lambda: [0.0])
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    links: list[int] = field(default_factory=list)  # characters of each block's links
+
+    def settle(self, first: int, controls: int | None) -> None:
+        """Take the blocks from ``first`` on back unless they are text: a form (with its controls) or a doubtful part."""
+        chars, links = sum(len(t) for _, t in self.blocks[first:]), sum(self.links[first:])
+        text = chars - 2 * links >= FORM_CHARS * max(1, controls) if controls is not None else chars >= PART_CHARS and 5 * links <= chars
+        if not text:
+            for (node, t), link in zip(self.blocks[first:], self.links[first:], strict=True):
+                self.own[node] -= max(0, len(t) - 2 * link)
+            del self.blocks[first:], self.links[first:]
 
     def path(self, node: int) -> str:
         names = []
@@ -150,7 +169,8 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, left out, inside a header
     parts: list[str] = []
-    in_link = link_chars = 0
+    in_link = link_chars = n_controls = 0
+    trials: list[tuple[int, int, int | None]] = []  # depth, first block, controls before (None: a doubtful part)
 
     def flush() -> None:
         nonlocal parts, link_chars
@@ -159,6 +179,7 @@ def parse(source: str) -> Page:
             if text:
                 node = stack[-1][1]
                 page.blocks.append((node, text))
+                page.links.append(link_chars)
                 page.own[node] += max(0, len(text) - 2 * link_chars)
         parts, link_chars = [], 0
 
@@ -176,6 +197,10 @@ def parse(source: str) -> Page:
         nonlocal in_link
         for tag, *_ in stack[depth:]:
             in_link -= tag == "a"
+        while trials and trials[-1][0] >= depth:
+            flush()
+            _, first, before = trials.pop()
+            page.settle(first, None if before is None else n_controls - before)
         del stack[depth:]
 
     at, limit = 0, source.rfind(">") + 1
@@ -201,6 +226,7 @@ def parse(source: str) -> Page:
             if depth:
                 pop_to(depth)
             continue
+        n_controls += tag in CONTROLS
         if tag in RAW:
             end = raw_end(tag).search(source, at)
             at = end.end() if end else len(source)
@@ -229,7 +255,7 @@ def parse(source: str) -> Page:
         above = stack[-1]
         said = attributes(tag, "" if tag == "a" else m[3])
         node = above[1]
-        if tag not in BLOCKS and tag != "a" and not said.left_out and not (above[2] and above[0] == tag):
+        if tag not in BLOCKS and tag != "a" and not said.left_out and not said.doubtful and not (above[2] and above[0] == tag):
             continue  # plain inline markup
         if tag in CONTAINERS:
             page.parent.append(node)
@@ -237,11 +263,17 @@ def parse(source: str) -> Page:
             page.code.append(step(page.code[node], said.name))
             page.own.append(0.0)
             node = len(page.parent) - 1
-        in_article = said.header and any(s[0] in ("article", "main") for s in stack)
-        stack.append((tag, node, above[2] or said.left_out or (said.header and not in_article), above[3] or in_article))
+        inside = (said.header or said.doubtful) and any(s[0] in ("article", "main") for s in stack)
+        in_article = said.header and inside
+        on_trial = not above[2] and (tag == "form" or (said.doubtful and inside and tag in BLOCKS)) and not said.left_out
+        out = said.left_out or (said.header and not in_article) or (said.doubtful and not on_trial)
+        if on_trial and not out:
+            trials.append((len(stack), len(page.blocks), None if tag != "form" else n_controls))
+        stack.append((tag, node, above[2] or out, above[3] or in_article))
         in_link += tag == "a"
     add(OPEN_TAG.sub("", source[at:]) if at <= limit else "")  # a tag that never ends takes the rest
     flush()
+    pop_to(1)
     return page
 
 

@@ -111,7 +111,7 @@ def _parsed(chunk: bytes) -> tuple[int | None, int | None, dict[str, str]]:
 
 CANDIDATE = (
     "file string, block long, place long, size long, total long, successor long, leaves long, low long, high long, header long, length long, "
-    "record_type string, record_id string, target_uri string, refers_to string, stated_digest string, payload_digest string"
+    "record_type string, record_id string, target_uri string, refers_to string, stated_digest string, payload_digest string, chunk_md5 string"
 )
 FIELDS = [f.split()[0] for f in CANDIDATE.split(", ")]
 KINDS = [pa.string() if f.split()[1] == "string" else pa.int64() for f in CANDIDATE.split(", ")]
@@ -164,6 +164,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                         "successor": None if header is None else place + header + length + len(LINE) * 2,
                         "record_type": lines.get("warc-type"), "record_id": lines.get("warc-record-id"), "target_uri": lines.get("warc-target-uri"),
                         "refers_to": lines.get("warc-refers-to"), "stated_digest": lines.get("warc-payload-digest"), "payload_digest": digest,
+                        "chunk_md5": hashlib.md5(chunk, usedforsecurity=False).hexdigest(),
                     }
                 )
                 place += len(chunk) + len(MAGIC)
@@ -209,37 +210,31 @@ def found_targets(reached: DataFrame, jumps: DataFrame) -> DataFrame:
 
 
 def pieces(found: DataFrame, records: DataFrame) -> DataFrame:
-    """(file, block, place, owner): the chunks that make up payloads that hold the magic.
+    """(file, chunk_md5, offset, owner): the chunks that make up payloads that hold the magic.
 
     Chunks that are no records, and records whose payload is not in one chunk, in offset order: a chunk belongs to the last
     such record before it.
     """
     split = records.where("payload_digest is null").select("file", "offset", F.col("next").alias("owner_next"))
     rows = found.join(records.where("payload_digest is not null").select("file", "offset"), ["file", "offset"], "left_anti")
-    rows = rows.select("file", "block", "place", "offset").join(split, ["file", "offset"], "left")
+    rows = rows.select("file", "chunk_md5", "offset").join(split, ["file", "offset"], "left")
     owner = F.last(F.when(F.col("owner_next").isNotNull(), F.struct("offset", "owner_next")), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
-    return rows.withColumn("owner", owner).where("offset < owner.owner_next").select("file", "block", "place", "offset", F.col("owner.offset").alias("owner"))
-
-
-def _with_places(spark: SparkSession, path: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, place = None, 0
-        for batch in batches:
-            places = []
-            for file, block, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if split != (file, block):
-                    split, place = (file, block), 0
-                places.append(place - len(MAGIC))
-                place += len(chunk) + len(MAGIC)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["file", "block", "chunk", "place"])
-
-    return map_batches(_chunks(spark, path), run, "file string, block long, chunk binary, place long")
+    return rows.withColumn("owner", owner).where("offset < owner.owner_next").select("file", "chunk_md5", "offset", F.col("owner.offset").alias("owner"))
 
 
 def read_payloads(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """(file, owner, joined): the chunks of each owner with the magic between them."""
-    rows = _with_places(spark, path).join(wanted, ["file", "block", "place"])
-    parts = F.sort_array(F.collect_list(F.struct("offset", "chunk")))
+    """(file, owner, joined): the chunks of each owner with the magic between them.
+
+    A chunk is found again by its content. Its place would not do: where a file is split depends on settings and on the
+    number of cores at the time of reading, and both may differ between two readings. A missing chunk is an error.
+    """
+    needed = wanted.select(F.col("file").alias("of"), F.col("chunk_md5").alias("sought")).distinct()
+    read = _chunks(spark, path).select("file", "chunk", F.md5("chunk").alias("md5"))
+    read = read.join(needed, (F.col("file") == F.col("of")) & (F.col("md5") == F.col("sought")), "left_semi")
+    once = read.groupBy(F.col("file").alias("in_file"), "md5").agg(F.first("chunk").alias("chunk"))
+    rows = wanted.join(once, (F.col("file") == F.col("in_file")) & (F.col("chunk_md5") == F.col("md5")), "left")
+    lost = F.raise_error(F.format_string("%s: the chunk at %s is gone", "file", "offset")).cast("binary")
+    parts = F.sort_array(F.collect_list(F.struct("offset", F.coalesce("chunk", lost).alias("chunk"))))
     glue = F.lit(MAGIC.encode())
     joined = F.aggregate(parts, F.lit(None).cast("binary"), lambda a, x: F.when(a.isNull(), x["chunk"]).otherwise(F.concat(a, glue, x["chunk"])))
     return rows.groupBy("file", "owner").agg(joined.alias("joined"))
@@ -257,7 +252,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
         return records.select(*out)
     wanted = pieces(found, records)
     if with_payload:
-        own = records.where("payload_digest is not null").select("file", "block", "place", "offset", F.col("offset").alias("owner"))
+        own = records.where("payload_digest is not null").select("file", "chunk_md5", "offset", F.col("offset").alias("owner"))
         wanted = wanted.union(own)
     joined = read_payloads(spark, path, settle(wanted)).withColumnRenamed("owner", "offset")
     rows = records.join(joined, ["file", "offset"], "left")

@@ -55,6 +55,32 @@ def test_payloads_come_back_whole(spark, small_splits, tmp_path):
     assert {r.target_uri for r in records if r.record_id == "<urn:page:1>"} == {"http://a%20b%20%20/x"}
 
 
+def test_two_readings_may_be_split_differently(spark, small_splits, tmp_path, monkeypatch):
+    """Splits follow from settings and cores, which may change between the readings; no payload may go for it."""
+    path, second = str(tmp_path / "warc"), warc.read_payloads
+    warc.write_warc(spark.createDataFrame(HOSTILE, SCHEMA).coalesce(1), path)
+
+    def later(spark, path, wanted):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "6500")
+        return second(spark, path, wanted)
+
+    monkeypatch.setattr(warc, "read_payloads", later)
+    for with_payload in (False, True):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        records = warc.read_warc(spark, path, with_payload).collect()
+        assert len(records) == len(HOSTILE)
+        assert all(r.stated_digest.endswith(r.payload_digest) for r in records if r.record_type == "response")
+
+
+def test_a_missing_piece_is_an_error(spark, small_splits, tmp_path):
+    path = str(tmp_path / "warc")
+    warc.write_warc(spark.createDataFrame(HOSTILE, SCHEMA).coalesce(1), path)
+    file = warc._chunks(spark, path).first().file
+    wanted = spark.createDataFrame([(file, "0" * 32, 5, 5)], "file string, chunk_md5 string, offset long, owner long")
+    with pytest.raises(Exception, match="is gone"):
+        warc.read_payloads(spark, path, wanted).collect()
+
+
 def test_files_that_are_no_archives(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.warc").write_text("no archive\n" + RECORD, newline="")
@@ -139,6 +165,24 @@ def test_whole_articles(spark):
     assert [(r.host, r.page_id) for r in got if r.text != want[r.host.split(".")[0]] or not r.by_consensus] == [] and len(got) == len(rows)
 
 
+def test_forms_and_parts_that_are_text():
+    """A page in one form, a lead in a hero banner, a section on related work; search boxes and link lists go."""
+    prose = "a long line of the text of this page, one of many. " * 12
+    control = "<input name=q><button>Go</button>"
+    cases = {
+        f"<body><form action=x><input type=hidden><div><p>{prose}</p><p>{prose}</p></div></form></body>": f"{prose.strip()}\n{prose.strip()}",
+        f"<body><article><form><label>Search this site</label>{control}</form><p>{prose}</p></article></body>": prose.strip(),
+        f"<body><article><div class=hero-banner><p>{prose}</p></div><p>Body</p></article></body>": f"{prose.strip()}\nBody",
+        f"<body><article><p>{prose}</p><section class=related-work><h2>Related work</h2><p>{prose}</p></section></article></body>": f"{prose.strip()}\nRelated work\n{prose.strip()}",
+        f"<body><article><p>{prose}</p><div class=related>" + "<a href=x>another page to read next</a> " * 9 + "</div></article></body>": prose.strip(),
+        f"<body><article><p>{prose}</p><p class=share-price>{prose}</p><div class=share><a href=x>Share</a></div></article></body>": f"{prose.strip()}\n{prose.strip()}",
+        f"<body><div class=related><p>{prose}</p></div><article><p>Body</p></article></body>": "Body",
+        f"<body><form><p>{prose}": prose.strip(),
+    }
+    for source, want in cases.items():
+        assert html_text.main_text(source, None)[0] == want, source
+
+
 def test_real_pages(spark, sf_dir):
     """Against the article element of the given pages."""
     import html
