@@ -107,6 +107,26 @@ def stream_catalog_dedup(spark, d):
     return run_append(jobs.stream_catalog_dedup(stream, "user_id").select("user_id"), run_folder(spark, "dedup"))
 
 
+@query(
+    "stream_catalog_news",
+    """WITH RECURSIVE r AS (SELECT user_id, event_id, ts FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+known AS (SELECT user_id, min(ts) AS last FROM events WHERE user_id % 4 = 0 GROUP BY 1),
+start AS (SELECT user_id, coalesce(last + INTERVAL 2 DAY, TIMESTAMP '1900-01-01') AS since FROM (SELECT DISTINCT user_id FROM r) LEFT JOIN known USING (user_id)),
+first AS (SELECT r.user_id, min(struct_pack(ts := ts, event_id := event_id)) AS x FROM r JOIN start ON start.user_id = r.user_id AND ts >= since GROUP BY 1),
+later AS (SELECT a.user_id, a.event_id, min(struct_pack(ts := b.ts, event_id := b.event_id)) AS y FROM r a JOIN r b ON b.user_id = a.user_id AND b.ts >= a.ts + INTERVAL 2 DAY GROUP BY 1, 2),
+e AS (SELECT user_id, x.ts AS ts, x.event_id AS event_id FROM first
+  UNION ALL SELECT later.user_id, y.ts, y.event_id FROM e JOIN later ON later.user_id = e.user_id AND later.event_id = e.event_id)
+SELECT user_id, event_id, ts FROM e""",
+)
+def stream_catalog_news(spark, d):
+    """Ids come out again two days after they were last let through; a quarter of them is known from the start."""
+    events = b.table(spark, d, "events")
+    known = events.where(F.col("user_id") % 4 == 0).groupBy("user_id").agg(F.min("ts").alias("last"))
+    stream = event_stream(spark, d).select("user_id", "event_id", "ts")
+    out = jobs.stream_catalog_news(stream, known, "user_id", "ts", dt.timedelta(days=2))
+    return run_append(out, run_folder(spark, "news")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(
     "stream_user_sessions",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER u < INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS first FROM events

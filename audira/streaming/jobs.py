@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from audira.operators import ordering
 
@@ -156,3 +157,73 @@ def read_refreshed(spark: SparkSession, path: str, ledger: str, schema: T.Struct
 def is_refresh_hour(as_of: dt.datetime, hours: tuple[int, ...] = REFRESH_HOURS) -> bool:
     """Whether a local time is one of the fixed refresh hours."""
     return as_of.hour in hours
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstInHorizon(StatefulProcessor):
+    """Per id: the rows that wait for the watermark, and when one was last let through.
+
+    A row is decided when the watermark reaches its time, in event-time order, so the result does not depend on how the
+    stream is cut into batches.
+    """
+
+    def __init__(self, horizon: dt.timedelta, rows: T.StructType, time: str):
+        self.horizon, self.rows, self.time = horizon, rows, time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp")
+        self.waiting = handle.getListState("waiting", self.rows)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            columns = frame[self.rows.names]
+            self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in columns.itertuples(index=False)])
+            for at in columns[self.time].dropna().unique():
+                self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000) + 1)
+        yield pd.DataFrame(columns=self.rows.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        reached = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        place = self.rows.names.index(self.time)
+        waiting = sorted(self.waiting.get(), key=lambda r: tuple(repr(x) if i != place else "" for i, x in enumerate(r)))
+        waiting.sort(key=lambda r: r[place])
+        last = self.last.get()[0] if self.last.exists() else None
+        out, kept = [], []
+        for r in waiting:
+            if pd.Timestamp(r[place]) > reached:
+                kept.append(r)
+            elif last is None or r[place] >= last + self.horizon:
+                out.append(tuple(r))
+                last = r[place]
+        if out:
+            self.last.update((last,))
+        if kept:
+            self.waiting.put(kept)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=self.rows.names)
+
+    def handleInitialState(self, key, initialState, timerValues):
+        for at in initialState["last"].dropna():
+            self.last.update((pd.Timestamp(at).to_pydatetime(),))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_catalog_news(videos: DataFrame, known: DataFrame, key: str = "id", time: str = "published_at", rescan: dt.timedelta = dt.timedelta(days=7), lag: str = "1 hour") -> DataFrame:
+    """Rows of ids that were not let through within ``rescan`` before them, each id's known last time (key, last) counted in.
+
+    Time is the rows' own: after a row of an id, further ones within the horizon are repeats; the first one behind it comes
+    out again. Rows wait until the watermark (``lag`` behind the newest) reaches them; later ones are dropped. Per-id state
+    that no built-in operator keeps, so it runs as a stateful Python processor, one id at a time.
+    """
+    spark = videos.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = videos.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lag)
+    processor = FirstInHorizon(rescan, T.StructType([T.StructField(f.name, f.dataType) for f in timed.schema.fields]), time)
+    start = known.select(F.col(key), F.col("last").cast("timestamp").alias("last")).groupBy(key)
+    return timed.groupBy(key).transformWithStateInPandas(processor, timed.schema, "Append", "EventTime", start)

@@ -106,3 +106,31 @@ def test_refresh_merges_changed_rows(spark, tmp_path):
     run(18, str(tmp_path / "again"))  # a lost checkpoint replays batch 0: its ledger row keeps it out
     assert held() == want and jobs.read_ledger(spark, ledger).count() == 2
     assert jobs.is_refresh_hour(at(1, 9)) and not jobs.is_refresh_hour(at(1, 10))
+
+
+def first_in_horizon(rows, known, days=7):
+    """Plain code: of each id the rows at least ``days`` after the last one let through."""
+    out, last = [], dict(known)
+    for t, i, n in sorted((t, i, n) for n, t, i in rows):
+        if i not in last or t >= last[i] + dt.timedelta(days=days):
+            out.append((i, n))
+            last[i] = t
+    return sorted(out)
+
+
+def test_news_do_not_depend_on_the_batches(spark, tmp_path):
+    """One batch and one file per batch give the same rows; known ids are repeats until their horizon has passed."""
+    rows = [(n, at(1 + (n * 7) % 23, n % 24, n), n % 5) for n in range(40)]
+    rows.sort(key=lambda r: r[1])
+    batches = [[(n, t, i, "a", 0.0) for n, t, i in rows[k : k + 8]] for k in range(0, 40, 8)]
+    batches[1], rows = batches[1][::-1], rows  # out of order inside a batch
+    end = [(99, at(60), 9, "a", 0.0)]  # moves the watermark past all others
+    pattern = write_batches(spark, tmp_path / "in", [*batches, end])
+    known = [(0, at(1)), (1, at(3))]
+    cached = spark.createDataFrame(known, "id long, last timestamp_ntz")
+    want = first_in_horizon(rows, known)
+    for k, files in enumerate((1, 100)):
+        stream = spark.readStream.schema(jobs.EVENT).option("maxFilesPerTrigger", files).parquet(pattern)
+        stream = stream.select(F.col("user_id").alias("id"), F.col("event_id").alias("n"), F.col("ts").alias("published_at"))
+        got = run(jobs.stream_catalog_news(stream, cached, lag="1 hour"), tmp_path / f"r{k}").where("n <> 99")
+        assert sorted((r.id, r.n) for r in got.collect()) == want
