@@ -42,7 +42,8 @@ from audira.llm.words import Words, lookup, mix, ngrams, words_of
 IS_LETTER = lookup(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 #: Size of the bit map of word pairs.
 MAP_BITS = 23
-PAIRS_AT_ONCE = 2000
+#: Cells of the edit matrix' rows that are worked on at once.
+CELLS_AT_ONCE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -83,35 +84,43 @@ REPEATED = 1 << 40
 
 
 @cache
-def walks(size: int, config: Leaks) -> tuple[np.ndarray, np.ndarray]:
-    """(repeats, steps) seeds of the walks' random bits, and whether a walk samples a step.
+def sampled_steps(size: int, config: Leaks) -> tuple[np.ndarray, np.ndarray]:
+    """Walks in the order of the steps they sample, and where each step begins in it; distinct steps by Floyd's rule.
 
     A walk moves on at every other step, so most have left the window after twice as many steps as it has words; what is
     copied from there on is the same for all windows, and is not sampled.
     """
     steps, repeats = max(1, 7 * size // 4), config.walks(size)
-    seeds, sampled = np.zeros((repeats, steps), np.uint64), np.zeros((repeats, steps), bool)
-    for repeat in range(repeats):
-        random = np.random.default_rng([size, repeat])
-        seeds[repeat] = random.integers(1, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd: the top bit of a product depends on every bit of a word
-        sampled[repeat, random.choice(steps, min(config.samples, steps), replace=False)] = True
-    return seeds, sampled
+    n = min(config.samples, steps)
+    chosen = np.full((repeats, n), -1, np.int64)
+    for k, top in enumerate(range(steps - n, steps)):
+        pick = (mix(_counter(size, np.arange(repeats), steps + k)) % np.uint64(top + 1)).astype(np.int64)
+        chosen[:, k] = np.where((chosen == pick[:, None]).any(axis=1), top, pick)
+    order = np.argsort(chosen.ravel(), kind="stable")
+    return order // n, np.searchsorted(chosen.ravel()[order], np.arange(steps + 1))
+
+
+def _counter(size: int, walk: np.ndarray, step: int) -> np.ndarray:
+    """A number of its own for each (size, walk, step): random bits follow from it, none are stored."""
+    return walk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((size << 40 | step) * 0xD1B54A32D192ED03 % 2**64)
 
 
 def embedded(windows: np.ndarray, config: Leaks) -> np.ndarray:
     """(windows, repeats) keys: the sampled places of each CGK walk over windows of one size, all walks at once."""
     n, size = windows.shape
-    seeds, sampled = walks(size, config)
-    repeats, steps = seeds.shape
+    walk, begins = sampled_steps(size, config)
+    steps, repeats = len(begins) - 1, config.walks(size)
+    every = np.arange(repeats)
     padded = np.concatenate([windows, np.zeros((n, steps - size + 1), np.uint64)], axis=1).ravel()  # past the end: a symbol of its own
     pointer, key = np.tile(np.arange(n) * (steps + 1), (repeats, 1)), np.zeros((repeats, n), np.uint64)
     for step in range(steps):
         word = padded[pointer]
-        here = np.flatnonzero(sampled[:, step])
+        here = walk[begins[step] : begins[step + 1]]
         if len(here):
             key[here] = mix(key[here] * np.uint64(0x9FB21C651E98DF25) + word[here])
-        pointer += (word * seeds[:, step, None] >> np.uint64(63)).view(np.int64)
-    return mix(key + (np.arange(repeats) + size * repeats).astype(np.uint64)[:, None]).T
+        seeds = mix(_counter(size, every, step)) | np.uint64(1)  # odd: the top bit of a product depends on every bit of a word
+        pointer += (word * seeds[:, None] >> np.uint64(63)).view(np.int64)
+    return mix(key + (every + size * repeats).astype(np.uint64)[:, None]).T
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -266,6 +275,16 @@ def passage_edits(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndar
     return out
 
 
+def alike(width: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Indexes of pairs of about the same width, so many together that widest times number is at most ``cells`` (or one)."""
+    order = np.argsort(-width, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, cells // max(1, int(width[order[at]])))
+        yield order[at : at + n]
+        at += n
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: Leaks = Leaks()
 ) -> DataFrame:
@@ -286,16 +305,16 @@ def leaks(
     names = ["doc_id", "item_id", "n_words", "place", "edits"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, PAIRS_AT_ONCE):
-                batch = whole.slice(k, PAIRS_AT_ONCE)
-                a, b = ([np.array(x, np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in ("words", "region"))
-                edits = passage_edits(a, b)
-                allowed = np.array([config.edits(len(x)) for x in a])
-                same_size = np.array([len(x) >= config.min_words or len(x) == len(y) for x, y in zip(a, b, strict=True)])
-                keep = pa.array((edits <= allowed) & same_size)
-                columns = [batch.column(c) for c in names[:-1]] + [pa.array(edits.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=names)
+        for batch in batches:
+            a, b = ([np.array(x, np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in ("words", "region"))
+            edits = np.zeros(len(a), np.int64)
+            for some in alike(np.array([len(x) for x in b]), CELLS_AT_ONCE):
+                edits[some] = passage_edits([a[i] for i in some], [b[i] for i in some])
+            allowed = np.array([config.edits(len(x)) for x in a])
+            same_size = np.array([len(x) >= config.min_words or len(x) == len(y) for x, y in zip(a, b, strict=True)])
+            keep = pa.array((edits <= allowed) & same_size)
+            columns = [batch.column(c) for c in names[:-1]] + [pa.array(edits.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=names)
 
     matches = map_batches(full, verify, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_words int, place int, edits int")
     best = matches.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.min(F.struct("edits", "place")).alias("best"))

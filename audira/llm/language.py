@@ -34,6 +34,8 @@ SLOT_BITS = 6
 SLOTS = 1 << SLOT_BITS
 N_CODES = 1 << 3 * SLOT_BITS
 UNKNOWN = "und"
+#: Texts of so many bytes share the vectors of their trigrams.
+TEXT_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -91,7 +93,7 @@ def learned(docs: DataFrame, profile: Profile) -> tuple[list[str], np.ndarray]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            for first, last, data, bounds in text_groups(batch.column(0)):
+            for first, last, data, bounds in text_groups(batch.column(0), TEXT_BYTES):
                 rows, codes, _ = trigrams(data, bounds)
                 for lang in set(langs[first:last]):
                     mine = np.bincount(codes[(langs[first:last] == lang)[rows]], minlength=N_CODES)
@@ -130,7 +132,7 @@ def predicted(rows: DataFrame, langs: list[str], prototypes: np.ndarray, profile
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, bounds in text_groups(batch.column(at)):
+            for first, last, data, bounds in text_groups(batch.column(at), TEXT_BYTES):
                 n = last - first
                 name, score = np.array([UNKNOWN] * n, object), np.zeros(n)
                 texts, codes, letters = trigrams(data, bounds)

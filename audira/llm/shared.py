@@ -17,7 +17,10 @@ import audira
 from audira.session import ensure_checkpoint_dir
 
 #: Texts of about so many bytes are worked on at once; a longer text is worked on alone.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
+#: Rows of about so many bytes go to a Python worker at once (a longer row alone). A worker and its executor hold a few such
+#: batches each, whatever the size of the table.
+BATCH_BYTES = 1 << 21
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -61,7 +64,15 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow. A local session gets this package for its Python workers; on a cluster it is installed like any other."""
+    """mapInArrow. A local session gets this package for its Python workers; on a cluster it is installed like any other.
+
+    The session's limit on the bytes of a batch is lowered to BATCH_BYTES: the default holds 64 MB of whole texts, several
+    times over, in every worker and in its executor.
+    """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(limit)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        conf.set(limit, str(BATCH_BYTES))
     sc, home = df.sparkSession.sparkContext, os.path.dirname(audira.__file__)
     if re.fullmatch(r"local(\[[^,]*\])?", sc.master) and not any(f.rstrip("/").endswith(home) for f in sc.listFiles):
         sc.addFile(home, recursive=True)
@@ -88,6 +99,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def utf8(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts as valid UTF-8: bytes that are none become replacement characters, row by row."""
+    try:
+        data.tobytes().decode("utf-8")
+        inside = bounds[:-1][bounds[:-1] < len(data)]
+        if not ((data[inside] & 0xC0) == 0x80).any():  # else a character is split between two rows
+            return data, bounds
+    except UnicodeDecodeError:
+        pass
+    fixed = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(fixed), np.uint8), np.cumsum([0, *map(len, fixed)])
+
+
 def groups(bounds: np.ndarray, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``size`` bytes each."""
     first, n = 0, len(bounds) - 1

@@ -29,7 +29,7 @@ from audira.llm.shared import map_batches, new_folder, pick, settle
 from audira.llm.token_ids import encoded
 
 #: Ids of blocks that are decoded together.
-DECODED_IDS = 1 << 20
+DECODED_IDS = 1 << 18
 
 
 @dataclass(frozen=True)

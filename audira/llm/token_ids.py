@@ -16,11 +16,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from audira.llm.shared import text_groups
+from audira.llm.shared import GROUP_BYTES, text_groups
 from audira.llm.words import hash_spans
 
 SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(5)
-SLOT_BITS = 19
+SLOT_BITS = 18
 #: Characters up to here may be split with numpy.
 N_SAFE = 0x180
 
@@ -43,7 +43,7 @@ def classes() -> tuple[np.ndarray, np.ndarray]:
 class WordBpe:
     """Ids by a tokenizers file that lowers case, splits into letters, single digits and other runs, and marks word ends."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,7 +184,7 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encoded(column: pa.Array, path: str, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, path: str, size: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, ids, bounds) of each group of texts."""
     for first, last, data, bounds in text_groups(column, size):
         yield first, last, *word_bpe(path).encode(data, bounds)

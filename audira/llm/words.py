@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 
 #: Spans are hashed in segments of about so many bytes.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: White space of the word rule: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = b" \t\n\x0b\x0c\r"
