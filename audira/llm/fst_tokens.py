@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from audira.llm.shared import extended, map_batches, pick, text_groups
+from audira.llm.shared import extended, map_batches, pick, text_groups, utf8
 from audira.llm.words import hash_spans
 
 # Character classes of the splitter: letters that may stand in a contraction are classes of their own.
@@ -134,7 +134,7 @@ NEVER = 1 << 60
 class BpeTransducer:
     """Lazily determinised: state 0 is the begin of a word, ``next`` and ``emits`` are tables by (state, byte)."""
 
-    def __init__(self, path: str, max_states: int = 60_000, max_words: int = 300_000):
+    def __init__(self, path: str, max_states: int = 60_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"] or {}
@@ -155,14 +155,14 @@ class BpeTransducer:
             self.parts.setdefault(new, (tokens[a], tokens[b]))
             self.made.setdefault(new, r)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.max_states, self.max_words = max_states, max_words
-        self.edges: dict[int, tuple] = {}
-        self.left: dict[int, dict] = {}
-        self.narrowed: dict[tuple[tuple, bytes], tuple] = {}
+        self.max_states = max_states
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.clear()
 
     def clear(self) -> None:
+        self.edges: dict[int, tuple] = {}
+        self.left: dict[int, dict] = {}
+        self.narrowed: dict[tuple[tuple, bytes], tuple] = {}
         self.next, self.emits = np.full((1024, 256), -1, np.int32), np.zeros((1024, 256), np.int8)
         # A state: the longest end of the prefix that may begin a token, and for every place from there on at which one may
         # begin: what merges threaten the last token before it, and the tokens up to it less the tokens up to now.
@@ -301,7 +301,8 @@ class BpeTransducer:
             self.kinds[c] = {" ": SPACE, "'": QUOTE, "r": R, "v": V, "l": L, "e": E}.get(chr(c), STMD if chr(c) in "stmd" else kind)
 
     def count(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Tokens of each text of a group."""
+        """Tokens of each text of a group; bytes that are no UTF-8 count as replacement characters."""
+        data, bounds = utf8(data, bounds)
         n_rows = len(bounds) - 1
         total = np.zeros(n_rows, np.int64)
         if not len(data):

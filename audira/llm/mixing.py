@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from audira.llm.shared import numbered, position, same, settle
+from audira.operators.ordering import with_position
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 40
@@ -49,10 +50,11 @@ def targets(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Words are shared by weight; a source above ``max_copies`` times its size stops there and the rest is shared again, until
     none is above. Each round is one aggregate over one row per source and returns one row.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(mix.weights)
+    found = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    place = (F.col("place") - 1) % len(mix.weights)
     weights = F.element_at(F.array(*[F.lit(float(w)) for w in mix.weights]), (place + 1).cast("int"))
-    sizes = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weights))
+    placed = with_position(found, [], [F.col("source").asc_nulls_last()], "place")
+    sizes = settle(placed.withColumn("weight", weights).drop("place"))
     cap = F.col("source_size") * float(mix.max_copies)
     budget = (sizes.agg(F.sum("source_size")).first()[0] or 0) * mix.share
     level, n_capped = 0.0, -1
@@ -82,7 +84,9 @@ def thresholds(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     for bits in LEVELS:
         width, shift = shift, shift - bits
         state = settle(_refined(rows, state, width, shift))
-    return state.select("source", "source_size", "target", "whole", "below")
+    # Where nothing was left, no hash is taken once more: not even empty texts, which would fit in nothing.
+    more = F.col("target") > F.col("whole") * F.col("source_size")
+    return state.select("source", "source_size", "target", "whole", F.when(more, F.col("below")).otherwise(0).alias("below"))
 
 
 def _refined(rows: DataFrame, state: DataFrame, width: int, shift: int) -> DataFrame:

@@ -4,6 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from audira.llm import mixing
 from audira.llm.mixing import Mix, mix_report, mixed
 from audira.llm.quality import HostRules, beta_prior, keep_good, quality_report
 
@@ -107,3 +108,22 @@ def test_repeated_rows_go_together(docs_of):
     rows = [(1, "a b c", None, "s")] * 5 + [(None, "x y", None, "t")] * 3
     got = mix_report(docs_of(rows)).collect()
     assert len({r.taken for r in got if r.doc_id == 1}) == 1 and len(got) == 8
+
+
+def test_no_row_is_taken_more_often_than_allowed(docs_of):
+    """A source at its cap has nothing left: empty texts, which fit in nothing, get no further copy."""
+    rows = [(i, None if i % 3 else "", None, "small") for i in range(30)] + [(100 + i, "a b c", None, "small") for i in range(5)] + [(200 + i, "w " * 50, None, "large") for i in range(40)]
+    copies = {r.doc_id: r.n for r in mixed(docs_of(rows)).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert max(copies.values()) <= Mix().max_copies
+    assert all(copies.get(100 + i) == 3 for i in range(5))
+
+
+def test_sources_are_not_numbered_in_one_task(spark, monkeypatch):
+    """Sources may be domains: weights follow their order without a window over all of them."""
+    plans, settle = [], mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda df: plans.append(df._jdf.queryExecution().toString()) or settle(df))
+    names = [f"s{k:04}" for k in range(2000)] + [None]
+    rows = spark.createDataFrame([(s, 5) for s in reversed(names)], "source string, size long").repartition(5)
+    got = {r.source: r.weight for r in mixing.targets(rows).collect()}
+    assert got == {s: mixing.Mix().weights[k % 3] for k, s in enumerate(names)}
+    assert plans and not any("row_number" in p for p in plans)

@@ -121,3 +121,12 @@ def test_huffman_codes(n, limit):
     places = offsets[::100]
     back = huffman.unpack(bits, places, np.full(len(places), 100), *book.decoder(), book.width)
     assert np.concatenate(back).tolist() == text.tolist()
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """They count as replacement characters, in every row for itself, as in the token files."""
+    rows = spark.sql("SELECT * FROM VALUES (1L, X'61FF62'), (2L, X'C3'), (3L, X'A96162'), (4L, X'6120C3A9') AS t(doc_id, raw)").selectExpr("doc_id", "cast(raw AS string) AS text")
+    library = Tokenizer.from_file(BYTE_BPE)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(rows.coalesce(1), BYTE_BPE).collect()}
+    raw = {1: b"a\xffb", 2: b"\xc3", 3: b"\xa9ab", 4: b"a \xc3\xa9"}
+    assert got == {i: (len(x), len(library.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids)) for i, x in raw.items()}
