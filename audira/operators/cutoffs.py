@@ -50,38 +50,53 @@ def kpi_cells(df: DataFrame, specs: list[MetricSpec], routing: ViewRouting) -> D
         lead = F.col("media") == s.media[0] if s.mode == "vod" else F.lit(True)
         cells.append(F.when(row_filter(s, routing), F.struct(F.lit(s.kpi).alias("kpi"), value.alias("v"), lead.alias("leads"))))
     rows = df.where(wanted & F.col(ENTITY).isNotNull()).select(ENTITY, STEP, "week_no", F.inline(F.array_compact(F.array(*cells))))
+    # Weeks tell nothing apart for KPIs that are cut by step.
+    rows = rows.withColumn("week_no", F.when(_of(specs, lambda s: s.cutoff == "week"), F.col("week_no")))
     return rows.groupBy(ENTITY, "kpi", STEP, "week_no").agg(
         F.sum("v").alias("s"), F.count("v").alias("n"), F.min("v").alias("lo"), F.count(F.when(F.col("leads"), F.col("v"))).alias("lead")
     )
 
 
-def by_axis(cells: DataFrame, specs: list[MetricSpec]) -> DataFrame:
+def by_axis(cells: DataFrame) -> DataFrame:
     """The cells once per kind of cutoff: by week (for week KPIs), by step, and whole."""
-    week = F.when(_of(specs, lambda s: s.cutoff == "week"), F.col("week_no"))
-    ways = [F.struct(F.lit(k).alias("kind"), x.cast("double").alias("axis")) for k, x in ((WEEK, week), (BY_STEP, F.col(STEP)), (WHOLE, F.lit(0)))]
+    ways = [F.struct(F.lit(k).alias("kind"), x.cast("double").alias("axis")) for k, x in ((WEEK, F.col("week_no")), (BY_STEP, F.col(STEP)), (WHOLE, F.lit(0)))]
     return cells.select("*", F.inline(F.array(*ways))).where(F.col("axis").isNotNull())
 
 
+def _stat(specs: list[MetricSpec], total: Column, count: Column, least: Column, lead: Column) -> Column:
+    """A KPI's value from the state of its rows (of one step, for modes that are means over steps)."""
+    return (
+        F.when(_of(specs, lambda s: s.mode in ("mean", "flat_mean")), F.when(count > 0, total / count))
+        .when(_of(specs, lambda s: s.mode == "min"), least)
+        .when(_of(specs, lambda s: s.mode == "vod"), F.when(lead > 0, total))
+        .otherwise(F.when(count > 0, total))
+    )
+
+
+def _states(cells: DataFrame, keys: list[str], specs: list[MetricSpec]) -> DataFrame:
+    """The cells' state by key and step; modes without steps have one state."""
+    stepped = _of(specs, lambda s: s.mode in STEPPED)
+    mine = cells.withColumn("_step", F.when(stepped, F.col(STEP))).where(~stepped | F.col(STEP).isNotNull())
+    return mine.groupBy(*keys, "_step").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.sum("lead").alias("lead"))
+
+
+def whole_kpis(cells: DataFrame, keys: list[str], specs: list[MetricSpec], digits: int) -> DataFrame:
+    """(keys, kpi, value): each KPI over all rows."""
+    m = _stat(specs, F.col("s"), F.col("n"), F.col("lo"), F.col("lead")).try_cast(KIND)
+    stats = _states(cells, [*keys, "kpi"], specs).withColumn("m", m)
+    return stats.groupBy(*keys, "kpi").agg(F.round(F.sum("m").cast("double") / F.nullif(F.count("m"), F.lit(0)), digits).alias(VALUE))
+
+
 def running_kpis(cells: DataFrame, keys: list[str], specs: list[MetricSpec], digits: int) -> DataFrame:
     """(keys, kpi, kind, axis, value): each KPI over the rows up to each point of its axis.
 
     Steps keep a state of their own, so that a mean of step means can be followed while rows join a step by and by. Means
     are added as decimals: the order does not matter.
     """
-    stepped = _of(specs, lambda s: s.mode in STEPPED)
-    mine = cells.withColumn("_step", F.when(stepped, F.col(STEP)))
-    mine = mine.where(~stepped | F.col(STEP).isNotNull())
-    state = mine.groupBy(*keys, "kpi", "kind", "_step", "axis").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.sum("lead").alias("lead"))
+    state = _states(cells, [*keys, "kpi", "kind", "axis"], specs)
     along = Window.partitionBy(*keys, "kpi", "kind", "_step").orderBy("axis")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
-    total, count, least, lead = F.sum("s").over(so_far), F.sum("n").over(so_far), F.min("lo").over(so_far), F.sum("lead").over(so_far)
-    mean = F.when(count > 0, total / count)
-    stat = (
-        F.when(_of(specs, lambda s: s.mode in ("mean", "flat_mean")), mean)
-        .when(_of(specs, lambda s: s.mode == "min"), least)
-        .when(_of(specs, lambda s: s.mode == "vod"), F.when(lead > 0, total))
-        .otherwise(F.when(count > 0, total))
-    )
+    stat = _stat(specs, F.sum("s").over(so_far), F.sum("n").over(so_far), F.min("lo").over(so_far), F.sum("lead").over(so_far))
     stats = state.withColumn("m", stat.try_cast(KIND))
     before = F.lag("m").over(along)
     change = F.coalesce("m", F.lit(0)) - F.coalesce(before, F.lit(0))
@@ -92,33 +107,33 @@ def running_kpis(cells: DataFrame, keys: list[str], specs: list[MetricSpec], dig
     return moved.select(*keys, "kpi", "kind", "axis", F.round(F.when(steps > 0, sums / steps), digits).alias(VALUE))
 
 
-def own_cutoffs(curve: DataFrame, group: str, specs: list[MetricSpec]) -> DataFrame:
-    """(entity_id, group, kpi, kind, axis, at_cutoff, value): the entity's last point, its value there and over all its rows.
+def own_cutoffs(cells: DataFrame, group: str) -> DataFrame:
+    """(entity_id, group, kpi, kind, axis): how far the entity has data.
 
     A week KPI is cut by week if the entity has a week, else by step; without either, peers are not cut.
     """
-    last = {k: F.max(F.when(F.col("kind") == k, F.struct("axis", F.lit(k).alias("kind"), F.col(VALUE).alias("at_cutoff")))).alias(f"_{k}") for k in (WEEK, BY_STEP, WHOLE)}
-    ends = curve.groupBy(ENTITY, group, "kpi").agg(*last.values())
-    return ends.select(ENTITY, group, "kpi", F.col(f"_{WHOLE}.at_cutoff").alias(VALUE), F.coalesce(f"_{WEEK}", f"_{BY_STEP}", f"_{WHOLE}").alias("_c")).select(
-        ENTITY, group, "kpi", VALUE, "_c.*"
-    )
+    last = cells.groupBy(ENTITY, group, "kpi").agg(F.max("week_no").cast("double").alias("_w"), F.max(STEP).cast("double").alias("_s"))
+    kind = F.when(F.col("_w").isNotNull(), WEEK).when(F.col("_s").isNotNull(), BY_STEP).otherwise(WHOLE)
+    return last.select(ENTITY, group, "kpi", kind.alias("kind"), F.coalesce("_w", "_s", F.lit(0.0)).alias("axis"))
 
 
 def ranks_at_cutoff(changes: DataFrame, own: DataFrame, places: DataFrame, group: str) -> DataFrame:
     """(entity_id, kpi, below, same, known): peers below, equal and known among the values that hold at the own cutoff."""
     curve_of = [group, "kpi", "kind"]
     events = ordering.join_small(changes, places, [*curve_of, "axis"])
-    arrows = F.array(F.struct(F.col(VALUE).alias("v"), F.lit(1).alias("w")), F.struct(F.col("before").alias("v"), F.lit(-1).alias("w")))
-    events = events.select(*curve_of, "place", "levels", F.inline(arrows)).where(F.col("v").isNotNull())
-    levels = events.select(*curve_of, "v", "w", "place", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
-    block = F.expr("shiftright(place, level)")
-    points = levels.groupBy(*curve_of, "level", block.alias("block"), "v").agg(F.sum("w").alias("w")).where("w <> 0")
-
     asks = ordering.join_small(own.where(F.col("at_cutoff").isNotNull()), places, [*curve_of, "axis"])
     asks = asks.select(ENTITY, *curve_of, F.col("at_cutoff").alias("v"), (F.col("place") + 1).alias("upto"), "levels")
     asks = asks.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels")))).where("shiftright(upto, level) & 1 = 1")
     asks = asks.withColumn("block", F.expr("shiftright(upto, level) - 1"))
     blocks = [*curve_of, "level", "block"]
+
+    arrows = F.array(F.struct(F.col(VALUE).alias("v"), F.lit(1).alias("w")), F.struct(F.col("before").alias("v"), F.lit(-1).alias("w")))
+    events = events.select(*curve_of, "place", "levels", F.inline(arrows)).where(F.col("v").isNotNull())
+    levels = events.select(*curve_of, "v", "w", "place", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+    levels = levels.withColumn("block", F.expr("shiftright(place, level)"))
+    # Only blocks that some entity asks in; what comes and goes within a block cancels out.
+    levels = ordering.join_small(levels, asks.select(*blocks).distinct(), blocks)
+    points = levels.groupBy(*blocks, "v").agg(F.sum("w").alias("w")).where("w <> 0")
     rows = points.select(F.lit(None).cast(own.schema[ENTITY].dataType).alias(ENTITY), *blocks, "v", "w").union(asks.select(ENTITY, *blocks, "v", F.lit(0)))
     counted = ordering.weights_around(rows, blocks, "v", F.col("w"), "below", "same", "known").where(F.col(ENTITY).isNotNull())
     return counted.groupBy(ENTITY, "kpi").agg(F.sum("below").alias("below"), F.sum("same").alias("same"), F.sum("known").alias("known"))
@@ -146,18 +161,21 @@ def kpi_vs_group(
     cutoff. ``groups`` has one row per entity; a null group is a group.
     """
     specs = list(specs)
-    cells = by_axis(kpi_cells(df, specs, routing), specs).join(groups.select(ENTITY, group), ENTITY)
-    cells = ordering.settle(cells)
-    curve = ordering.settle(running_kpis(cells.repartition(ENTITY), [ENTITY, group], specs, digits))
-    own = ordering.settle(own_cutoffs(curve, group, specs))
-
+    cells = ordering.settle(kpi_cells(df, specs, routing).join(groups.select(ENTITY, group), ENTITY))
+    ends = ordering.settle(own_cutoffs(cells, group))
     # Only the curves that some entity is compared on.
     curve_of = [group, "kpi", "kind"]
-    used = own.select(*curve_of).distinct()
-    points = ordering.join_small(curve, used, curve_of)
+    used = ends.select(*curve_of).distinct()
+    on_axis = ordering.join_small(by_axis(cells), used, curve_of)
+    points = ordering.settle(running_kpis(on_axis.repartition(ENTITY), [ENTITY, group], specs, digits))
+    last = points.groupBy(ENTITY, group, "kpi", "kind").agg(F.max_by(VALUE, "axis").alias("at_cutoff"))
+    whole = whole_kpis(cells, [ENTITY, group], specs, digits)
+    own = ordering.join_small(ordering.join_small(ends, last, [ENTITY, *curve_of], "left"), whole, [ENTITY, group, "kpi"], "left")
+    own = ordering.settle(own)
+
     order = Window.partitionBy(*curve_of).orderBy("axis")
     # One row per (group, KPI, kind, point): calendar-sized, however many entities there are.
-    places = points.select(*curve_of, "axis").distinct()
+    places = points.select(*curve_of, "axis").union(ends.select(*curve_of, "axis")).distinct()
     places = places.withColumn("place", F.row_number().over(order) - 1)
     n_places = F.count(F.lit(1)).over(Window.partitionBy(*curve_of))
     places = ordering.settle(places.withColumn("levels", F.floor(F.log2(n_places)).cast("int")))
@@ -168,7 +186,7 @@ def kpi_vs_group(
     means = group_values(changes, places, group)
     pooled = [s for s in specs if s.group_mode == "rows"]
     if pooled:
-        mine = running_kpis(cells.where(_of(pooled, lambda s: True)), [group], specs, digits)
+        mine = running_kpis(on_axis.where(_of(pooled, lambda s: True)), [group], specs, digits)
         mine = mine.withColumnRenamed(VALUE, "_pooled")
         means = ordering.join_small(means, mine, [*curve_of, "axis"], "left")
         means = means.withColumn("group_value", F.when(_of(pooled, lambda s: True), F.col("_pooled")).otherwise(F.col("group_value"))).drop("_pooled")
