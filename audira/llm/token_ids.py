@@ -20,7 +20,7 @@ from audira.llm.shared import GROUP_BYTES, text_groups
 from audira.llm.words import hash_spans
 
 SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(5)
-SLOT_BITS = 18
+SLOT_BITS = 19
 #: Characters up to here may be split with numpy.
 N_SAFE = 0x180
 
@@ -43,7 +43,7 @@ def classes() -> tuple[np.ndarray, np.ndarray]:
 class WordBpe:
     """Ids by a tokenizers file that lowers case, splits into letters, single digits and other runs, and marks word ends."""
 
-    def __init__(self, path: str, max_words: int = 150_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
