@@ -37,24 +37,39 @@ def _of(specs: list[MetricSpec], test) -> Column:
     return F.col("kpi").isin([s.kpi for s in specs if test(s)])
 
 
-def kpi_cells(df: DataFrame, specs: list[MetricSpec], routing: ViewRouting) -> DataFrame:
-    """(entity_id, kpi, step_no, week_no, s, n, lo, lead): one scan of the fact, reduced before the shuffle.
+def kpi_sums(df: DataFrame, specs: list[MetricSpec], routing: ViewRouting) -> DataFrame:
+    """One row per (entity_id, step_no, week_no) with each KPI's state in columns of its own (see ``kpi_cells``).
 
-    Rows whose value is missing make a cell without values: they still tell how far the entity has data.
+    One scan of the fact. All KPIs of a cell share one row, so it is much less to shuffle than a row for each.
     """
     metrics = {routing.metric if s.views else s.metric for s in specs if s.views or not s.normalized}
     wanted = reduce(lambda a, b: a | b, [metric_is(s) for s in specs if s.normalized], F.col("metric").isin(sorted(metrics)))
+    aggs = []
+    for i, s in enumerate(specs):
+        mine = row_filter(s, routing)
+        value = F.when(mine, F.col(VALUE) if s.keep_zero else present())
+        aggs += [F.count_if(mine).alias(f"_r{i}"), F.count(value).alias(f"_n{i}")]
+        aggs.append((F.min(value) if s.mode == "min" else F.sum(value)).alias(f"_v{i}"))
+        if s.mode == "vod":
+            aggs.append(F.count(F.when(F.col("media") == s.media[0], value)).alias(f"_l{i}"))
+    return df.where(wanted & F.col(ENTITY).isNotNull()).groupBy(ENTITY, STEP, "week_no").agg(*aggs)
+
+
+def kpi_cells(sums: DataFrame, keys: list[str], specs: list[MetricSpec]) -> DataFrame:
+    """(keys, kpi, step_no, week_no, s, n, lo, lead) of ``kpi_sums``; a step KPI may have several cells of one step.
+
+    Rows whose value is missing make a cell without values: they still tell how far the entity has data.
+    """
     cells = []
-    for s in specs:
-        value = F.col(VALUE) if s.keep_zero else present()
-        lead = F.col("media") == s.media[0] if s.mode == "vod" else F.lit(True)
-        cells.append(F.when(row_filter(s, routing), F.struct(F.lit(s.kpi).alias("kpi"), value.alias("v"), lead.alias("leads"))))
-    rows = df.where(wanted & F.col(ENTITY).isNotNull()).select(ENTITY, STEP, "week_no", F.inline(F.array_compact(F.array(*cells))))
-    # Weeks tell nothing apart for KPIs that are cut by step.
-    rows = rows.withColumn("week_no", F.when(_of(specs, lambda s: s.cutoff == "week"), F.col("week_no")))
-    return rows.groupBy(ENTITY, "kpi", STEP, "week_no").agg(
-        F.sum("v").alias("s"), F.count("v").alias("n"), F.min("v").alias("lo"), F.count(F.when(F.col("leads"), F.col("v"))).alias("lead")
-    )
+    for i, s in enumerate(specs):
+        value, none = F.col(f"_v{i}"), F.lit(None).cast("double")
+        total, least = (none, value) if s.mode == "min" else (value, none)
+        # Weeks tell nothing apart for KPIs that are cut by step.
+        week = F.col("week_no") if s.cutoff == "week" else F.lit(None).cast(sums.schema["week_no"].dataType)
+        lead = F.col(f"_l{i}") if s.mode == "vod" else F.lit(0).cast("long")
+        state = [week.alias("week_no"), total.alias("s"), F.col(f"_n{i}").alias("n"), least.alias("lo"), lead.alias("lead")]
+        cells.append(F.when(F.col(f"_r{i}") > 0, F.struct(F.lit(s.kpi).alias("kpi"), *state)))
+    return sums.select(*keys, STEP, F.inline(F.array_compact(F.array(*cells))))
 
 
 def by_axis(cells: DataFrame) -> DataFrame:
@@ -120,8 +135,8 @@ def own_cutoffs(cells: DataFrame, group: str) -> DataFrame:
 def ranks_at_cutoff(changes: DataFrame, own: DataFrame, places: DataFrame, group: str) -> DataFrame:
     """(entity_id, kpi, below, same, known): peers below, equal and known among the values that hold at the own cutoff."""
     curve_of = [group, "kpi", "kind"]
-    events = ordering.join_small(changes, places, [*curve_of, "axis"])
-    asks = ordering.join_small(own.where(F.col("at_cutoff").isNotNull()), places, [*curve_of, "axis"])
+    events = ordering.join_small(changes, F.broadcast(places), [*curve_of, "axis"])
+    asks = ordering.join_small(own.where(F.col("at_cutoff").isNotNull()), F.broadcast(places), [*curve_of, "axis"])
     asks = asks.select(ENTITY, *curve_of, F.col("at_cutoff").alias("v"), (F.col("place") + 1).alias("upto"), "levels")
     asks = asks.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels")))).where("shiftright(upto, level) & 1 = 1")
     asks = asks.withColumn("block", F.expr("shiftright(upto, level) - 1"))
@@ -132,7 +147,7 @@ def ranks_at_cutoff(changes: DataFrame, own: DataFrame, places: DataFrame, group
     levels = events.select(*curve_of, "v", "w", "place", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
     levels = levels.withColumn("block", F.expr("shiftright(place, level)"))
     # Only blocks that some entity asks in; what comes and goes within a block cancels out.
-    levels = ordering.join_small(levels, asks.select(*blocks).distinct(), blocks)
+    levels = ordering.join_small(levels, F.broadcast(asks.select(*blocks).distinct()), blocks)
     points = levels.groupBy(*blocks, "v").agg(F.sum("w").alias("w")).where("w <> 0")
     rows = points.select(F.lit(None).cast(own.schema[ENTITY].dataType).alias(ENTITY), *blocks, "v", "w").union(asks.select(ENTITY, *blocks, "v", F.lit(0)))
     counted = ordering.weights_around(rows, blocks, "v", F.col("w"), "below", "same", "known").where(F.col(ENTITY).isNotNull())
@@ -161,13 +176,20 @@ def kpi_vs_group(
     cutoff. ``groups`` has one row per entity; a null group is a group.
     """
     specs = list(specs)
-    cells = ordering.settle(kpi_cells(df, specs, routing).join(groups.select(ENTITY, group), ENTITY))
+    sums = ordering.settle(kpi_sums(df, specs, routing).join(groups.select(ENTITY, group), ENTITY))
+    cells = kpi_cells(sums, [ENTITY, group], specs)
     ends = ordering.settle(own_cutoffs(cells, group))
     # Only the curves that some entity is compared on.
     curve_of = [group, "kpi", "kind"]
     used = ends.select(*curve_of).distinct()
-    on_axis = ordering.join_small(by_axis(cells), used, curve_of)
-    points = ordering.settle(running_kpis(on_axis.repartition(ENTITY), [ENTITY, group], specs, digits))
+    # One row per (group, KPI, kind), and per point of it below: calendar-sized, so the long side need not move to meet it.
+    on_axis = ordering.join_small(by_axis(cells), F.broadcast(used), curve_of)
+    # Each entity's rows meet in their shared form, before they become cells; nothing moves again until its changes are known.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = kpi_cells(sums.repartition(n, ENTITY), [ENTITY, group], specs)
+    points = running_kpis(ordering.join_small(by_axis(met), F.broadcast(used), curve_of), [ENTITY, group], specs, digits)
+    along = Window.partitionBy(ENTITY, "kpi", "kind").orderBy("axis")
+    points = ordering.settle(points.withColumn("before", F.lag(VALUE).over(along)))
     last = points.groupBy(ENTITY, group, "kpi", "kind").agg(F.max_by(VALUE, "axis").alias("at_cutoff"))
     whole = whole_kpis(cells, [ENTITY, group], specs, digits)
     own = ordering.join_small(ordering.join_small(ends, last, [ENTITY, *curve_of], "left"), whole, [ENTITY, group, "kpi"], "left")
@@ -180,9 +202,7 @@ def kpi_vs_group(
     n_places = F.count(F.lit(1)).over(Window.partitionBy(*curve_of))
     places = ordering.settle(places.withColumn("levels", F.floor(F.log2(n_places)).cast("int")))
 
-    along = Window.partitionBy(ENTITY, "kpi", "kind").orderBy("axis")
-    changes = points.withColumn("before", F.lag(VALUE).over(along)).where(~F.col(VALUE).eqNullSafe(F.col("before")))
-    changes = ordering.settle(changes)
+    changes = points.where(~F.col(VALUE).eqNullSafe(F.col("before")))
     means = group_values(changes, places, group)
     pooled = [s for s in specs if s.group_mode == "rows"]
     if pooled:
@@ -191,7 +211,7 @@ def kpi_vs_group(
         means = ordering.join_small(means, mine, [*curve_of, "axis"], "left")
         means = means.withColumn("group_value", F.when(_of(pooled, lambda s: True), F.col("_pooled")).otherwise(F.col("group_value"))).drop("_pooled")
     ranks = ranks_at_cutoff(changes, own, places, group).withColumnsRenamed({ENTITY: "_id", "kpi": "_kpi"})
-    out = ordering.join_small(own.where(F.col(VALUE).isNotNull()), means, [*curve_of, "axis"], "left")
+    out = ordering.join_small(own.where(F.col(VALUE).isNotNull()), F.broadcast(means), [*curve_of, "axis"], "left")
     out = out.join(ranks, (F.col(ENTITY) == F.col("_id")) & (F.col("kpi") == F.col("_kpi")), "left")
     low = _of(specs, lambda s: not s.high_is_good)
     rank = F.when(low, F.col("below") + 1).otherwise(F.col("known") - F.col("below") - F.col("same") + 1)
