@@ -15,6 +15,7 @@ from audira.functions import text
 from audira.functions.grades import order_in
 from audira.operators import ordering
 from audira.operators.kpi import ENTITY, VALUE, view_rows
+from audira.session import store_rows
 from audira.specs import LAUNCH_WEEKS, PRELAUNCH_WEEKS, ViewRouting
 
 
@@ -45,8 +46,11 @@ SPEC = PrelaunchSpec()
 
 def launch_target_week(df: DataFrame, spec: PrelaunchSpec = SPEC) -> DataFrame:
     """One row: the first launch label that score rows use; else their greatest label; else the first candidate."""
+    return _target_week(df.where((F.col("metric") == spec.score) & F.col("week_label").isNotNull()), spec)
+
+
+def _target_week(rows: DataFrame, spec: PrelaunchSpec) -> DataFrame:
     place = order_in("week_label", list(spec.launch_weeks))
-    rows = df.where((F.col("metric") == spec.score) & F.col("week_label").isNotNull())
     known = F.min_by(F.when(place.isNotNull(), F.col("week_label")), place)
     return rows.agg(F.coalesce(known, F.max("week_label"), F.lit(spec.launch_weeks[0])).alias("target_week"))
 
@@ -85,35 +89,51 @@ def has_week_data(df: DataFrame, spec: PrelaunchSpec = SPEC, weeks: tuple[str, .
     )
 
 
-def _weekly(df: DataFrame, spec: PrelaunchSpec, weeks: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Wide weekly frame per entity in one scan: survey means, view and mention sums, screening means.
+def _week_cells(df: DataFrame, spec: PrelaunchSpec, weeks: list[str]) -> DataFrame:
+    """(entity_id, week_label) with sum (_s) and count (_n) of each series and of the score, and the number of score rows.
 
-    Rows outside the weeks are dropped first, and each row names its series once.
+    The one scan of the fact, stored: features, launch week and launch scores all come from it. A row of the fact touches
+    one narrow cell, so little is shuffled. Rows outside the weeks are dropped first, and each row names its series once.
     """
+    named = F.when(F.col("metric") == spec.mentions, F.lit("mentions"))
+    named = named.when(view_rows("total", spec.routing), F.lit("views"))
+    named = named.when(F.col("metric").isin([*spec.surveys, *spec.screening]), F.col("metric"))
+    scored = (F.col("metric") == spec.score) & F.col("week_label").isNotNull()
+    wanted = [*spec.surveys, spec.mentions, spec.routing.metric]
+    timely = F.col("metric").isin(wanted) & F.col("week_label").isin(weeks)
+    series = F.col(ENTITY).isNotNull() & (timely | F.col("metric").isin(list(spec.screening)))
+    aggs = [F.count_if(scored).alias("_rows")]
+    chosen = {m: series & (F.col("_series") == m) for m in (*spec.surveys, "views", "mentions", *spec.screening)}
+    for name, rows in {**chosen, "score": scored}.items():
+        value = F.when(rows, F.col(VALUE))
+        aggs += [F.sum(value).alias(f"_s_{name}"), F.count(value).alias(f"_n_{name}")]
+    return store_rows(df.where(series | scored).withColumn("_series", named).groupBy(ENTITY, "week_label").agg(*aggs))
+
+
+def _weekly(df: DataFrame, spec: PrelaunchSpec, weeks: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Wide weekly frame per entity: survey means, view and mention sums, screening means, and the launch score as target."""
+    cells = _week_cells(df, spec, weeks)
     series: dict[str, list[str]] = {}
     aggs: list[Column] = []
 
-    def add(name: str, how) -> None:
+    def mean(name: str, rows: Column) -> Column:
+        return F.try_divide(F.sum(F.when(rows, F.col(f"_s_{name}"))), F.sum(F.when(rows, F.col(f"_n_{name}"))))
+
+    def total(name: str, rows: Column) -> Column:
+        return F.sum(F.when(rows, F.col(f"_s_{name}")))
+
+    for name, how in {**dict.fromkeys(spec.surveys, mean), "views": total, "mentions": total}.items():
         series[name] = []
         for i, week in enumerate(weeks):
             column = f"_{name}_{i}"
-            picked = how(F.when((F.col("_series") == name) & (F.col("week_label") == week), F.col(VALUE)))
-            aggs.append(F.coalesce(picked, F.lit(0.0)).alias(column))
+            aggs.append(F.coalesce(how(name, F.col("week_label") == week), F.lit(0.0)).alias(column))
             series[name].append(column)
-
-    for m in spec.surveys:
-        add(m, F.avg)
-    add("views", F.sum)
-    add("mentions", F.sum)
     for m in spec.screening:
-        aggs.append(F.coalesce(F.avg(F.when(F.col("_series") == m, F.col(VALUE))), F.lit(0.0)).alias(m))
-    named = F.when(F.col("metric") == spec.mentions, F.lit("mentions"))
-    named = named.when(view_rows("total", spec.routing), F.lit("views"))
-    named = named.when(F.col("metric").isin([*spec.surveys, *spec.screening]), F.col("metric"))
-    wanted = [*spec.surveys, spec.mentions, spec.routing.metric]
-    timely = F.col("metric").isin(wanted) & F.col("week_label").isin(weeks)
-    rows = df.where(F.col(ENTITY).isNotNull() & (timely | F.col("metric").isin(list(spec.screening))))
-    return rows.withColumn("_series", named).groupBy(ENTITY).agg(*aggs), series
+        aggs.append(F.coalesce(mean(m, F.lit(True)), F.lit(0.0)).alias(m))
+    launch = _target_week(cells.where("_rows > 0"), spec).scalar()
+    aggs.append(mean("score", F.col("week_label") == launch).alias("target"))
+    # Cells meet before they are spread over columns.
+    return cells.where(F.col(ENTITY).isNotNull()).repartition(ENTITY).groupBy(ENTITY).agg(*aggs), series
 
 
 def _total(columns: list[str]) -> Column:
@@ -149,10 +169,9 @@ def prelaunch_features_full(df: DataFrame, entities: DataFrame, spec: PrelaunchS
         for name in c:
             covered = covered + (F.col(name) > 0).cast("int")
         features[f"{m}_coverage"] = covered / F.lit(float(n))
-    frame = wide.select(ENTITY, *[v.alias(k) for k, v in features.items()])
+    frame = wide.select(ENTITY, *[v.alias(k) for k, v in features.items()], "target")
     names = list(features)
-    out = entities.select(ENTITY).join(frame, ENTITY, "left").fillna(0.0, subset=names)
-    return out.join(launch_scores(df, spec), ENTITY, "left"), names
+    return entities.select(ENTITY).join(frame, ENTITY, "left").fillna(0.0, subset=names), names
 
 
 def prelaunch_features_cutoff(
@@ -178,10 +197,9 @@ def prelaunch_features_cutoff(
         features[f"{m}_last"] = F.log1p(last) if counts else last
         features[f"{m}_momentum"] = text.signed_log(momentum) if counts else momentum
         features[f"{m}_trend"] = trend
-    frame = wide.select(ENTITY, *[v.alias(k) for k, v in features.items()])
+    frame = wide.select(ENTITY, *[v.alias(k) for k, v in features.items()], "target")
     names = list(features)
-    out = entities.select(ENTITY).join(frame, ENTITY, "left").fillna(0.0, subset=names)
-    return out.join(launch_scores(df, spec), ENTITY, "left"), names
+    return entities.select(ENTITY).join(frame, ENTITY, "left").fillna(0.0, subset=names), names
 
 
 def prelaunch_overview(

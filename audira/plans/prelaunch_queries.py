@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from audira.operators import compare, prelaunch
 from audira.plans.kpi_queries import ml
 from audira.plans.registry import query
+from audira.session import store_rows
 from audira.sources import bindings as b
 from audira.sources.bindings import TOTAL_SQL
 
@@ -182,6 +183,7 @@ def _fit(spark, d, cutoff: str):
     fact = _fact(spark, d, ["views", "aware", "buzz"])
     spec = prelaunch.PrelaunchSpec((), ("aware",), "mentions", "buzz", "rank", routing=b.ROUTING)
     frame, _ = prelaunch.prelaunch_features_cutoff(fact, b.entity_dim(spark, d), cutoff, spec)
+    frame = store_rows(frame)  # read by the fit and by the predictions
     return frame, prelaunch.ridge_log_regression(frame, FEATURES, alpha=ALPHA)
 
 
@@ -202,6 +204,7 @@ def ridge_log_regression(spark, d):
 @query("ridge_all_features")
 def ridge_all_features(spark, d):
     frame, names = prelaunch.prelaunch_features_cutoff(_fact(spark, d), b.entity_dim(spark, d), "W-1", SPEC)
+    frame = store_rows(frame)  # read by the fit and by the predictions
     return prelaunch.ridge_predictions(frame, prelaunch.ridge_log_regression(frame, names, alpha=ALPHA))
 
 
