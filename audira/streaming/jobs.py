@@ -7,10 +7,10 @@ checkpoints are set where the query is started.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -159,14 +159,20 @@ def is_refresh_hour(as_of: dt.datetime, hours: tuple[int, ...] = REFRESH_HOURS)
     return as_of.hour in hours
 
 
+def _millis(at: dt.datetime) -> int:
+    """A worker's local time in whole milliseconds since 1970, rounded down."""
+    return math.floor(at.timestamp()) * 1000 + at.microsecond // 1000
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class FirstInHorizon(StatefulProcessor):
     """Per id: the rows that wait for the watermark, and when one was last let through.
 
-    A row is decided when the watermark reaches its time, in event-time order, so the result does not depend on how the
-    stream is cut into batches.
+    Rows are decided in event-time order once the watermark has reached them, so the result does not depend on how the stream
+    is cut into batches. An id has one timer, at its earliest waiting row; when it fires, all rows that the watermark has
+    passed are decided at once.
     """
 
     def __init__(self, horizon: dt.timedelta, rows: T.StructType, time: str):
@@ -176,39 +182,50 @@ class FirstInHorizon(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at timestamp")
         self.waiting = handle.getListState("waiting", self.rows)
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            columns = frame[self.rows.names]
-            self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in columns.itertuples(index=False)])
-            for at in columns[self.time].dropna().unique():
-                self.handle.registerTimer(int(pd.Timestamp(at).timestamp() * 1000) + 1)
-        yield pd.DataFrame(columns=self.rows.names)
+        came = [tuple(r) for r in rows]
+        if came:
+            self.waiting.appendList(came)
+            place = self.rows.names.index(self.time)
+            self._wake(_millis(min(r[place] for r in came)) + 1)
+        return iter(())
+
+    def _wake(self, at: int) -> None:
+        """Move the timer to ``at``, unless it is set to fire before."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        reached = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        self.timer.clear()
+        reached = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         place = self.rows.names.index(self.time)
-        waiting = sorted(self.waiting.get(), key=lambda r: tuple(repr(x) if i != place else "" for i, x in enumerate(r)))
-        waiting.sort(key=lambda r: r[place])
+        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: (r[place], tuple(repr(x) if i != place else "" for i, x in enumerate(r))))
         last = self.last.get()[0] if self.last.exists() else None
         out, kept = [], []
         for r in waiting:
-            if pd.Timestamp(r[place]) > reached:
+            if _millis(r[place]) >= reached:
                 kept.append(r)
             elif last is None or r[place] >= last + self.horizon:
-                out.append(tuple(r))
+                out.append(Row(**dict(zip(self.rows.names, r, strict=True))))
                 last = r[place]
         if out:
             self.last.update((last,))
         if kept:
             self.waiting.put(kept)
+            self._wake(_millis(kept[0][place]) + 1)
         else:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=self.rows.names)
+        return iter(out)
 
     def handleInitialState(self, key, initialState, timerValues):
-        for at in initialState["last"].dropna():
-            self.last.update((pd.Timestamp(at).to_pydatetime(),))
+        if initialState["last"] is not None:
+            self.last.update((initialState["last"],))
 
     def close(self) -> None:
         pass
@@ -223,7 +240,8 @@ def stream_catalog_news(videos: DataFrame, known: DataFrame, key: str = "id", ti
     """
     spark = videos.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = videos.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lag)
+    # The watermark never reaches a row without a time.
+    timed = videos.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withWatermark(time, lag)
     processor = FirstInHorizon(rescan, T.StructType([T.StructField(f.name, f.dataType) for f in timed.schema.fields]), time)
     start = known.select(F.col(key), F.col("last").cast("timestamp").alias("last")).groupBy(key)
-    return timed.groupBy(key).transformWithStateInPandas(processor, timed.schema, "Append", "EventTime", start)
+    return timed.groupBy(key).transformWithState(processor, timed.schema, "Append", "EventTime", start)
