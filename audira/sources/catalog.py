@@ -80,19 +80,21 @@ def write_searchable(catalog: DataFrame, path: str, files: int | None = None) ->
 
     A row of ``rows`` has its file number (a partition folder) and its place in the file; files hold separate ranges of
     publish times, in order, so a date range reads few of them. ``postings`` has (gram, file, place) for every distinct
-    three-letter piece of the lower-cased title and description, sorted by gram, so a search reads only the row groups that
-    hold its grams.
+    three-letter piece of the lower-cased title and description. The task that holds a file's rows writes its postings, sorted
+    by gram, so pieces are taken once and not shuffled, and a search reads only the pages that hold its grams. Without
+    ``files`` there are as many as shuffle partitions, and three for each core at least: AQE would leave one for each.
     """
     spark = catalog.sparkSession
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     key = [F.col("published_at"), F.xxhash64("id", "title")]
-    dealt = catalog.repartitionByRange(files, *key) if files else catalog.repartitionByRange(*key)
+    dealt = catalog.repartitionByRange(files, *key)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     numbered = dealt.sortWithinPartitions("published_at").select("*", F.spark_partition_id().alias("file"), place.alias("place"))
-    cut_lineage(numbered).write.partitionBy("file").parquet(f"{path}/rows")
-    stored = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
+    stored = cut_lineage(numbered)
+    stored.write.partitionBy("file").parquet(f"{path}/rows")
     grams = F.concat(*[_grams(F.lower(F.coalesce(c, F.lit("")))) for c in ("title", "description")])
-    postings = stored.select("file", "place", F.explode(F.array_distinct(grams)).alias("gram"))
-    postings.select("gram", "file", "place").repartitionByRange("gram", "file", "place").sortWithinPartitions("gram", "file").write.parquet(f"{path}/postings")
+    postings = stored.select(F.explode(F.array_distinct(grams)).alias("gram"), "file", "place")
+    postings.sortWithinPartitions("gram").write.parquet(f"{path}/postings")
 
 
 def _grams(value: Column) -> Column:

@@ -175,6 +175,19 @@ def test_indexed_search(spark, tmp_path):
     assert {r.file for r in spark.read.parquet(f"{path}/postings").where("gram = 'pha'").select("file").distinct().collect()} == set(range(6))
 
 
+def test_postings_lie_with_their_rows(spark, tmp_path):
+    """One task takes the pieces of a file's rows and writes them: no shuffle of postings, no second pass for its ranges."""
+    texts = ["One  two\nthree", "aaaa", "ab", None, "xÄyZ 한글", "Größe " * 3]
+    rows = [(str(i), texts[i % 6], texts[(i + 1) % 6], dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), "s") for i in range(120)]
+    catalog.write_searchable(spark.createDataFrame(rows, catalog.VIDEO), str(tmp_path), files=5)
+    stored = spark.read.parquet(f"{tmp_path}/postings").select("*", F.col("_metadata.file_path").alias("at")).collect()
+    assert len({r.at for r in stored}) == 5 and len({(r.at, r.file) for r in stored}) == 5
+    where = {r.id: (r.file, r.place) for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    pieces = lambda t: {t.lower()[i : i + 3] for i in range(len(t) - 2)} if t else set()
+    want = sorted((g, *where[i]) for i, title, description, *_ in rows for g in pieces(title) | pieces(description))
+    assert sorted((r.gram, r.file, r.place) for r in stored) == want
+
+
 def test_a_bucketed_cache_is_not_shuffled(spark, tmp_path):
     rows = [(str(i), f"t{i}", "d", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), f"s{i % 3}") for i in range(300)]
     videos = spark.createDataFrame(rows, catalog.VIDEO)
