@@ -51,7 +51,8 @@ def peer_group(
         rows = rows.where(F.col("year") == most_frequent(mine, ENTITY, "year").select("year").scalar())
     elif list(years):
         rows = rows.where(F.col("year").isin(list(years)))
-    return rows.join(aired, ENTITY, "left_semi")
+    # A table of the distinct entities of each partition is built; else all rows of the fact would be sorted.
+    return rows.join(aired.hint("shuffle_hash"), ENTITY, "left_semi")
 
 
 def reference_date_cutoff(df: DataFrame, target) -> DataFrame:
