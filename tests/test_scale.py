@@ -8,8 +8,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from audira.operators import cutoffs, ordering
+from audira.operators import cutoffs, ordering, persons
 from audira.sources import bindings as b
+from audira.sources import tables
 from audira.streaming import jobs
 from test_plans import plan_of
 
@@ -98,3 +99,60 @@ def test_kpis_of_a_cell_share_a_row(spark, sf_dir):
     got = {r.kpi: (r.s, r.n) for r in cells.groupBy("kpi").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
     want = fact.where("metric = 'audience' AND media = 'LIVE' AND value <> 0").agg(F.sum("value"), F.count("value")).first()
     assert got["live_uv"] == tuple(want) and set(got) == {s.kpi for s in b.DETAIL[:4]}
+
+
+@pytest.mark.parametrize("kind", ["ranks", "positions"])
+def test_rows_meet_the_totals_of_ranges_without_a_shuffle(spark, kind):
+    """The totals are stored, so Spark knows that they are small; before, all rows were shuffled to meet them."""
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    out = ordering.with_ranks(rows, "v", ["g"]) if kind == "ranks" else ordering.with_position(rows, ["g"], [F.col("v"), F.col("id")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange") - plan.count("BroadcastExchange") == 1
+
+
+def test_a_record_reads_one_table_of_pairs(spark, sf_dir, monkeypatch):
+    from audira.plans import person_queries
+
+    calls, pairs = [], b.work_person
+    monkeypatch.setattr(person_queries.b, "work_person", lambda *a: calls.append(a) or pairs(*a))
+    plan_of(spark, sf_dir, "person_record_json")
+    assert len(calls) == 1
+    first = persons.person_work_summary(pairs(spark, sf_dir), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in first and "_salt" not in first
+
+
+def test_weeks_of_a_pair_are_counted_in_one_shuffle(spark, tmp_path):
+    line = [(1, 1, 10.0, dt.datetime(2024, 1, 1)), (1, 2, 5.5, dt.datetime(2024, 1, 7)), (2, 1, 1.25, dt.datetime(2024, 1, 8)), (2, 1, 2.0, None), (3, 1, 4.0, None)]
+    full = [(o, p, 1, i, 1.0, price, 0.0, 0.0, "A", "F", day) for i, (o, p, price, day) in enumerate(line)]
+    orders = [(1, 7, "F", 1.0, None, "1"), (2, 7, "F", 1.0, None, "1"), (3, None, "F", 1.0, None, "1")]
+    parts = [(1, "n", "x", "t", 1, 1.0), (2, "n", None, "t", 1, 1.0)]
+    for name, rows in (("lineitem", full), ("orders", orders), ("part", parts)):
+        spark.createDataFrame(rows, b.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.person, r.work): (r.person_buzz, r.weeks_ranked, r.rank_in_work, r.persons_ranked, r.work_buzz) for r in b.work_person(spark, str(tmp_path)).collect()}
+    assert got == {(7, "x"): (13.25, 2.0, 1.0, 2.0, 17.25), (None, "x"): (4.0, 0.0, 2.0, 2.0, 17.25), (7, None): (5.5, 1.0, 1.0, 1.0, 5.5)}
+
+
+def test_places_of_similar_persons_are_stored(spark, sf_dir):
+    """Asks and answers both read them; before, each cut the ranges' rows again."""
+    assert "direct_shuffle_partition_id" not in plan_of(spark, sf_dir, "similar_persons")
+
+
+def test_best_persons_are_shuffled_once(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "top_n_per_group")
+    assert "_salt" not in plan and plan.count("hashpartitioning(gender") == 1
+
+
+def test_peers_are_met_without_sorting_the_fact(spark, sf_dir):
+    for name in ("peer_group", "peer_group_variants"):
+        plan = plan_of(spark, sf_dir, name)
+        semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+        assert semi and all("ShuffledHashJoin" in line for line in semi)
+
+
+def test_lines_are_split_once_whatever_is_asked(spark, tmp_path):
+    for i, text in enumerate(["\n", " \n\n", "", "person,work\np,w\n", "person,work\nq,w\n,w\n"]):
+        (tmp_path / f"{i} a.csv").write_text(text)
+    raw, _ = tables.read_ragged(spark, str(tmp_path / "*.csv"))
+    rows = raw.where("person <> '' AND work <> ''")
+    assert sorted(map(tuple, rows.collect())) == [("p", "w"), ("q", "w")]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
