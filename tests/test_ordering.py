@@ -103,3 +103,31 @@ def test_a_hot_tie_is_spread_over_the_tasks(spark):
     sizes = [len(p) for p in ranked.select("rank_asc").rdd.glom().collect() if p]
     assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2] or len(sizes) == 1
     assert {r.ties for r in ranked.where("v = 0.5").select("ties").distinct().collect()} == {n // 2}
+
+
+def test_smaller_values_of_a_key(spark):
+    """Keys with few asks, with many, and with values that many share; asks without a value, asks beyond all values."""
+    pick = random.Random(3)
+    draw = {0: lambda: pick.choice([-1.5, 0.0, 2.0]), 1: lambda: pick.gauss(0, 1), 2: lambda: pick.choice([0.0, pick.random()]), 3: lambda: pick.random()}
+    values = [(k, draw[k]()) for k in draw for _ in range(900)] + [(4, 1.0)]
+    asks = [(i, k, pick.choice([None, draw[k](), draw[k](), draw[k](), 9.0, -9.0])) for i, k in enumerate([0, 1, 2] * 400 + [3] * 5)] + [(-1, 4, None)]
+    parts = [spark.createDataFrame(rows, t).repartition(5).cache() for rows, t in ((asks, "id int, k int, v double"), (values, "k int, v double"))]
+    got, sums = ordering.smaller_values(*parts, "k", "v", "less", {"n": F.count("v"), "s": F.sum(F.col("v").cast("decimal(30,12)"))})
+    want = {(i, k, v, None if v is None else sum(x < v for q, x in values if q == k)) for i, k, v in asks}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(asks)
+    for k, n, s in sums.collect():
+        mine = [x for q, x in values if q == k]
+        assert n == len(mine) and abs(float(s) - sum(mine)) < 1e-8
+    assert {r.k for r in sums.collect()} == {0, 1, 2, 3, 4}
+
+
+def test_only_values_between_splits_are_shuffled(spark):
+    """Half of the values are shared, and a key has few asks: what its counts answer is not moved."""
+    values = spark.range(4000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 4 == 0, F.lit(0.5)).otherwise(F.rand(3)).alias("v")).cache()
+    asks = values.where("k = 0 OR v < 0.01")
+    got, _ = ordering.smaller_values(asks, values, "k", "v", "less", {"n": F.count("v")})
+    moved = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == asks.count() and "LeftSemi" in moved
+    placed = ordering._in_buckets(values.where("k = 0"), asks.groupBy("k").agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("_splits")), "k", "v")
+    open_rows = placed.where("_bucket % 2 = 0").groupBy("_bucket").count().collect()
+    assert sum(r["count"] for r in open_rows) < 1000 and max(r["count"] for r in open_rows) < 100

@@ -1,6 +1,7 @@
 """Work that must not grow faster than the tables: ranges, timers, scans and shuffled rows."""
 
 import datetime as dt
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from audira.operators import cutoffs, ordering, persons
 from audira.sources import bindings as b
 from audira.sources import tables
+from audira.specs import MetricSpec, ViewRouting
 from audira.streaming import jobs
 from test_plans import plan_of
 
@@ -156,3 +158,118 @@ def test_lines_are_split_once_whatever_is_asked(spark, tmp_path):
     rows = raw.where("person <> '' AND work <> ''")
     assert sorted(map(tuple, rows.collect())) == [("p", "w"), ("q", "w")]
     assert rows._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+
+
+PEER_SPECS = [
+    MetricSpec("mean", "a"),
+    MetricSpec("step_sum", "a", "step_sum", ("X",)),
+    MetricSpec("vod", "b", "vod", ("Y", "X")),
+    MetricSpec("step_least", "b", "min", high_is_good=False),
+    MetricSpec("least", "C-c", "min", cutoff="week", high_is_good=False, normalized=True),
+    MetricSpec("sum", "b", "sum", cutoff="week"),
+    MetricSpec("views", "v", "sum", views="total", cutoff="week"),
+    MetricSpec("flat", "b", "flat_mean", ("X",), cutoff="week"),
+    MetricSpec("buzz", "B!", cutoff="week", keep_zero=True, normalized=True, group_mode="rows"),
+]
+PEER_ROUTING = ViewRouting("v", "ko", "en", "X", ("PGC",))
+
+
+def peers_of(rows, dim):
+    """Each entity against the rows of its peers up to its own cutoff, pair by pair."""
+
+    def clean(name):
+        return "".join(x for x in name if x.isalnum()).lower()
+
+    def chosen(s, r):
+        if s.views:
+            ok = r["metric"] == "v" and (r["attr3"] == "en" or (r["attr3"] == "ko" and (r["media"] != "X" or r["attr1"] == "PGC")))
+        elif s.normalized:
+            ok = clean(r["metric"] or "") == clean(s.metric)
+        else:
+            ok = r["metric"] == s.metric
+        return ok and (not s.media or r["media"] in s.media)
+
+    def value(s, some):
+        known = [r for r in some if r["value"] is not None and (s.keep_zero or r["value"] != 0)]
+        nums = [r["value"] for r in known]
+        if s.mode not in cutoffs.STEPPED:
+            out = {"sum": sum, "min": min, "flat_mean": lambda x: sum(x) / len(x)}[s.mode](nums) if nums else None
+        else:
+            steps = {}
+            for r in known:
+                if r["step_no"] is not None:
+                    steps.setdefault(r["step_no"], []).append(r)
+            if s.mode == "vod":
+                steps = {k: x for k, x in steps.items() if any(r["media"] == s.media[0] for r in x)}
+            means = [sum(r["value"] for r in x) / (len(x) if s.mode == "mean" else 1) for x in steps.values()]
+            out = sum(means) / len(means) if means else None
+        return None if out is None else round(out, 6)
+
+    out = {}
+    for s in PEER_SPECS:
+        mine = {e: [r for r in rows if r["entity_id"] == e and chosen(s, r)] for e in dim}
+        for e, some in mine.items():
+            whole = value(s, some)
+            if whole is None:
+                continue
+            weeks = [r["week_no"] for r in some if s.cutoff == "week" and r["week_no"] is not None]
+            steps = [r["step_no"] for r in some if r["step_no"] is not None]
+            kind, name, cut = ("week", "week_no", max(weeks)) if weeks else ("step", "step_no", max(steps)) if steps else ("all", None, None)
+            until = {p: [r for r in x if not name or (r[name] is not None and r[name] <= cut)] for p, x in mine.items() if dim[p] == dim[e]}
+            at = {p: value(s, x) for p, x in until.items()}
+            known = [x for x in at.values() if x is not None]
+            mean = sum(known) / len(known) if known else None
+            if s.group_mode == "rows":
+                mean = value(s, [r for x in until.values() for r in x])
+            better = None if at[e] is None else 1 + sum(x > at[e] if s.high_is_good else x < at[e] for x in known)
+            out[e, s.kpi] = (dim[e], kind, cut, whole, mean, better, len(known))
+    return out
+
+
+@pytest.mark.parametrize("word", [31, 2])
+def test_peers_at_own_cutoffs_match_pairs(spark, monkeypatch, word):
+    """Entities without weeks, without steps and without either; null groups, metrics and values; KPIs in several words of bits."""
+    monkeypatch.setattr(cutoffs, "WORD", word)
+    pick = random.Random(4)
+    dim = {e: pick.choice(["g", "g", "h", None]) for e in range(60)}
+    rows = []
+    for e in dim:
+        first, last, shape = pick.choice([1, 1, 3]), pick.choice([4, 4, 5, 7]), pick.random()
+        for _ in range(pick.choice([1, 4, 25])):
+            rows.append(
+                {
+                    "entity_id": e,
+                    "step_no": None if shape < 0.1 or pick.random() < 0.1 else pick.randint(first, last),
+                    "week_no": None if shape > 0.8 or shape < 0.05 or pick.random() < 0.5 else pick.randint(-2, last - 3),
+                    "metric": pick.choice(["a", "b", "c c", "CC", "v", "b!", "other", None]),
+                    "media": pick.choice(["X", "Y", None]),
+                    "attr1": pick.choice(["PGC", "ETC"]),
+                    "attr3": pick.choice(["ko", "en", None]),
+                    "value": pick.choice([None, 0.0, 1.0, 2.0, 0.25 * pick.randint(-4, 40)]),
+                }
+            )
+    rows += [dict(rows[0], entity_id=None), dict(rows[0], entity_id=999)]
+    schema = "entity_id int, step_no int, week_no int, metric string, media string, attr1 string, attr3 string, value double"
+    fact = spark.createDataFrame([Row(**r) for r in rows], schema)
+    groups = spark.createDataFrame([*dim.items(), (None, "g"), (1000, "h")], "entity_id int, slot string")
+    got = cutoffs.kpi_vs_group(fact, PEER_SPECS, groups, "slot", PEER_ROUTING).collect()
+    want = peers_of(rows, dim)
+    assert {r.kind for r in got} == {"week", "step", "all"} and len(got) == len(want)
+    for r in got:
+        *exact, mean, rank, size = want[r.entity_id, r.kpi]
+        assert [r.slot, r.kind, r.cutoff, r.value] == exact and (r.rank, r.group_size) == (rank, size)
+        assert r.group_value == (None if mean is None else pytest.approx(mean, abs=2e-6))
+        assert r.ratio == (pytest.approx(r.value * 100 / r.group_value) if r.group_value else None)
+
+
+def test_peers_are_ranked_where_their_rows_are(spark, sf_dir):
+    """Only values between the splits of a cutoff are shuffled; before, all were, and the ranks were joined back by entity."""
+    assert "hashpartitioning(entity_id" not in plan_of(spark, sf_dir, "kpi_vs_group")
+
+
+def test_an_entity_is_moved_to_its_task_once(spark, sf_dir):
+    """Once for its steps and once for its rows with a week; before, a row went several ways for each KPI and kind of cutoff."""
+    specs = list(b.DETAIL_PAGE)
+    sums = cutoffs.kpi_sums(b.metric_long(spark, sf_dir, ["rating", "buzz"], title=True), specs, b.ROUTING).withColumn("slot", F.lit("s"))
+    plan = cutoffs.entity_curves(ordering.settle(sums), "slot", specs, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(entity_id") == plan.count("Exchange") == 2
